@@ -23,6 +23,7 @@ from telemetra.operators import identity as J
 from telemetra.operators import product as W
 from telemetra.operators import reports as R
 from telemetra.operators import upkeep as M
+from telemetra.schemas import USER_EVENT_COLUMNS
 from telemetra.settings import DEFAULT
 from telemetra.sources import otlp
 from telemetra.tables import Tables
@@ -75,7 +76,7 @@ def _(t: Tables):
 
 @register("curate_full", W_("ue") + f"SELECT {UE_COLS} FROM ue")
 def _(t: Tables):
-    return t.ue
+    return t.ue_columns
 
 
 @register("hash_key", "SELECT user_id, substr(sha256(concat('salt', 'user', CAST(user_id AS VARCHAR))), 1, 32) AS person_key "
@@ -260,7 +261,7 @@ def _(t: Tables):
           "SELECT json_extract_string(attributes, '$.\"gen_ai.request.model\"') AS model, count(*) AS calls, "
           "CAST(sum(TRY_CAST(json_extract_string(attributes, '$.\"gen_ai.usage.input_tokens\"') AS BIGINT)) AS BIGINT) AS input_tokens, "
           "CAST(sum(TRY_CAST(json_extract_string(attributes, '$.\"gen_ai.usage.output_tokens\"') AS BIGINT)) AS BIGINT) AS output_tokens "
-          "FROM ue WHERE subject = 'ai_usage' GROUP BY 1")
+          "FROM ue WHERE json_extract_string(attributes, '$.\"gen_ai.request.model\"') IS NOT NULL GROUP BY 1")
 def _(t: Tables):
     return R.ai_tokens_by_model(t.ue)
 
@@ -347,7 +348,7 @@ def _(t: Tables):
           "session_id, coalesce(user_id, _owner, anonymous_id) AS person_id, page, severity_text, service_name, attributes "
           "FROM ue LEFT JOIN owner ON ue.anonymous_id = owner._anon")
 def _(t: Tables):
-    return J.backfill_identity(t.ue)
+    return J.backfill_identity(t.ue).select(*USER_EVENT_COLUMNS)
 
 
 @register("client_backend_journey", W_("logs", "traces") +

@@ -1,8 +1,12 @@
-"""The telemetry tables of one data folder, derived lazily from its ``events``.
-
-Nothing is materialised: each property is a DataFrame whose plan starts at the
-Parquet scan, so Catalyst prunes columns and pushes filters into the scan for
-every query built on top.
+"""The telemetry tables of one data folder, derived from its ``events``.
+
+``logs`` and ``traces`` play the landed raw tables and ``ue`` the curated
+``user_events`` table: each is built once by Spark from ``events`` and written
+with its physical layout (day partitions; subject / day / person bucket for the
+curated table) under the shared job folder, then read back, so every query
+scans a laid-out table with partition pruning instead of re-deriving it. With
+``land=False`` they are lazy projections of ``events`` instead. Metric tables
+and the row-versioned log are always lazy projections.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from telemetra.operators.curate import curate
+from telemetra.plans import fs, layout
+from telemetra.schemas import USER_EVENT_COLUMNS
 from telemetra.schemas import struct, L, NTZ, S, D
 from telemetra.settings import DEFAULT, Settings
 from telemetra.sources import fixtures
@@ -22,10 +28,17 @@ EVENTS = struct(
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT):
+    LAYOUT_VERSION = "2"
+
+    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, land: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.settings = settings
+        self.land = land
+
+    def _key(self, name: str) -> str:
+        src = f"{self.sf_dir}/events.parquet"
+        return "|".join([src, fs.stat_key(self.spark, src), repr(self.settings), name, self.LAYOUT_VERSION])
 
     def read(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
@@ -38,12 +51,23 @@ class Tables:
         return self.read("events", EVENTS)
 
     @cached_property
-    def logs(self) -> DataFrame:
+    def logs_lazy(self) -> DataFrame:
         return fixtures.logs_from_events(self.events, self.settings.salt, self.settings.subject_attr)
 
+    @cached_property
+    def logs(self) -> DataFrame:
+        if not self.land:
+            return self.logs_lazy
+        return layout.materialized(self.spark, self._key("logs"), "logs", lambda: self.logs_lazy,
+                                   layout.write_raw_logs, layout.read_raw_logs)
+
     @cached_property
     def traces(self) -> DataFrame:
-        return fixtures.traces_from_events(self.events)
+        if not self.land:
+            return fixtures.traces_from_events(self.events)
+        return layout.materialized(self.spark, self._key("traces"), "traces",
+                                   lambda: fixtures.traces_from_events(self.events),
+                                   layout.write_traces, layout.read_traces)
 
     @cached_property
     def gauge(self) -> DataFrame:
@@ -63,7 +87,25 @@ class Tables:
 
     @cached_property
     def ue(self) -> DataFrame:
-        return curate(self.logs, self.settings.subject_attr)
+        if not self.land:
+            return curate(self.logs, self.settings.subject_attr)
+        buckets = self.settings.buckets
+        logs = self.logs  # lands the raw table first; its size picks the layout
+
+        def write(df: DataFrame, path: str) -> None:
+            raw_bytes = fs.total_bytes(self.spark, layout.landed_path(self.spark, self._key("logs"), "logs"))
+            days = len([n for n, is_dir, _ in fs.list_dir(self.spark, layout.landed_path(self.spark, self._key("logs"), "logs"))
+                        if is_dir and n.startswith("event_date=")])
+            layout.write_curated(df, path, buckets, day_level=layout.want_day_level(raw_bytes, days, buckets))
+
+        return layout.materialized(
+            self.spark, self._key("user_events"), "user_events",
+            lambda: curate(logs, self.settings.subject_attr), write, layout.read_curated)
+
+    @property
+    def ue_columns(self) -> DataFrame:
+        """The curated table with exactly its 12 columns (layout columns dropped)."""
+        return self.ue.select(*USER_EVENT_COLUMNS)
 
     def by_name(self) -> dict[str, tuple[DataFrame, str]]:
         """Retention-relevant tables with their epoch-ns time column."""

@@ -7,7 +7,8 @@ table and share one publish step:
    distinct-partition aggregate for row predicates — its size is the number of
    partitions, never the number of rows);
 2. one Spark job reads only those partitions, keeps the surviving rows and
-   writes them, range-partitioned and sorted, to a staging folder;
+   writes them, each partition into its wanted number of sorted files, to a
+   staging folder;
 3. the staged row count is checked against the expected count;
 4. each affected partition folder is swapped for its staged version (or
    dropped when nothing survives); untouched partitions are never rewritten.
@@ -66,38 +67,81 @@ def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str]
     fs.delete(spark, staging)
 
 
+def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Sequence[str],
+                want: dict[str, int]) -> DataFrame:
+    """One row per rewritten partition: typed partition values + wanted file count."""
+    rows = [[kv.split("=", 1)[1] for kv in rel.split("/")] + [n] for rel, n in want.items()]
+    cols = [f"_v{i}" for i in range(len(partition_cols))]
+    raw = spark.createDataFrame(rows, T.StructType(
+        [T.StructField(c, T.StringType()) for c in cols] + [T.StructField("_want", T.IntegerType())]))
+    types = {f.name: f.dataType for f in schema.fields}
+    return raw.select(*[F.col(c).cast(types[p]).alias(p) for c, p in zip(cols, partition_cols)], "_want")
+
+
 def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
-                       keep: Column | None, rel_paths: Sequence[str], sort_cols: Sequence[str] = (),
-                       files_per_partition: int | None = None) -> int:
-    """Rewrite the given partitions keeping rows matching ``keep``; returns rows written."""
-    if not rel_paths:
+                       keep: Column | None, want: dict[str, int], sort_cols: Sequence[str] = ()) -> int:
+    """Rewrite partitions ``want = {rel_path: files}`` keeping rows matching ``keep``.
+
+    Each row gets a file slot ``pmod(hash(sort key), files)`` of its partition;
+    hash-partitioning on (partition, slot) gives every partition exactly its
+    wanted number of files, spread over as many tasks, each file sorted. The
+    per-partition table has one row per rewritten partition (metadata-sized) and
+    is broadcast. Returns the number of rows written.
+    """
+    if not want:
         return 0
-    paths = [f"{root.rstrip('/')}/{r}" for r in rel_paths]
+    paths = [f"{root.rstrip('/')}/{r}" for r in want]
     df = spark.read.schema(schema).option("basePath", root).parquet(*paths)
     kept = df if keep is None else df.where(keep)
     expected = kept.count()
     staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}"
-    keys = [*partition_cols, *sort_cols]
-    n = max(1, (files_per_partition or 1) * len(rel_paths))
-    (
-        kept.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*partition_cols).parquet(staging)
-    )
-    written = spark.read.schema(schema).parquet(staging).count() if expected else 0
-    if written != expected:
-        fs.delete(spark, staging)
-        raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
-    _swap(spark, root, staging, rel_paths)
+    if expected:
+        slot_key = [F.col(c) for c in (sort_cols or [c for c in schema.fieldNames() if c not in partition_cols])]
+        slotted = kept.join(F.broadcast(_want_table(spark, schema, partition_cols, want)), list(partition_cols))
+        slotted = slotted.withColumn("_slot", F.pmod(F.hash(*slot_key), F.col("_want"))).drop("_want")
+        (
+            slotted.repartition(sum(want.values()), *partition_cols, "_slot")
+            .sortWithinPartitions(*partition_cols, "_slot", *sort_cols)
+            .drop("_slot")
+            .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+            .partitionBy(*partition_cols).parquet(staging)
+        )
+        written = spark.read.schema(schema).parquet(staging).count()
+        if written != expected:
+            fs.delete(spark, staging)
+            raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
+    _swap(spark, root, staging, list(want))
     return expected
 
 
-def _affected(df: DataFrame, partition_cols: Sequence[str], cond: Column) -> DataFrame:
-    """Per partition touched by ``cond``: matching rows and surviving rows."""
-    return df.groupBy(*partition_cols).agg(
-        F.count_if(cond).alias("hit"),
-        F.count_if(~cond | cond.isNull()).alias("survive"),
-    ).where(F.col("hit") > 0)
+def _files_wanted(spark: SparkSession, root: str, rel: str, target_bytes: int) -> int:
+    size = sum(b for n, is_dir, b in fs.list_dir(spark, f"{root.rstrip('/')}/{rel}") if not is_dir)
+    return max(1, -(-size // target_bytes))
+
+
+def _touched(df: DataFrame, partition_cols: Sequence[str], cond: Column) -> list[dict]:
+    """Partitions with rows matching ``cond`` and, for those only, how many rows survive.
+
+    The first aggregate filters with ``cond`` (pushed into the Parquet scan, so
+    row groups outside the range are skipped); the second reads only the touched
+    partitions (partition filter). Results have one row per partition.
+    """
+    hits = [r.asDict() for r in df.where(cond).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("hit")).collect()]
+    if not hits:
+        return []
+    in_touched = None
+    for r in hits:
+        one = None
+        for c in partition_cols:
+            e = F.col(c) == F.lit(r[c])
+            one = e if one is None else one & e
+        in_touched = one if in_touched is None else in_touched | one
+    keep = ~cond | cond.isNull()
+    surv = {tuple(r[c] for c in partition_cols): r["survive"]
+            for r in df.where(in_touched & keep).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("survive")).collect()}
+    for r in hits:
+        r["survive"] = surv.get(tuple(r[c] for c in partition_cols), 0)
+    return hits
 
 
 def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
@@ -107,14 +151,14 @@ def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition
     Returns the number of deleted rows. Rows where ``cond`` is NULL are kept.
     """
     df = spark.read.schema(schema).parquet(root)
-    # one row per touched partition: bounded by the partition count, not by rows
-    touched = [r.asDict() for r in _affected(df, partition_cols, cond).collect()]
+    touched = _touched(df, partition_cols, cond)
     if not touched:
         return 0
     deleted = sum(r["hit"] for r in touched)
     drop = [_part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched if r["survive"] == 0]
     partial = [_part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched if r["survive"] > 0]
-    rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), partial, sort_cols)
+    want = {rel: _files_wanted(spark, root, rel, TARGET_FILE_BYTES) for rel in partial}
+    rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols)
     for rel in drop:
         fs.delete(spark, f"{root.rstrip('/')}/{rel}")
     return deleted
@@ -159,8 +203,7 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
             frag.append((path[len(root.rstrip('/')) + 1:], len(files), want))
     if not frag:
         return {"partitions": 0, "files_before": 0, "files_after": 0}
-    per = max(w for _, _, w in frag)
-    rewrite_partitions(spark, root, schema, partition_cols, None, [r for r, _, _ in frag], sort_cols, per)
+    rewrite_partitions(spark, root, schema, partition_cols, None, {r: w for r, _, w in frag}, sort_cols)
     after = sum(len(files) for path, files in _leaf_partitions(spark, root, len(partition_cols))
                 if path[len(root.rstrip('/')) + 1:] in {r for r, _, _ in frag})
     return {"partitions": len(frag), "files_before": sum(n for _, n, _ in frag), "files_after": after}

@@ -93,19 +93,20 @@ def backfill_identity(ue: DataFrame) -> DataFrame:
 
     ``user_id`` becomes the row's own user id, else the owner of its device;
     ``person_id`` is recomputed from it. Rows are never dropped or duplicated
-    (left join to a one-row-per-device table).
+    (left join to a one-row-per-device table). Rows without a device cannot
+    match and bypass the join, so NULL keys never pile up in one join task.
     """
     owner = device_owner(ue)
-    joined = ue.join(owner, ue["anonymous_id"] == owner["_anon"], "left")
+    keyed = ue.where(F.col("anonymous_id").isNotNull())
+    joined = keyed.join(owner, keyed["anonymous_id"] == owner["_anon"], "left")
     user_id = F.coalesce(F.col("user_id"), F.col("_owner"))
-    return joined.select(
-        *[
-            user_id.alias("user_id") if c == "user_id"
-            else F.coalesce(user_id, F.col("anonymous_id")).alias("person_id") if c == "person_id"
-            else F.col(c)
-            for c in ue.columns
-        ]
-    )
+    cols = [
+        user_id.alias("user_id") if c == "user_id"
+        else F.coalesce(user_id, F.col("anonymous_id")).alias("person_id") if c == "person_id"
+        else F.col(c)
+        for c in ue.columns
+    ]
+    return joined.select(*cols).unionByName(ue.where(F.col("anonymous_id").isNull()))
 
 
 def client_backend_journey(logs: DataFrame, traces: DataFrame, device: str | None = None) -> DataFrame:

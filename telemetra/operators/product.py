@@ -9,7 +9,8 @@ Design for hot keys (one person or session holding a large share of rows):
 * ``cohort_retention`` first reduces events to distinct ``(person, day)`` pairs
   (map-side de-duplication), so the per-person window afterwards holds at most
   one row per active day.
-* ``user_paths`` pairs each event with the next one of its session.
+* ``user_paths`` pairs each event with the next one of its session; sessions
+  above a measured size are cut into range slices so no session is one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.timecols import NS_PER_DAY, date_of_ns
+from telemetra.plans.skew import DEFAULT_GROUP_BOUND, max_group_rows, ranged
 
 
 def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7, by: str = "person_id",
@@ -75,23 +77,51 @@ def cohort_retention(ue: DataFrame, by: str = "person_id", time_col: str = "even
     )
 
 
-def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano") -> DataFrame:
+def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano",
+               bound: int | None = DEFAULT_GROUP_BOUND) -> DataFrame:
     """Page -> next page transition counts within sessions.
 
     Events without a session or page are ignored; the order inside a session is
-    time, then the raw attribute text as a deterministic tie-breaker.
+    time, then the raw attribute text as a deterministic tie-breaker. Sessions of
+    up to ``bound`` events use a window per session; beyond that the sessions
+    are cut into range slices (see :func:`_next_in_slices`).
     """
     ev = ue.where(F.col(session_col).isNotNull() & F.col("page").isNotNull()).select(
-        F.col(session_col).alias("_s"), F.col(time_col).alias("_t"), "attributes", "page"
+        F.col(session_col).alias("_s"), F.col(time_col).alias("_t"), F.col("attributes").alias("_k"), "page"
     )
-    w = Window.partitionBy("_s").orderBy("_t", "attributes")
+    if bound is not None and max_group_rows(ev, ["_s"]) <= bound:
+        w = Window.partitionBy("_s").orderBy("_t", "_k")
+        pairs = ev.select("page", F.lead("page").over(w).alias("next_page"))
+    else:
+        pairs = _next_in_slices(ev)
     return (
-        ev.select("page", F.lead("page").over(w).alias("next_page"))
-        .where(F.col("next_page").isNotNull())
+        pairs.where(F.col("next_page").isNotNull())
         .groupBy("page", "next_page").agg(F.count(F.lit(1)).alias("transitions"))
     )
 
 
+def _next_in_slices(ev: DataFrame) -> DataFrame:
+    """``(page, next_page)`` pairs with sessions range-partitioned into slices.
+
+    Inside a slice the next page is a window ``lead``; the last row of a
+    session's slice takes the first page of the session's next slice, looked up
+    in a table with one row per (slice, session).
+    """
+    r = ranged(ev, ["_s"], ["_t", "_k"])
+    w_in = Window.partitionBy("_pid", "_s").orderBy("_t", "_k")
+    local = r.select("_pid", "_s", "page", F.lead("page").over(w_in).alias("next_page"))
+    firsts = r.groupBy("_pid", "_s").agg(F.min_by("page", F.struct("_t", "_k")).alias("_first"))
+    w_sl = Window.partitionBy("_s").orderBy("_pid")  # rows per session <= number of slices
+    carry = firsts.select("_pid", "_s", F.lead("_first").over(w_sl).alias("_carry"))
+    inner = local.where(F.col("next_page").isNotNull()).select("page", "next_page")
+    edges = (
+        local.where(F.col("next_page").isNull())
+        .join(carry, ["_pid", "_s"])
+        .select("page", F.col("_carry").alias("next_page"))
+    )
+    return inner.unionByName(edges)
+
+
 def rollup_daily(ue: DataFrame, with_page: bool = True) -> DataFrame:
     """Pre-aggregated UTC day x event (x page) counts for long-range dashboards."""
     keys = [date_of_ns("event_time_unix_nano").alias("event_date"), F.col("event")]

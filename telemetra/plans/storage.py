@@ -18,10 +18,14 @@ _LOCAL_FALLBACK: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf()
+    sc = spark.sparkContext
+    conf = sc.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)  # DataFrame.checkpoint() writes under the same shared folder
+        return path.rstrip("/")
+    path = sc.getCheckpointDir()
     if path:
         return path.rstrip("/")
     master = spark.sparkContext.master

@@ -99,3 +99,13 @@ def changes(table: DataFrame, commits: DataFrame, start: int | None = None, end:
 def inserted_since(table: DataFrame, last: int, current: int) -> DataFrame:
     """Rows inserted in ``(last, current]``: the incremental-curation feed."""
     return table.where((F.col("begin_snapshot") > last) & (F.col("begin_snapshot") <= current)).drop(*VERSION_COLS)
+
+
+def expire(table: DataFrame, horizon: int | Column) -> DataFrame:
+    """Row versions still needed after expiring history up to ``horizon``.
+
+    Versions deleted at or before the horizon are dropped; live rows and rows
+    deleted later are kept (time travel to snapshots before the horizon ends).
+    """
+    h = horizon if isinstance(horizon, Column) else F.lit(horizon)
+    return table.where(F.col("end_snapshot").isNull() | (F.col("end_snapshot") > h))

@@ -129,13 +129,10 @@ def _touched(df: DataFrame, partition_cols: Sequence[str], cond: Column) -> list
     hits = [r.asDict() for r in df.where(cond).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("hit")).collect()]
     if not hits:
         return []
-    in_touched = None
-    for r in hits:
-        one = None
-        for c in partition_cols:
-            e = F.col(c) == F.lit(r[c])
-            one = e if one is None else one & e
-        in_touched = one if in_touched is None else in_touched | one
+    # one flat IN over a key made only of partition columns: evaluated as a
+    # partition filter at file listing, so only touched partitions are read
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in partition_cols])
+    in_touched = key.isin(["/".join(str(r[c]) for c in partition_cols) for r in hits])
     keep = ~cond | cond.isNull()
     surv = {tuple(r[c] for c in partition_cols): r["survive"]
             for r in df.where(in_touched & keep).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("survive")).collect()}

@@ -512,6 +512,105 @@ def _(t: Tables):
     return t.spark.sql("SELECT subject, event, count(*) AS n FROM user_events WHERE severity_text = 'INFO' GROUP BY subject, event")
 
 
+# ---------------------------------------------------------------- jobs run end to end
+# These build their input from the tables, run the storage / streaming job in a
+# fresh folder under the shared job folder and return what the job produced.
+
+def _run_dir(t: Tables) -> str:
+    from telemetra.plans.storage import job_path
+    return job_path(t.spark, "telemetra", "runs", unique=True)
+
+
+def _land_requests(t: Tables, logs: DataFrame, folder: str) -> None:
+    otlp.logs_payloads(logs).write.mode("overwrite").text(folder)
+
+
+def _stream(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@register("ingest_stream", _PAYLOAD_LOG_SQL)
+def _(t: Tables):
+    from telemetra.streaming import curation, ingest
+    run = _run_dir(t)
+    _land_requests(t, t.logs, f"{run}/landing/a")
+    _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck_ingest"))
+    raw = curation.read_table(t.spark, f"{run}/raw", curation.raw_schema())
+    return raw.drop("event_date")
+
+
+@register("curate_incremental", W_("ue") + f"SELECT {UE_COLS} FROM ue")
+def _(t: Tables):
+    from telemetra.streaming import curation, ingest
+    run = _run_dir(t)
+    early = t.logs.where(F.col("event_id") % 3 != 0)
+    late = t.logs.where(F.col("event_id") % 3 == 0)  # older timestamps arriving after newer ones
+    for part, rows in (("a", early), ("b", late)):
+        _land_requests(t, rows, f"{run}/landing/{part}")
+        _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck_ingest"))
+        _stream(curation.start_curation(t.spark, f"{run}/raw", f"{run}/ue", checkpoint=f"{run}/ck_curate",
+                                        settings=t.settings))
+    return curation.curated_view(t.spark, f"{run}/ue").select(*USER_EVENT_COLUMNS)
+
+
+def _sweep_sql() -> str:
+    cutoff = O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))
+    return W_("ue") + " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) FILTER (WHERE {c} < {cutoff}) AS deleted, "
+        f"count(*) FILTER (WHERE {c} >= {cutoff} OR {c} IS NULL) AS remaining FROM {src}"
+        for n, c, src in (("logs", "time_unix_nano", "logs"), ("user_events", "event_time_unix_nano", "ue")))
+
+
+@register("retention_sweep", _sweep_sql())
+def _(t: Tables):
+    from telemetra.plans import layout
+    from telemetra.plans.maintenance import retention_sweep
+    run = _run_dir(t)
+    layout.write_raw_logs(t.logs.drop("event_date"), f"{run}/logs")
+    from telemetra.plans import fs
+    day_level = layout.want_day_level(fs.total_bytes(t.spark, f"{run}/logs"), 30, t.settings.buckets)
+    layout.write_curated(t.ue_columns, f"{run}/user_events", t.settings.buckets, day_level=day_level)
+    ue_parts = list(layout.CURATED_PARTITION) if day_level else ["subject", "person_bucket"]
+    tables = {
+        "logs": (f"{run}/logs", layout.RAW_LOGS_STORED, ["event_date"], list(layout.RAW_LOGS_SORT)),
+        "user_events": (f"{run}/user_events", layout.CURATED_STORED, ue_parts, list(layout.CURATED_SORT)),
+    }
+    plan = M.retention_plan(RETENTION_DAYS, DEFAULT.as_of, (("logs", "time_unix_nano"), ("user_events", "event_time_unix_nano")))
+    deleted = retention_sweep(t.spark, tables, plan)
+    left = [
+        layout.read_raw_logs(t.spark, f"{run}/logs").agg(
+            F.lit("logs").alias("table_name"), F.lit(deleted.get("logs", 0)).cast("long").alias("deleted"),
+            F.count(F.lit(1)).alias("remaining")),
+        layout.read_curated(t.spark, f"{run}/user_events").agg(
+            F.lit("user_events").alias("table_name"), F.lit(deleted.get("user_events", 0)).cast("long").alias("deleted"),
+            F.count(F.lit(1)).alias("remaining")),
+    ]
+    return left[0].unionByName(left[1])
+
+
+@register("compact", W_("logs") + "SELECT event_id, time_unix_nano, body, severity_text, log_attributes FROM logs")
+def _(t: Tables):
+    from telemetra.plans import layout
+    from telemetra.plans.maintenance import compact
+    run = _run_dir(t)
+    logs = t.logs.drop("event_date")
+    for i in range(4):  # four appends leave several small files per day
+        layout.write_raw_logs(logs.where(F.col("event_id") % 4 == i), f"{run}/logs", mode="append")
+    compact(t.spark, f"{run}/logs", layout.RAW_LOGS_STORED, ["event_date"], list(layout.RAW_LOGS_SORT))
+    return layout.read_raw_logs(t.spark, f"{run}/logs").select(
+        "event_id", "time_unix_nano", "body", "severity_text", "log_attributes")
+
+
+@register("expire_history", W_("logs_v", "commits") +
+          f"SELECT {_LOG_COLS}, begin_snapshot, end_snapshot FROM logs_v "
+          "WHERE end_snapshot IS NULL OR end_snapshot > (SELECT max(snapshot_id) FROM commits)")
+def _(t: Tables):
+    horizon = t.commits.select(F.max("snapshot_id")).scalar()
+    return H.expire(t.logs_v, horizon)
+
+
 def queries() -> dict[str, Build]:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -30,6 +30,8 @@ from telemetra.tables import Tables
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
+# entries that run a storage or streaming job (fresh folder per call) before returning its result
+JOBS = ("ingest_stream", "curate_incremental", "retention_sweep", "compact")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
@@ -185,7 +187,7 @@ def _(t: Tables):
 
 
 @register("span_p95", W_("traces") +
-          "SELECT name, round(quantile_cont(duration_time_unix_nano, 0.95) / 1e6, 6) AS p95_ms, count(*) AS c "
+          "SELECT name, round(quantile_cont(duration_time_unix_nano, 0.95)) / 1e6 AS p95_ms, count(*) AS c "
           "FROM traces GROUP BY name")
 def _(t: Tables):
     return R.span_p95(t.traces)

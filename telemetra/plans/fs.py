@@ -47,6 +47,31 @@ def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return [(s.getPath().getName(), bool(s.isDirectory()), int(s.getLen())) for s in fs.listStatus(p)]
 
 
+def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """``[(path relative to root, length)]`` of every file below ``root``; empty if absent.
+
+    One recursive listing (``FileSystem.listFiles``): on object stores a flat,
+    paginated key listing instead of one call per directory.
+    """
+    fs, p, _ = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    base = fs.makeQualified(p).toString().rstrip("/") + "/"
+    out = []
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        s = it.next()
+        full = s.getPath().toString()
+        out.append((full[len(base):] if full.startswith(base) else s.getPath().getName(), int(s.getLen())))
+    return out
+
+
+def move(spark: SparkSession, src: str, dst: str) -> bool:
+    """Rename when the destination's parent is known to exist (no extra checks)."""
+    fs, p, jvm = _fs(spark, src)
+    return bool(fs.rename(p, jvm.org.apache.hadoop.fs.Path(dst)))
+
+
 def stat_key(spark: SparkSession, path: str) -> str:
     """``length-mtime`` of a file, a cheap change detector for derived tables."""
     fs, p, _ = _fs(spark, path)

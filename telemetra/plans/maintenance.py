@@ -23,46 +23,62 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.plans import fs
+from telemetra.functions.timecols import NS_PER_DAY
 from telemetra.plans.layout import MAX_RECORDS_PER_FILE
 
+_EPOCH_ORDINAL = date(1970, 1, 1).toordinal()
+
 TARGET_FILE_BYTES = 512 * 1024 * 1024
 
 
+# Folder name Spark gives a NULL partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _part_path(root: str, cols: Sequence[str], values: Sequence) -> str:
-    return root.rstrip("/") + "/" + "/".join(f"{c}={v}" for c, v in zip(cols, values))
-
-
-def _leaf_partitions(spark: SparkSession, root: str, depth: int) -> list[tuple[str, list[tuple[str, int]]]]:
-    """``[(partition_path, [(file_name, bytes)])]`` for every leaf partition folder."""
-    out = []
-    frontier = [root.rstrip("/")]
-    for _ in range(depth):
-        nxt = []
-        for d in frontier:
-            nxt += [f"{d}/{n}" for n, is_dir, _ in fs.list_dir(spark, d) if is_dir and "=" in n and not n.startswith(("_", "."))]
-        frontier = nxt
-    for d in frontier:
-        files = [(n, size) for n, is_dir, size in fs.list_dir(spark, d)
-                 if not is_dir and n.endswith(".parquet") and not n.startswith(("_", "."))]
-        out.append((d, files))
+    return root.rstrip("/") + "/" + "/".join(f"{c}={NULL_PARTITION if v is None else v}" for c, v in zip(cols, values))
+
+
+def _partition_files(spark: SparkSession, root: str, depth: int) -> dict[str, list[tuple[str, int]]]:
+    """``{partition rel path: [(file name, bytes)]}`` of the data files, from ONE recursive listing.
+
+    Folders starting with ``_`` or ``.`` (staging, trash) and non-Parquet files
+    are ignored, like Spark's own file index does.
+    """
+    out: dict[str, list[tuple[str, int]]] = {}
+    for rel, size in fs.list_files(spark, root):
+        segs = rel.split("/")
+        if len(segs) != depth + 1 or any(x.startswith(("_", ".")) for x in segs):
+            continue
+        if not segs[-1].endswith(".parquet") or not all("=" in x for x in segs[:-1]):
+            continue
+        out.setdefault("/".join(segs[:-1]), []).append((segs[-1], size))
     return out
 
 
-def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str]) -> None:
-    trash = f"{root.rstrip('/')}/_trash-{uuid.uuid4().hex[:8]}"
-    for rel in rel_paths:
-        old = f"{root.rstrip('/')}/{rel}"
-        new = f"{staging}/{rel}"
-        if fs.exists(spark, old):
-            fs.rename(spark, old, f"{trash}/{rel}")
-        if fs.exists(spark, new):
-            fs.rename(spark, new, old)
+def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str], depth: int) -> None:
+    """Replace each partition folder ``rel`` by its staged version (or drop it when none was staged).
+
+    Two renames per partition: the old folder moves into a flat trash folder,
+    the staged one into its place (its parent folder still exists). A failed
+    rename stops the swap with the remaining staged data left for inspection.
+    """
+    root = root.rstrip("/")
+    staged = set(_partition_files(spark, staging, depth)) if fs.exists(spark, staging) else set()
+    trash = f"{root}/_trash-{uuid.uuid4().hex[:8]}"
+    fs.mkdirs(spark, trash)
+    for i, rel in enumerate(rel_paths):
+        if not fs.move(spark, f"{root}/{rel}", f"{trash}/{i}"):
+            raise RuntimeError(f"could not move {root}/{rel} aside; swap stopped, staged data kept in {staging}")
+        if rel in staged and not fs.move(spark, f"{staging}/{rel}", f"{root}/{rel}"):
+            raise RuntimeError(f"could not publish {staging}/{rel}; old data kept in {trash}/{i}")
     fs.delete(spark, trash)
     fs.delete(spark, staging)
 
@@ -70,12 +86,16 @@ def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str]
 def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Sequence[str],
                 want: dict[str, int]) -> DataFrame:
     """One row per rewritten partition: typed partition values + wanted file count."""
-    rows = [[kv.split("=", 1)[1] for kv in rel.split("/")] + [n] for rel, n in want.items()]
+    def value(kv: str) -> str | None:
+        v = kv.split("=", 1)[1]
+        return None if v == NULL_PARTITION else v
+
+    rows = [[value(kv) for kv in rel.split("/")] + [n] for rel, n in want.items()]
     cols = [f"_v{i}" for i in range(len(partition_cols))]
     raw = spark.createDataFrame(rows, T.StructType(
         [T.StructField(c, T.StringType()) for c in cols] + [T.StructField("_want", T.IntegerType())]))
     types = {f.name: f.dataType for f in schema.fields}
-    return raw.select(*[F.col(c).cast(types[p]).alias(p) for c, p in zip(cols, partition_cols)], "_want")
+    return raw.select(*[F.col(c).cast(types[p]).alias(c) for c, p in zip(cols, partition_cols)], "_want")
 
 
 def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
@@ -97,8 +117,10 @@ def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, par
     staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}"
     if expected:
         slot_key = [F.col(c) for c in (sort_cols or [c for c in schema.fieldNames() if c not in partition_cols])]
-        slotted = kept.join(F.broadcast(_want_table(spark, schema, partition_cols, want)), list(partition_cols))
-        slotted = slotted.withColumn("_slot", F.pmod(F.hash(*slot_key), F.col("_want"))).drop("_want")
+        wt = F.broadcast(_want_table(spark, schema, partition_cols, want))
+        on = [kept[c].eqNullSafe(wt[f"_v{i}"]) for i, c in enumerate(partition_cols)]
+        slotted = kept.join(wt, on).withColumn("_slot", F.pmod(F.hash(*slot_key), F.col("_want")))
+        slotted = slotted.drop("_want", *[f"_v{i}" for i in range(len(partition_cols))])
         (
             slotted.repartition(sum(want.values()), *partition_cols, "_slot")
             .sortWithinPartitions(*partition_cols, "_slot", *sort_cols)
@@ -110,30 +132,37 @@ def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, par
         if written != expected:
             fs.delete(spark, staging)
             raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
-    _swap(spark, root, staging, list(want))
+    _swap(spark, root, staging, list(want), len(partition_cols))
     return expected
 
 
-def _files_wanted(spark: SparkSession, root: str, rel: str, target_bytes: int) -> int:
-    size = sum(b for n, is_dir, b in fs.list_dir(spark, f"{root.rstrip('/')}/{rel}") if not is_dir)
-    return max(1, -(-size // target_bytes))
-
-
-def _touched(df: DataFrame, partition_cols: Sequence[str], cond: Column) -> list[dict]:
+def _touched(df: DataFrame, partition_cols: Sequence[str], cond: Column, prune: Column | None = None) -> list[dict]:
     """Partitions with rows matching ``cond`` and, for those only, how many rows survive.
 
-    The first aggregate filters with ``cond`` (pushed into the Parquet scan, so
-    row groups outside the range are skipped); the second reads only the touched
-    partitions (partition filter). Results have one row per partition.
+    With ``prune`` (a predicate on partition columns implied by ``cond``, e.g.
+    ``event_date <= cutoff day`` for ``time < cutoff``) this is one aggregate
+    over the pruned partitions. Without it, the first aggregate filters with
+    ``cond`` (pushed into the Parquet scan, so row groups outside the range are
+    skipped) and the second reads only the touched partitions (partition
+    filter). Results have one row per partition.
     """
+    keep = ~cond | cond.isNull()
+    if prune is not None:
+        rows = (
+            df.where(prune).groupBy(*partition_cols)
+            .agg(F.count_if(cond).alias("hit"), F.count_if(keep).alias("survive"))
+            .where(F.col("hit") > 0)
+            .collect()
+        )
+        return [r.asDict() for r in rows]
     hits = [r.asDict() for r in df.where(cond).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("hit")).collect()]
     if not hits:
         return []
     # one flat IN over a key made only of partition columns: evaluated as a
     # partition filter at file listing, so only touched partitions are read
-    key = F.concat_ws("/", *[F.col(c).cast("string") for c in partition_cols])
-    in_touched = key.isin(["/".join(str(r[c]) for c in partition_cols) for r in hits])
-    keep = ~cond | cond.isNull()
+    key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_PARTITION)) for c in partition_cols])
+    in_touched = key.isin(["/".join(NULL_PARTITION if r[c] is None else str(r[c]) for c in partition_cols)
+                           for r in hits])
     surv = {tuple(r[c] for c in partition_cols): r["survive"]
             for r in df.where(in_touched & keep).groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("survive")).collect()}
     for r in hits:
@@ -142,25 +171,46 @@ def _touched(df: DataFrame, partition_cols: Sequence[str], cond: Column) -> list
 
 
 def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
-                 cond: Column, sort_cols: Sequence[str] = ()) -> int:
+                 cond: Column, sort_cols: Sequence[str] = (), prune: Column | None = None) -> int:
     """Delete rows matching ``cond``: drop fully-matching partitions, rewrite partial ones.
 
-    Returns the number of deleted rows. Rows where ``cond`` is NULL are kept.
+    ``prune`` optionally restricts the search to partitions that can hold
+    matching rows (see :func:`_touched`). Returns the number of deleted rows.
+    Rows where ``cond`` is NULL are kept.
     """
     df = spark.read.schema(schema).parquet(root)
-    touched = _touched(df, partition_cols, cond)
+    touched = _touched(df, partition_cols, cond, prune)
     if not touched:
         return 0
     deleted = sum(r["hit"] for r in touched)
-    drop = [_part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched if r["survive"] == 0]
-    partial = [_part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched if r["survive"] > 0]
-    want = {rel: _files_wanted(spark, root, rel, TARGET_FILE_BYTES) for rel in partial}
-    rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols)
-    for rel in drop:
-        fs.delete(spark, f"{root.rstrip('/')}/{rel}")
+    rel = {id(r): _part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched}
+    drop = [rel[id(r)] for r in touched if r["survive"] == 0]
+    partial = [rel[id(r)] for r in touched if r["survive"] > 0]
+    if partial:
+        sizes = _partition_files(spark, root, len(partition_cols))
+        want = {p: _files_for(sum(b for _, b in sizes.get(p, [])), TARGET_FILE_BYTES) for p in partial}
+        rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols)
+    for p in drop:
+        fs.delete(spark, f"{root.rstrip('/')}/{p}")
     return deleted
 
 
+def _files_for(size: int, target_bytes: int) -> int:
+    return max(1, -(-size // target_bytes))
+
+
+def day_prune(partition_cols: Sequence[str], cutoff_ns: int) -> Column | None:
+    """``event_date <= day of (cutoff + 1 µs)`` when the table is day-partitioned.
+
+    Rows with ``time < cutoff`` can only sit in days up to the cutoff day; the
+    extra microsecond covers a curated ``event_date`` taken from the rounded
+    microsecond time. A superset is safe: the exact condition decides.
+    """
+    if "event_date" not in partition_cols:
+        return None
+    return F.col("event_date") <= F.lit(date.fromordinal(_EPOCH_ORDINAL + (cutoff_ns + 1_000) // NS_PER_DAY))
+
+
 def retention_sweep(spark: SparkSession, tables: dict[str, tuple[str, T.StructType, Sequence[str], Sequence[str]]],
                     plan: list[tuple[str, str, int]]) -> dict[str, int]:
     """M3: delete rows older than the cutoff from each existing table of the plan.
@@ -177,7 +227,7 @@ def retention_sweep(spark: SparkSession, tables: dict[str, tuple[str, T.StructTy
         root, schema, parts, sort = tables[name]
         if not fs.exists(spark, root):
             continue
-        n = delete_where(spark, root, schema, parts, F.col(col) < F.lit(cutoff), sort)
+        n = delete_where(spark, root, schema, parts, F.col(col) < F.lit(cutoff), sort, day_prune(parts, cutoff))
         if n:
             deleted[name] = n
     return deleted
@@ -191,18 +241,17 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
     be stored in fewer files of ``target_bytes``. Returns counts of partitions
     and files before/after. The row multiset is unchanged (checked).
     """
-    leaves = _leaf_partitions(spark, root, len(partition_cols))
+    depth = len(partition_cols)
     frag = []
-    for path, files in leaves:
-        size = sum(b for _, b in files)
-        want = max(1, -(-size // target_bytes))
+    for rel, files in sorted(_partition_files(spark, root, depth).items()):
+        want = _files_for(sum(b for _, b in files), target_bytes)
         if len(files) >= min_files and want < len(files):
-            frag.append((path[len(root.rstrip('/')) + 1:], len(files), want))
+            frag.append((rel, len(files), want))
     if not frag:
         return {"partitions": 0, "files_before": 0, "files_after": 0}
     rewrite_partitions(spark, root, schema, partition_cols, None, {r: w for r, _, w in frag}, sort_cols)
-    after = sum(len(files) for path, files in _leaf_partitions(spark, root, len(partition_cols))
-                if path[len(root.rstrip('/')) + 1:] in {r for r, _, _ in frag})
+    now = _partition_files(spark, root, depth)
+    after = sum(len(now.get(r, [])) for r, _, _ in frag)
     return {"partitions": len(frag), "files_before": sum(n for _, n, _ in frag), "files_after": after}
 
 
@@ -248,10 +297,10 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
         fs.delete(spark, staging)
         raise RuntimeError("staged cold copy does not match; hot batches left in place")
     # publish: move each staged file into the cold partition folders, then drop the batches
-    for path, files in _leaf_partitions(spark, staging, len(partition_cols)):
-        rel = path[len(staging) + 1:]
+    for rel, files in _partition_files(spark, staging, len(partition_cols)).items():
+        fs.mkdirs(spark, f"{cold}/{rel}")
         for fname, _ in files:
-            fs.rename(spark, f"{path}/{fname}", f"{cold}/{rel}/{uuid.uuid4().hex[:8]}-{fname}")
+            fs.move(spark, f"{staging}/{rel}/{fname}", f"{cold}/{rel}/{uuid.uuid4().hex[:8]}-{fname}")
     fs.delete(spark, staging)
     for n in names:
         fs.delete(spark, f"{hot}/{n}")

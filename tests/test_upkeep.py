@@ -72,3 +72,35 @@ def test_expire_history(spark, tmp_root):
     purged = expire_history(spark, root, schema, ["event_date"], horizon_snapshot=7)
     assert purged == v.count() - live
     assert spark.read.parquet(root).count() == live
+
+
+def test_day_pruned_search_equals_two_pass(spark, tmp_root):
+    from telemetra.operators.curate import curate
+    from telemetra.plans.maintenance import _touched, day_prune
+
+    ue = curate(logs_from_events(events(spark)))
+    root = f"{tmp_root}/ue"
+    layout.write_curated(ue, root, buckets=4, day_level=True)
+    parts = list(layout.CURATED_PARTITION)
+    df = layout.read_curated(spark, root)
+    for days in (3, 7, 29):
+        cutoff = M.retention_plan(days, AS_OF)[0][2]
+        cond = F.col("event_time_unix_nano") < F.lit(cutoff)
+        key = lambda rows: sorted((r["subject"], r["event_date"], r["person_bucket"], r["hit"], r["survive"]) for r in rows)
+        pruned = _touched(df, parts, cond, day_prune(parts, cutoff))
+        assert pruned and key(pruned) == key(_touched(df, parts, cond))
+
+
+def test_rewrite_keeps_null_partition(spark, tmp_root):
+    v = versioned_logs(events(spark)).withColumn(
+        "time_unix_nano", F.when(F.col("event_id") % 10 == 0, F.lit(None)).otherwise(F.col("time_unix_nano")))
+    v = v.withColumn("event_date", F.when(F.col("time_unix_nano").isNotNull(), F.to_date(F.lit("2024-01-01"))))
+    root = f"{tmp_root}/vn"
+    v.write.partitionBy("event_date").parquet(root)
+    schema = spark.read.parquet(root).schema
+    keep = v.where(F.col("end_snapshot").isNull() | (F.col("end_snapshot") > 7))
+    purged = expire_history(spark, root, schema, ["event_date"], horizon_snapshot=7)
+    assert purged == v.count() - keep.count() > 0
+    after = spark.read.schema(schema).parquet(root)
+    assert after.count() == keep.count()
+    assert after.where(F.col("event_date").isNull()).count() == keep.where(F.col("event_date").isNull()).count() > 0

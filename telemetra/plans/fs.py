@@ -6,13 +6,25 @@ object stores); used only for publish steps (exists / rename / delete / list).
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import SparkSession
 
 
+_HANDLES: dict[tuple, tuple] = {}
+
+
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+    """``(FileSystem, Path(path), jvm)``; the FileSystem and Path class are cached per
+    context and scheme/authority, so a call costs one round trip for the Path."""
+    sc = spark.sparkContext
+    u = urlsplit(path)
+    key = (id(sc), u.scheme, u.netloc)
+    h = _HANDLES.get(key)
+    if h is None or h[2] is not sc:
+        path_cls = sc._jvm.org.apache.hadoop.fs.Path
+        h = _HANDLES[key] = (path_cls(path).getFileSystem(sc._jsc.hadoopConfiguration()), path_cls, sc)
+    return h[0], h[1](path), sc._jvm
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,29 +59,16 @@ def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return [(s.getPath().getName(), bool(s.isDirectory()), int(s.getLen())) for s in fs.listStatus(p)]
 
 
-def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """``[(path relative to root, length)]`` of every file below ``root``; empty if absent.
-
-    One recursive listing (``FileSystem.listFiles``): on object stores a flat,
-    paginated key listing instead of one call per directory.
-    """
-    fs, p, _ = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    base = fs.makeQualified(p).toString().rstrip("/") + "/"
-    out = []
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        s = it.next()
-        full = s.getPath().toString()
-        out.append((full[len(base):] if full.startswith(base) else s.getPath().getName(), int(s.getLen())))
-    return out
+def qualified(spark: SparkSession, path: str) -> str:
+    """Fully qualified form of ``path`` (scheme and authority), as file listings report it."""
+    fs, p, _ = _fs(spark, path)
+    return str(fs.makeQualified(p).toString()).rstrip("/")
 
 
 def move(spark: SparkSession, src: str, dst: str) -> bool:
     """Rename when the destination's parent is known to exist (no extra checks)."""
-    fs, p, jvm = _fs(spark, src)
-    return bool(fs.rename(p, jvm.org.apache.hadoop.fs.Path(dst)))
+    fs, p, _ = _fs(spark, src)
+    return bool(fs.rename(p, _fs(spark, dst)[1]))
 
 
 def stat_key(spark: SparkSession, path: str) -> str:

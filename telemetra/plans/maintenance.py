@@ -46,21 +46,33 @@ def _part_path(root: str, cols: Sequence[str], values: Sequence) -> str:
     return root.rstrip("/") + "/" + "/".join(f"{c}={NULL_PARTITION if v is None else v}" for c, v in zip(cols, values))
 
 
-def _partition_files(spark: SparkSession, root: str, depth: int) -> dict[str, list[tuple[str, int]]]:
-    """``{partition rel path: [(file name, bytes)]}`` of the data files, from ONE recursive listing.
+def _data_files(spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """``(dir, file, bytes)`` of the Parquet files ``depth`` partition levels below ``root``.
 
-    Folders starting with ``_`` or ``.`` (staging, trash) and non-Parquet files
-    are ignored, like Spark's own file index does.
+    A distributed listing: the ``binaryFile`` source lists names and sizes only
+    (no content is read when ``content`` is not selected) and, past a few
+    folders, lists in parallel on the executors. Folders starting with ``_`` or
+    ``.`` (staging, trash) are skipped like in any Spark file listing.
     """
-    out: dict[str, list[tuple[str, int]]] = {}
-    for rel, size in fs.list_files(spark, root):
-        segs = rel.split("/")
-        if len(segs) != depth + 1 or any(x.startswith(("_", ".")) for x in segs):
-            continue
-        if not segs[-1].endswith(".parquet") or not all("=" in x for x in segs[:-1]):
-            continue
-        out.setdefault("/".join(segs[:-1]), []).append((segs[-1], size))
-    return out
+    base = fs.qualified(spark, root)
+    rel = F.substring(F.col("path"), len(base) + 2, 1 << 30)
+    return (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+        .load(root)
+        .where(F.col("path").startswith(base + "/"))
+        .select(F.regexp_replace(rel, "/[^/]*$", "").alias("dir"), F.regexp_extract(rel, "[^/]*$", 0).alias("file"),
+                F.col("length").alias("bytes"))
+        .where(F.size(F.split("dir", "/")) == depth)
+    )
+
+
+def _partition_stats(spark: SparkSession, root: str, depth: int) -> dict[str, tuple[int, int]]:
+    """``{partition rel path: (data files, bytes)}``; one row per partition reaches the driver."""
+    if not fs.exists(spark, root):
+        return {}
+    rows = _data_files(spark, root, depth).groupBy("dir").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes")).collect()
+    return {r["dir"]: (int(r["files"]), int(r["bytes"])) for r in rows if all("=" in x for x in r["dir"].split("/"))}
 
 
 def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str], depth: int) -> None:
@@ -71,7 +83,7 @@ def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str]
     rename stops the swap with the remaining staged data left for inspection.
     """
     root = root.rstrip("/")
-    staged = set(_partition_files(spark, staging, depth)) if fs.exists(spark, staging) else set()
+    staged = set(_partition_stats(spark, staging, depth))
     trash = f"{root}/_trash-{uuid.uuid4().hex[:8]}"
     fs.mkdirs(spark, trash)
     for i, rel in enumerate(rel_paths):
@@ -187,8 +199,8 @@ def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition
     drop = [rel[id(r)] for r in touched if r["survive"] == 0]
     partial = [rel[id(r)] for r in touched if r["survive"] > 0]
     if partial:
-        sizes = _partition_files(spark, root, len(partition_cols))
-        want = {p: _files_for(sum(b for _, b in sizes.get(p, [])), TARGET_FILE_BYTES) for p in partial}
+        sizes = _partition_stats(spark, root, len(partition_cols))
+        want = {p: _files_for(sizes.get(p, (0, 0))[1], TARGET_FILE_BYTES) for p in partial}
         rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols)
     for p in drop:
         fs.delete(spark, f"{root.rstrip('/')}/{p}")
@@ -243,15 +255,15 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
     """
     depth = len(partition_cols)
     frag = []
-    for rel, files in sorted(_partition_files(spark, root, depth).items()):
-        want = _files_for(sum(b for _, b in files), target_bytes)
-        if len(files) >= min_files and want < len(files):
-            frag.append((rel, len(files), want))
+    for rel, (files, size) in sorted(_partition_stats(spark, root, depth).items()):
+        want = _files_for(size, target_bytes)
+        if files >= min_files and want < files:
+            frag.append((rel, files, want))
     if not frag:
         return {"partitions": 0, "files_before": 0, "files_after": 0}
     rewrite_partitions(spark, root, schema, partition_cols, None, {r: w for r, _, w in frag}, sort_cols)
-    now = _partition_files(spark, root, depth)
-    after = sum(len(now.get(r, [])) for r, _, _ in frag)
+    now = _partition_stats(spark, root, depth)
+    after = sum(now.get(r, (0, 0))[0] for r, _, _ in frag)
     return {"partitions": len(frag), "files_before": sum(n for _, n, _ in frag), "files_after": after}
 
 
@@ -297,10 +309,12 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
         fs.delete(spark, staging)
         raise RuntimeError("staged cold copy does not match; hot batches left in place")
     # publish: move each staged file into the cold partition folders, then drop the batches
-    for rel, files in _partition_files(spark, staging, len(partition_cols)).items():
+    # (one row per staged file reaches the driver: each file is one rename there)
+    staged = _data_files(spark, staging, len(partition_cols)).select("dir", "file").collect()
+    for rel in sorted({r["dir"] for r in staged}):
         fs.mkdirs(spark, f"{cold}/{rel}")
-        for fname, _ in files:
-            fs.move(spark, f"{staging}/{rel}/{fname}", f"{cold}/{rel}/{uuid.uuid4().hex[:8]}-{fname}")
+    for r in staged:
+        fs.move(spark, f"{staging}/{r['dir']}/{r['file']}", f"{cold}/{r['dir']}/{uuid.uuid4().hex[:8]}-{r['file']}")
     fs.delete(spark, staging)
     for n in names:
         fs.delete(spark, f"{hot}/{n}")

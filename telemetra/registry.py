@@ -31,7 +31,7 @@ from telemetra.tables import Tables
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
-JOBS = ("ingest_stream", "curate_incremental", "retention_sweep", "compact")
+JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "retention_sweep", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
@@ -406,6 +406,16 @@ def _(t: Tables):
 _LOG_COLS = "event_id, time_unix_nano, body, severity_text, service_name, log_attributes"
 
 
+def _versioned_stored():
+    from pyspark.sql import types as T
+    from telemetra.plans.layout import RAW_LOGS_STORED
+    return T.StructType(list(RAW_LOGS_STORED.fields) + [T.StructField("begin_snapshot", T.LongType()),
+                                                       T.StructField("end_snapshot", T.LongType())])
+
+
+VERSIONED_STORED = _versioned_stored()
+
+
 @register("snapshots", W_("commits") + "SELECT snapshot_id, snapshot_time FROM commits ORDER BY snapshot_id DESC LIMIT 10")
 def _(t: Tables):
     return H.snapshots(t.commits)
@@ -557,6 +567,29 @@ def _(t: Tables):
     return curation.curated_view(t.spark, f"{run}/ue").select(*USER_EVENT_COLUMNS)
 
 
+@register("rebuild_curated", W_("ue") + f"SELECT {UE_COLS} FROM ue")
+def _(t: Tables):
+    from telemetra.operators.curate import curate
+    from telemetra.streaming import curation, ingest
+    from telemetra.streaming.sinks import publish_batch
+    run = _run_dir(t)
+    raw, ue, ck = f"{run}/raw", f"{run}/ue", f"{run}/ck_curate"
+    flat = otlp.ingest_logs(otlp.logs_payloads(t.logs))  # the raw table as the ingest stream publishes it
+    publish_batch(flat, raw, 0, lambda d, p: ingest.write_raw_batch(d, p, "time_unix_nano", ("body", "time_unix_nano")))
+    # an older release curated the raw table without ``subject`` and checkpointed its progress
+    stale = t.spark.readStream.schema(curation.raw_schema().add("batch", "string")).parquet(f"{raw}/hot")
+
+    def old_sink(batch: DataFrame, batch_id: int) -> None:
+        publish_batch(batch, ue, batch_id, lambda d, p: curate(d).drop("subject").write.mode("overwrite").parquet(p))
+
+    _stream(stale.writeStream.foreachBatch(old_sink).option("checkpointLocation", ck)
+            .trigger(availableNow=True).start())
+    if not curation.ensure_curated(t.spark, ue, ck):  # C6: detect, drop table and progress
+        raise RuntimeError("stale curated table was not detected")
+    _stream(curation.start_curation(t.spark, raw, ue, checkpoint=ck, settings=t.settings))
+    return curation.curated_view(t.spark, ue).select(*USER_EVENT_COLUMNS)
+
+
 def _sweep_sql() -> str:
     cutoff = O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))
     return W_("ue") + " UNION ALL ".join(
@@ -605,14 +638,30 @@ def _(t: Tables):
         "event_id", "time_unix_nano", "body", "severity_text", "log_attributes")
 
 
-@register("expire_history", W_("logs_v", "commits") +
-          f"SELECT {_LOG_COLS}, begin_snapshot, end_snapshot FROM logs_v "
-          "WHERE end_snapshot IS NULL OR end_snapshot > (SELECT max(snapshot_id) FROM commits)")
+_EXPIRE_SQL = (W_("logs_v", "commits") +
+               f"SELECT {_LOG_COLS}, begin_snapshot, end_snapshot FROM logs_v "
+               "WHERE end_snapshot IS NULL OR end_snapshot > (SELECT max(snapshot_id) FROM commits)")
+
+
+@register("expire_preview", _EXPIRE_SQL)
 def _(t: Tables):
     horizon = t.commits.select(F.max("snapshot_id")).scalar()
     return H.expire(t.logs_v, horizon)
 
 
+@register("expire_history", _EXPIRE_SQL)
+def _(t: Tables):
+    from telemetra.plans import layout
+    from telemetra.plans.maintenance import expire_history
+    run = _run_dir(t)
+    root = f"{run}/logs_v"
+    layout.write_raw_logs(t.logs_v, root)  # day partitions, sorted like the raw table
+    horizon = t.commits.agg(F.max("snapshot_id")).first()[0]  # one scalar: the job's parameter
+    expire_history(t.spark, root, VERSIONED_STORED, ["event_date"], horizon, list(layout.RAW_LOGS_SORT))
+    return t.spark.read.schema(VERSIONED_STORED).parquet(root).select(
+        *[c.strip() for c in _LOG_COLS.split(",")], "begin_snapshot", "end_snapshot")
+
+
 def queries() -> dict[str, Build]:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -6,8 +6,9 @@ result interpolates the values at ranks ``floor`` and ``ceil`` of it.
 
 Two plans, chosen by a measured bound:
 
-* groups with at most ``bound`` distinct values: the built-in ``percentile``
-  aggregate (partial aggregation; its state is a value->count map per group);
+* groups with at most ``bound`` rows (so at most that many distinct values):
+  the built-in ``percentile`` aggregate (partial aggregation; its state is a
+  value->count map per group);
 * otherwise a rank computation that never holds one group in one task: values
   are first counted per ``(group, value)`` (partial aggregation), the counted
   values are range-partitioned on ``(group, value)`` into slices, per-slice
@@ -33,9 +34,12 @@ def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float,
     NULL values are ignored. ``extra`` aggregates are computed in the same
     aggregate (built-in plan) or in a separate aggregate joined per group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    if bound is not None and max_group_rows(counts, groups) <= bound:
+    present = df.where(F.col(value).isNotNull())
+    # rows per group bound the distinct values per group (the built-in state); the
+    # measurement is a partial aggregate, so its shuffle is one row per group per task
+    if bound is not None and max_group_rows(present, groups) <= bound:
         return df.groupBy(*groups).agg(F.percentile(F.col(value), F.lit(q)).alias(alias), *extra)
+    counts = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
     out = _ranked_percentile(counts, list(groups), value, q, alias)
     if extra:
         out = df.groupBy(*groups).agg(*extra).join(out, list(groups), "left")

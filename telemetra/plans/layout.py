@@ -56,6 +56,10 @@ def _with_schema(base: T.StructType, *extra: tuple[str, T.DataType]) -> T.Struct
 RAW_LOGS_STORED = _with_schema(LOGS, ("event_date", T.DateType()))
 TRACES_STORED = _with_schema(TRACES, ("event_date", T.DateType()))
 CURATED_STORED = _with_schema(USER_EVENTS, ("event_date", T.DateType()), ("person_bucket", T.IntegerType()))
+# the row-versioned raw log: raw layout plus the commit that added / removed each row
+VERSIONED_LOGS_STORED = _with_schema(RAW_LOGS_STORED, ("begin_snapshot", T.LongType()), ("end_snapshot", T.LongType()))
+COMMITS_STORED = T.StructType([T.StructField("snapshot_id", T.LongType(), True),
+                               T.StructField("snapshot_time", T.TimestampNTZType(), True)])
 
 
 # --- writers ---------------------------------------------------------------------
@@ -116,6 +120,19 @@ def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_LOGS_STORED).parquet(path)
 
 
+def read_versioned_logs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VERSIONED_LOGS_STORED).parquet(path)
+
+
+def write_commits(commits: DataFrame, path: str) -> None:
+    """The commit table: one row per snapshot (small by nature), one file."""
+    commits.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMMITS_STORED).parquet(path)
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACES_STORED).parquet(path)
 

@@ -406,14 +406,7 @@ def _(t: Tables):
 _LOG_COLS = "event_id, time_unix_nano, body, severity_text, service_name, log_attributes"
 
 
-def _versioned_stored():
-    from pyspark.sql import types as T
-    from telemetra.plans.layout import RAW_LOGS_STORED
-    return T.StructType(list(RAW_LOGS_STORED.fields) + [T.StructField("begin_snapshot", T.LongType()),
-                                                       T.StructField("end_snapshot", T.LongType())])
-
-
-VERSIONED_STORED = _versioned_stored()
+LOG_COLS = [c.strip() for c in _LOG_COLS.split(",")]
 
 
 @register("snapshots", W_("commits") + "SELECT snapshot_id, snapshot_time FROM commits ORDER BY snapshot_id DESC LIMIT 10")
@@ -438,7 +431,7 @@ def _(t: Tables):
 @register("as_of", W_("logs_v", "commits") +
           f"SELECT {_LOG_COLS} FROM logs_v WHERE begin_snapshot <= {_S} AND (end_snapshot IS NULL OR end_snapshot > {_S})")
 def _(t: Tables):
-    return H.as_of_time(t.logs_v, t.commits, AS_OF_AT)
+    return H.as_of_time(t.logs_v, t.commits, AS_OF_AT).select(*LOG_COLS)
 
 
 _CH = (f"FROM logs_v, (SELECT count(*) AS nc FROM commits) k, "
@@ -454,7 +447,7 @@ def _(t: Tables):
 
 @register("table_changes", W_("logs_v", "commits") + f"SELECT {_LOG_COLS}, begin_snapshot, end_snapshot, change_type {_CH}")
 def _(t: Tables):
-    return H.table_changes(t.logs_v, t.commits, *CHANGES)
+    return H.table_changes(t.logs_v, t.commits, *CHANGES).select(*LOG_COLS, "begin_snapshot", "end_snapshot", "change_type")
 
 
 # ---------------------------------------------------------------- upkeep (M2, M6)
@@ -646,7 +639,7 @@ _EXPIRE_SQL = (W_("logs_v", "commits") +
 @register("expire_preview", _EXPIRE_SQL)
 def _(t: Tables):
     horizon = t.commits.select(F.max("snapshot_id")).scalar()
-    return H.expire(t.logs_v, horizon)
+    return H.expire(t.logs_v, horizon).select(*LOG_COLS, "begin_snapshot", "end_snapshot")
 
 
 @register("expire_history", _EXPIRE_SQL)
@@ -655,11 +648,10 @@ def _(t: Tables):
     from telemetra.plans.maintenance import expire_history
     run = _run_dir(t)
     root = f"{run}/logs_v"
-    layout.write_raw_logs(t.logs_v, root)  # day partitions, sorted like the raw table
+    layout.write_raw_logs(t.logs_v.drop("event_date"), root)  # day partitions, sorted like the raw table
     horizon = t.commits.agg(F.max("snapshot_id")).first()[0]  # one scalar: the job's parameter
-    expire_history(t.spark, root, VERSIONED_STORED, ["event_date"], horizon, list(layout.RAW_LOGS_SORT))
-    return t.spark.read.schema(VERSIONED_STORED).parquet(root).select(
-        *[c.strip() for c in _LOG_COLS.split(",")], "begin_snapshot", "end_snapshot")
+    expire_history(t.spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], horizon, list(layout.RAW_LOGS_SORT))
+    return layout.read_versioned_logs(t.spark, root).select(*LOG_COLS, "begin_snapshot", "end_snapshot")
 
 
 def queries() -> dict[str, Build]:

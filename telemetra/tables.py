@@ -1,12 +1,13 @@
 """The telemetry tables of one data folder, derived from its ``events``.
 
 ``logs`` and ``traces`` play the landed raw tables and ``ue`` the curated
-``user_events`` table: each is built once by Spark from ``events`` and written
-with its physical layout (day partitions; subject / day / person bucket for the
-curated table) under the shared job folder, then read back, so every query
-scans a laid-out table with partition pruning instead of re-deriving it. With
+``user_events`` table, ``logs_v`` the row-versioned log and ``commits`` its
+commit table: each is built once by Spark from ``events`` and written with its
+physical layout (day partitions; subject / day / person bucket for the curated
+table) under the shared job folder, then read back, so every query scans a
+laid-out table with partition pruning instead of re-deriving it. With
 ``land=False`` they are lazy projections of ``events`` instead. Metric tables
-and the row-versioned log are always lazy projections.
+are always lazy projections.
 """
 
 from __future__ import annotations
@@ -78,12 +79,26 @@ class Tables:
         return fixtures.sum_from_events(self.events)
 
     @cached_property
-    def logs_v(self) -> DataFrame:
+    def logs_v_lazy(self) -> DataFrame:
         return fixtures.versioned_logs(self.events, self.settings.salt, self.settings.subject_attr)
 
+    @cached_property
+    def logs_v(self) -> DataFrame:
+        """The row-versioned log, stored with the raw layout (day partitions)."""
+        if not self.land:
+            return self.logs_v_lazy
+        return layout.materialized(self.spark, self._key("logs_v"), "logs_v", lambda: self.logs_v_lazy,
+                                   layout.write_raw_logs, layout.read_versioned_logs)
+
     @cached_property
     def commits(self) -> DataFrame:
-        return fixtures.commits_from_versions(self.logs_v)
+        """The commit table, landed once: history queries read a tiny table, never
+        a scan of the versioned log."""
+        if not self.land:
+            return fixtures.commits_from_versions(self.logs_v_lazy)
+        return layout.materialized(self.spark, self._key("commits"), "commits",
+                                   lambda: fixtures.commits_from_versions(self.logs_v),
+                                   layout.write_commits, layout.read_commits)
 
     @cached_property
     def ue(self) -> DataFrame:

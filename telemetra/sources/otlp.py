@@ -107,7 +107,7 @@ def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_re
     """``resourceLogs[].scopeLogs[].logRecords[]`` -> one ``logs`` row per record."""
     x = F.col("_x")
     return _records(payloads, LOGS_PAYLOAD, "resourceLogs", "scopeLogs", "logRecords").select(
-        x["timeUnixNano"].cast("long").alias("time_unix_nano"),
+        x["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
         x["body"]["stringValue"].alias("body"),
         x["severityText"].alias("severity_text"),
         x["severityNumber"].alias("severity_number"),
@@ -120,8 +120,8 @@ def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_re
 def ingest_traces(payloads: DataFrame, promote: Iterable[str] = ()) -> DataFrame:
     """``resourceSpans[].scopeSpans[].spans[]`` -> ``traces``; duration = end - start."""
     x = F.col("_x")
-    start = x["startTimeUnixNano"].cast("long")
-    end = x["endTimeUnixNano"].cast("long")
+    start = x["startTimeUnixNano"].try_cast("long")
+    end = x["endTimeUnixNano"].try_cast("long")
     return _records(payloads, TRACES_PAYLOAD, "resourceSpans", "scopeSpans", "spans").select(
         x["traceId"].alias("trace_id"),
         x["spanId"].alias("span_id"),
@@ -143,7 +143,7 @@ def _ingest_points(payloads: DataFrame, kind: str, promote: Iterable[str]) -> Da
                          F.explode(F.col("_x")[kind]["dataPoints"]).alias("_d"))
     d = F.col("_d")
     return pts.select(
-        d["timeUnixNano"].cast("long").alias("time_unix_nano"),
+        d["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
         F.col("_n").alias("name"),
         F.col("_u").alias("unit"),
         d["asDouble"].alias("double_value"),

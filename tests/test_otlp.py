@@ -53,3 +53,14 @@ def test_traces_and_metrics(spark):
     df = spark.createDataFrame([(json.dumps(m),)], "payload string")
     assert [(r.name, r.double_value) for r in otlp.ingest_gauge(df).collect()] == [("g", 2.5)]
     assert [(r.name, r.double_value) for r in otlp.ingest_sum(df).collect()] == [("c", 3.0)]
+
+
+def test_malformed_time_is_null_not_a_failure(spark):
+    from telemetra.operators.curate import curate
+
+    good = {"timeUnixNano": "1700000000123456789", "body": {"stringValue": "page_view"}, "attributes": []}
+    bad = dict(good, timeUnixNano="17e9x")
+    df = spark.createDataFrame([(payload([good, bad]),)], "payload string")
+    rows = sorted(curate(otlp.ingest_logs(df)).collect(), key=lambda r: r.event_time_unix_nano is None)
+    assert [r.event_time_unix_nano for r in rows] == [1700000000123456789, None]
+    assert rows[1].event_time is None and rows[1].subject == "activities"

@@ -59,6 +59,13 @@ def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return [(s.getPath().getName(), bool(s.isDirectory()), int(s.getLen())) for s in fs.listStatus(p)]
 
 
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Full paths matching a glob pattern (one listing call, only matches come back)."""
+    fs, p, _ = _fs(spark, pattern)
+    found = fs.globStatus(p)
+    return [] if found is None else [str(s.getPath().toString()) for s in found]
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """Fully qualified form of ``path`` (scheme and authority), as file listings report it."""
     fs, p, _ = _fs(spark, path)

@@ -17,6 +17,11 @@ A Parquet folder has no atomic multi-directory swap: between the removal of an
 old partition folder and the rename of its replacement a reader can miss that
 partition for a moment. A table format with transactional commits removes that
 window; these jobs keep the gap to two renames per partition.
+
+Every publish step is journaled before its first rename (see :func:`_publish`),
+and every job first rolls forward an unfinished publish of its table
+(:func:`recover`): a driver lost in the middle of a swap leaves neither a
+missing partition nor duplicated rows behind.
 """
 
 from __future__ import annotations
@@ -75,24 +80,88 @@ def _partition_stats(spark: SparkSession, root: str, depth: int) -> dict[str, tu
     return {r["dir"]: (int(r["files"]), int(r["bytes"])) for r in rows if all("=" in x for x in r["dir"].split("/"))}
 
 
+# --- publish journal ---------------------------------------------------------------
+
+_JOURNAL_SCHEMA = "seq int, op string, src string, dst string"
+
+
+def _new_publish(root: str) -> str:
+    return f"{root.rstrip('/')}/_publish-{uuid.uuid4().hex[:8]}"
+
+
+def _publish(spark: SparkSession, pub: str, steps: list[tuple[str, str, str]], cleanup: Sequence[str] = ()) -> None:
+    """Run ``steps`` ``[(op, src, dst)]`` (``mkdirs`` / ``move`` / ``delete``) as one journaled publish.
+
+    The steps are written to ``<pub>/_journal`` (``pub`` from :func:`_new_publish`,
+    one small JSON file) before anything is renamed. Deleting the journal is the commit point;
+    only then are ``cleanup`` paths and the publish folder removed. If the
+    driver is lost before that, :func:`recover` replays the journal; every step
+    is idempotent in replay (a move runs only while its source exists and its
+    target does not), so the table rolls forward to the same end state.
+    """
+    rows = [(i, op, a, b) for i, (op, a, b) in enumerate(steps)]
+    rows += [(len(rows) + j, "cleanup", c, "") for j, c in enumerate(cleanup)]
+    spark.createDataFrame(rows, _JOURNAL_SCHEMA).coalesce(1).write.json(f"{pub}/_journal")
+    _replay(spark, pub, rows, check=False)
+
+
+def _replay(spark: SparkSession, pub: str, rows: Sequence, check: bool) -> None:
+    rows = sorted(tuple(r) for r in rows)
+    for _, op, a, b in rows:
+        if op == "mkdirs":
+            fs.mkdirs(spark, a)
+        elif op == "move":
+            if check and (not fs.exists(spark, a) or fs.exists(spark, b)):
+                continue  # done before the interruption
+            if not fs.move(spark, a, b):
+                raise RuntimeError(f"could not move {a} -> {b}; the next upkeep run resumes from {pub}")
+        elif op == "delete":
+            fs.delete(spark, a)
+    fs.delete(spark, f"{pub}/_journal")  # commit point
+    for _, op, a, _b in rows:
+        if op == "cleanup":
+            fs.delete(spark, a)
+    fs.delete(spark, pub)
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Roll forward unfinished publishes of the table at ``root``; drop leftover staging.
+
+    Publish folders with a complete journal are replayed; those whose journal
+    was never completed had not renamed anything and are removed, as are
+    ``_staging-*`` folders (one job owns a table's upkeep, so none is live).
+    Returns the number of publishes rolled forward.
+    """
+    root = root.rstrip("/")
+    done = 0
+    for pub in fs.glob(spark, f"{root}/_publish-*"):
+        if fs.exists(spark, f"{pub}/_journal/_SUCCESS"):
+            rows = spark.read.schema(_JOURNAL_SCHEMA).json(f"{pub}/_journal").collect()
+            _replay(spark, pub, rows, check=True)
+            done += 1
+        else:
+            fs.delete(spark, pub)
+    for leftover in fs.glob(spark, f"{root}/_staging-*"):
+        fs.delete(spark, leftover)
+    return done
+
+
 def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str], depth: int) -> None:
     """Replace each partition folder ``rel`` by its staged version (or drop it when none was staged).
 
-    Two renames per partition: the old folder moves into a flat trash folder,
-    the staged one into its place (its parent folder still exists). A failed
-    rename stops the swap with the remaining staged data left for inspection.
+    Two renames per partition: the old folder moves aside into the publish
+    folder, the staged one into its place (its parent folder still exists).
     """
     root = root.rstrip("/")
     staged = set(_partition_stats(spark, staging, depth))
-    trash = f"{root}/_trash-{uuid.uuid4().hex[:8]}"
-    fs.mkdirs(spark, trash)
+    pub = _new_publish(root)
+    aside = f"{pub}/aside"
+    steps: list[tuple[str, str, str]] = [("mkdirs", aside, "")]
     for i, rel in enumerate(rel_paths):
-        if not fs.move(spark, f"{root}/{rel}", f"{trash}/{i}"):
-            raise RuntimeError(f"could not move {root}/{rel} aside; swap stopped, staged data kept in {staging}")
-        if rel in staged and not fs.move(spark, f"{staging}/{rel}", f"{root}/{rel}"):
-            raise RuntimeError(f"could not publish {staging}/{rel}; old data kept in {trash}/{i}")
-    fs.delete(spark, trash)
-    fs.delete(spark, staging)
+        steps.append(("move", f"{root}/{rel}", f"{aside}/{i}"))
+        if rel in staged:
+            steps.append(("move", f"{staging}/{rel}", f"{root}/{rel}"))
+    _publish(spark, pub, steps, cleanup=[staging])
 
 
 def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Sequence[str],
@@ -111,8 +180,9 @@ def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Seque
 
 
 def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
-                       keep: Column | None, want: dict[str, int], sort_cols: Sequence[str] = ()) -> int:
-    """Rewrite partitions ``want = {rel_path: files}`` keeping rows matching ``keep``.
+                       keep: Column | None, want: dict[str, int], sort_cols: Sequence[str] = (),
+                       drop: Sequence[str] = ()) -> int:
+    """Rewrite partitions ``want = {rel_path: files}`` keeping rows matching ``keep``; remove ``drop``.
 
     Each row gets a file slot ``pmod(hash(sort key), files)`` of its partition;
     hash-partitioning on (partition, slot) gives every partition exactly its
@@ -120,13 +190,16 @@ def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, par
     per-partition table has one row per rewritten partition (metadata-sized) and
     is broadcast. Returns the number of rows written.
     """
+    if not want and not drop:
+        return 0
+    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}"
     if not want:
+        _swap(spark, root, staging, list(drop), len(partition_cols))
         return 0
     paths = [f"{root.rstrip('/')}/{r}" for r in want]
     df = spark.read.schema(schema).option("basePath", root).parquet(*paths)
     kept = df if keep is None else df.where(keep)
     expected = kept.count()
-    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}"
     if expected:
         slot_key = [F.col(c) for c in (sort_cols or [c for c in schema.fieldNames() if c not in partition_cols])]
         wt = F.broadcast(_want_table(spark, schema, partition_cols, want))
@@ -144,7 +217,7 @@ def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, par
         if written != expected:
             fs.delete(spark, staging)
             raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
-    _swap(spark, root, staging, list(want), len(partition_cols))
+    _swap(spark, root, staging, [*want, *drop], len(partition_cols))
     return expected
 
 
@@ -190,6 +263,7 @@ def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition
     matching rows (see :func:`_touched`). Returns the number of deleted rows.
     Rows where ``cond`` is NULL are kept.
     """
+    recover(spark, root)
     df = spark.read.schema(schema).parquet(root)
     touched = _touched(df, partition_cols, cond, prune)
     if not touched:
@@ -198,12 +272,11 @@ def delete_where(spark: SparkSession, root: str, schema: T.StructType, partition
     rel = {id(r): _part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched}
     drop = [rel[id(r)] for r in touched if r["survive"] == 0]
     partial = [rel[id(r)] for r in touched if r["survive"] > 0]
+    want: dict[str, int] = {}
     if partial:
         sizes = _partition_stats(spark, root, len(partition_cols))
         want = {p: _files_for(sizes.get(p, (0, 0))[1], TARGET_FILE_BYTES) for p in partial}
-        rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols)
-    for p in drop:
-        fs.delete(spark, f"{root.rstrip('/')}/{p}")
+    rewrite_partitions(spark, root, schema, partition_cols, ~cond | cond.isNull(), want, sort_cols, drop=drop)
     return deleted
 
 
@@ -253,6 +326,7 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
     be stored in fewer files of ``target_bytes``. Returns counts of partitions
     and files before/after. The row multiset is unchanged (checked).
     """
+    recover(spark, root)
     depth = len(partition_cols)
     frag = []
     for rel, (files, size) in sorted(_partition_stats(spark, root, depth).items()):
@@ -287,6 +361,7 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
     layout and deleted from hot only after the staged copy is verified.
     Returns the number of rows moved.
     """
+    recover(spark, root)
     hot = f"{root.rstrip('/')}/hot"
     cold = f"{root.rstrip('/')}/cold"
     names = sorted(n for n, is_dir, _ in fs.list_dir(spark, hot) if is_dir and n.startswith("batch="))
@@ -308,14 +383,13 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
     if spark.read.schema(schema).parquet(staging).count() != expected:
         fs.delete(spark, staging)
         raise RuntimeError("staged cold copy does not match; hot batches left in place")
-    # publish: move each staged file into the cold partition folders, then drop the batches
-    # (one row per staged file reaches the driver: each file is one rename there)
+    # publish (journaled): move each staged file into the cold partition folders,
+    # then drop the batches; one row per staged file reaches the driver, since
+    # each file is one rename there
     staged = _data_files(spark, staging, len(partition_cols)).select("dir", "file").collect()
-    for rel in sorted({r["dir"] for r in staged}):
-        fs.mkdirs(spark, f"{cold}/{rel}")
-    for r in staged:
-        fs.move(spark, f"{staging}/{r['dir']}/{r['file']}", f"{cold}/{r['dir']}/{uuid.uuid4().hex[:8]}-{r['file']}")
-    fs.delete(spark, staging)
-    for n in names:
-        fs.delete(spark, f"{hot}/{n}")
+    steps: list[tuple[str, str, str]] = [("mkdirs", f"{cold}/{d}", "") for d in sorted({r["dir"] for r in staged})]
+    steps += [("move", f"{staging}/{r['dir']}/{r['file']}", f"{cold}/{r['dir']}/{uuid.uuid4().hex[:8]}-{r['file']}")
+              for r in staged]
+    steps += [("delete", f"{hot}/{n}", "") for n in names]
+    _publish(spark, _new_publish(root), steps, cleanup=[staging])
     return expected

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from telemetra.operators import upkeep as M
@@ -104,3 +106,34 @@ def test_rewrite_keeps_null_partition(spark, tmp_root):
     after = spark.read.schema(schema).parquet(root)
     assert after.count() == keep.count()
     assert after.where(F.col("event_date").isNull()).count() == keep.where(F.col("event_date").isNull()).count() > 0
+
+
+@pytest.mark.parametrize("crash_at", [1, 2, 4])
+def test_interrupted_swap_rolls_forward(spark, tmp_root, monkeypatch, crash_at):
+    import os
+
+    from telemetra.plans import fs as fsmod
+    from telemetra.plans.maintenance import recover
+
+    root = f"{tmp_root}/logs"
+    layout.write_raw_logs(logs_from_events(events(spark)), root)
+    plan = [p for p in M.retention_plan(7, AS_OF) if p[0] == "logs"]
+    t = F.col("time_unix_nano")
+    want = sorted(layout.read_raw_logs(spark, root).where(~(t < plan[0][2]) | t.isNull()).select("event_id").collect())
+    real, calls = fsmod.move, {"n": 0}
+
+    def lost_driver(*a):
+        calls["n"] += 1
+        if calls["n"] == crash_at:
+            raise RuntimeError("driver lost")
+        return real(*a)
+
+    monkeypatch.setattr(fsmod, "move", lost_driver)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        retention_sweep(spark, {"logs": (root, layout.RAW_LOGS_STORED, ["event_date"], ["body", "time_unix_nano"])}, plan)
+    monkeypatch.setattr(fsmod, "move", real)
+    assert sorted(layout.read_raw_logs(spark, root).select("event_id").collect()) != want  # mid-swap state
+    assert recover(spark, root) == 1  # the journaled publish is finished
+    assert sorted(layout.read_raw_logs(spark, root).select("event_id").collect()) == want
+    assert not [n for n in os.listdir(root) if n.startswith(("_publish", "_staging"))]
+    assert recover(spark, root) == 0

@@ -137,3 +137,34 @@ def test_interrupted_swap_rolls_forward(spark, tmp_root, monkeypatch, crash_at):
     assert sorted(layout.read_raw_logs(spark, root).select("event_id").collect()) == want
     assert not [n for n in os.listdir(root) if n.startswith(("_publish", "_staging"))]
     assert recover(spark, root) == 0
+
+
+@pytest.mark.parametrize("crash_at", [1, 3])
+def test_interrupted_batch_compaction_rolls_forward(spark, tmp_root, monkeypatch, crash_at):
+    from telemetra.operators.curate import curate
+    from telemetra.plans import fs as fsmod
+    from telemetra.plans.maintenance import compact_batches, recover
+    from telemetra.schemas import USER_EVENT_COLUMNS
+    from telemetra.streaming import curation
+
+    logs = logs_from_events(events(spark))
+    root = f"{tmp_root}/ue"
+    for i in range(2):  # two published micro-batches, as the curation stream leaves them
+        curation.write_curated_batch(logs.where(F.col("event_id") % 2 == i), f"{root}/hot/batch={i:020d}")
+    want = sorted(curate(logs).select(*USER_EVENT_COLUMNS).collect())
+    real, calls = fsmod.move, {"n": 0}
+
+    def lost_driver(*a):
+        calls["n"] += 1
+        if calls["n"] == crash_at:
+            raise RuntimeError("driver lost")
+        return real(*a)
+
+    monkeypatch.setattr(fsmod, "move", lost_driver)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        compact_batches(spark, root, curation.CURATED_PARTS, ["subject", "person_bucket"], ["person_id", "event_time_unix_nano"])
+    monkeypatch.setattr(fsmod, "move", real)
+    assert recover(spark, root) == 1
+    after = curation.curated_view(spark, root).select(*USER_EVENT_COLUMNS)
+    assert sorted(after.collect()) == want  # no row lost, none duplicated
+    assert not fsmod.list_dir(spark, f"{root}/hot") or not [n for n, d, _ in fsmod.list_dir(spark, f"{root}/hot") if d]

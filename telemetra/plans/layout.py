@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from telemetra.functions.timecols import date_of_ns
 from telemetra.plans import fs
 from telemetra.plans.storage import job_path
-from telemetra.schemas import LOGS, TRACES, USER_EVENTS
+from telemetra.schemas import LOGS, METRICS, TRACES, USER_EVENTS
 from telemetra.settings import DEFAULT
 
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -41,6 +41,7 @@ MAX_RECORDS_PER_FILE = 5_000_000
 RAW_LOGS_PARTITION = "event_date"
 RAW_LOGS_SORT = ("body", "time_unix_nano")
 TRACES_SORT = ("name", "start_time_unix_nano")
+METRICS_SORT = ("name", "time_unix_nano")
 CURATED_PARTITION = ("subject", "event_date", "person_bucket")
 CURATED_SORT = ("person_id", "event_time_unix_nano")
 
@@ -55,6 +56,7 @@ def _with_schema(base: T.StructType, *extra: tuple[str, T.DataType]) -> T.Struct
 
 RAW_LOGS_STORED = _with_schema(LOGS, ("event_date", T.DateType()))
 TRACES_STORED = _with_schema(TRACES, ("event_date", T.DateType()))
+METRICS_STORED = _with_schema(METRICS, ("event_date", T.DateType()))
 CURATED_STORED = _with_schema(USER_EVENTS, ("event_date", T.DateType()), ("person_bucket", T.IntegerType()))
 # the row-versioned raw log: raw layout plus the commit that added / removed each row
 VERSIONED_LOGS_STORED = _with_schema(RAW_LOGS_STORED, ("begin_snapshot", T.LongType()), ("end_snapshot", T.LongType()))
@@ -87,6 +89,12 @@ def write_traces(traces: DataFrame, path: str, mode: str = "overwrite") -> None:
     _write_sorted(out, path, ("event_date",), TRACES_SORT, mode)
 
 
+def write_metrics(points: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Metric points (gauge or sum): day partitions, sorted by metric name and time."""
+    out = points.withColumn("event_date", date_of_ns("time_unix_nano"))
+    _write_sorted(out, path, ("event_date",), METRICS_SORT, mode)
+
+
 def curated_layout(ue: DataFrame, buckets: int = DEFAULT.buckets) -> DataFrame:
     return ue.withColumn("event_date", F.to_date("event_time")).withColumn(
         "person_bucket", bucket_of(F.col("person_id"), buckets))
@@ -120,6 +128,10 @@ def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_LOGS_STORED).parquet(path)
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_STORED).parquet(path)
+
+
 def read_versioned_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VERSIONED_LOGS_STORED).parquet(path)
 

@@ -1,13 +1,12 @@
 """The telemetry tables of one data folder, derived from its ``events``.
 
-``logs`` and ``traces`` play the landed raw tables and ``ue`` the curated
-``user_events`` table, ``logs_v`` the row-versioned log and ``commits`` its
-commit table: each is built once by Spark from ``events`` and written with its
-physical layout (day partitions; subject / day / person bucket for the curated
-table) under the shared job folder, then read back, so every query scans a
-laid-out table with partition pruning instead of re-deriving it. With
-``land=False`` they are lazy projections of ``events`` instead. Metric tables
-are always lazy projections.
+``logs``, ``traces``, ``gauge`` and ``sums`` play the landed raw tables, ``ue``
+the curated ``user_events`` table, ``logs_v`` the row-versioned log and
+``commits`` its commit table. Each is built once by Spark from ``events`` and
+written with its physical layout (day partitions; subject / day / person bucket
+for the curated table) under the shared job folder, then read back, so every
+query scans a laid-out table with partition pruning instead of re-deriving it.
+With ``land=False`` they are lazy projections of ``events`` instead.
 """
 
 from __future__ import annotations
@@ -72,11 +71,19 @@ class Tables:
 
     @cached_property
     def gauge(self) -> DataFrame:
-        return fixtures.gauge_from_events(self.events)
+        if not self.land:
+            return fixtures.gauge_from_events(self.events)
+        return layout.materialized(self.spark, self._key("metrics_gauge"), "metrics_gauge",
+                                   lambda: fixtures.gauge_from_events(self.events),
+                                   layout.write_metrics, layout.read_metrics)
 
     @cached_property
     def sums(self) -> DataFrame:
-        return fixtures.sum_from_events(self.events)
+        if not self.land:
+            return fixtures.sum_from_events(self.events)
+        return layout.materialized(self.spark, self._key("metrics_sum"), "metrics_sum",
+                                   lambda: fixtures.sum_from_events(self.events),
+                                   layout.write_metrics, layout.read_metrics)
 
     @cached_property
     def logs_v_lazy(self) -> DataFrame:

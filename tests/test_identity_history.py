@@ -71,3 +71,17 @@ def test_as_of_before_history_and_short_history(spark):
     assert r.past is None and r.snapshot_id is None and r.earliest is not None
     one = spark.createDataFrame([(1, datetime(2024, 2, 1))], COMMITS)
     assert H.changes(v, one).count() == 0
+
+
+def test_approx_variants_close_to_exact(spark):
+    from telemetra.operators import reports as R
+    from telemetra.tables import Tables
+
+    t = Tables(spark, SF_SMALL, land=False)
+    exact, approx = R.report(t.logs).first(), R.report(t.logs, approx=True).first()
+    assert approx.total == exact.total and approx.errors == exact.errors
+    assert abs(approx.devices - exact.devices) <= 0.05 * exact.devices
+    assert abs(approx.identified - exact.identified) <= 0.05 * exact.identified
+    e = {r.name: r.p95_ms for r in R.span_p95(t.traces).collect()}
+    a = {r.name: r.p95_ms for r in R.span_p95(t.traces, approx=True).collect()}
+    assert e.keys() == a.keys() and all(abs(a[k] - e[k]) <= 0.05 * e[k] for k in e)

@@ -81,3 +81,21 @@ def test_rebuild_when_schema_predates_subject(spark, tmp_root):
     os.makedirs(ck)
     assert curation.ensure_curated(spark, ue, ck) is True
     assert not os.path.exists(ue) and not os.path.exists(ck)
+
+
+def test_stream_ingest_of_spans_and_metric_points(spark, tmp_root):
+    from telemetra.sources.fixtures import gauge_from_events, sum_from_events, traces_from_events
+
+    events = spark.read.schema(EVENTS).parquet(f"{SF_SMALL}/events.parquet")
+    cases = (
+        ("traces", otlp.traces_payloads(traces_from_events(events)), traces_from_events(events)),
+        ("gauge", otlp.metrics_payloads(gauge_from_events(events), "gauge"), gauge_from_events(events)),
+        ("sum", otlp.metrics_payloads(sum_from_events(events), "sum"), sum_from_events(events)),
+    )
+    for kind, payloads, want in cases:
+        landing, raw = f"{tmp_root}/{kind}/landing", f"{tmp_root}/{kind}/raw"
+        payloads.write.text(landing)
+        run(ingest.start_ingest(spark, landing, raw, kind=kind, checkpoint=f"{tmp_root}/{kind}/ck", promote=()))
+        got = spark.read.parquet(f"{raw}/hot").select(*want.columns)
+        assert got.count() == want.count() > 0
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

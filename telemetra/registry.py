@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from telemetra import oracle as O
 from telemetra.functions.keys import hash_key, normalize_key
-from telemetra.functions.timecols import ns_to_timestamp
+from telemetra.functions.timecols import ns_of, ns_to_timestamp
 from telemetra.operators import curate as C
 from telemetra.operators import history as H
 from telemetra.operators import identity as J
@@ -44,6 +44,7 @@ CHANGES = (2, 7)
 RETENTION_DAYS = 7
 FUNNEL = ("page_view", "add_to_cart", "purchase")
 FUNNEL_DAYS = 7
+LATE_BEFORE = datetime(2024, 1, 16)  # curate_incremental: rows before this arrive after the newer ones
 
 
 def register(name: str, sql: str | None):
@@ -550,8 +551,10 @@ def _(t: Tables):
 def _(t: Tables):
     from telemetra.streaming import curation, ingest
     run = _run_dir(t)
-    early = t.logs.where(F.col("event_id") % 3 != 0)
-    late = t.logs.where(F.col("event_id") % 3 == 0)  # older timestamps arriving after newer ones
+    # the newer half of the month arrives first, the older half late (after newer rows were curated)
+    newer = F.col("time_unix_nano") >= F.lit(ns_of(LATE_BEFORE))
+    early = t.logs.where(newer)
+    late = t.logs.where(~newer)
     for part, rows in (("a", early), ("b", late)):
         _land_requests(t, rows, f"{run}/landing/{part}")
         _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck_ingest"))
@@ -624,8 +627,9 @@ def _(t: Tables):
     from telemetra.plans.maintenance import compact
     run = _run_dir(t)
     logs = t.logs.drop("event_date")
-    for i in range(4):  # four appends leave several small files per day
-        layout.write_raw_logs(logs.where(F.col("event_id") % 4 == i), f"{run}/logs", mode="append")
+    block = F.floor(F.hour(ns_to_timestamp("time_unix_nano")) / 6)
+    for i in range(4):  # four appends a day (one per six-hour block) leave several small files per day
+        layout.write_raw_logs(logs.where(block == i), f"{run}/logs", mode="append")
     compact(t.spark, f"{run}/logs", layout.RAW_LOGS_STORED, ["event_date"], list(layout.RAW_LOGS_SORT))
     return layout.read_raw_logs(t.spark, f"{run}/logs").select(
         "event_id", "time_unix_nano", "body", "severity_text", "log_attributes")

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from telemetra.operators.curate import curate
@@ -99,3 +101,31 @@ def test_stream_ingest_of_spans_and_metric_points(spark, tmp_root):
         got = spark.read.parquet(f"{raw}/hot").select(*want.columns)
         assert got.count() == want.count() > 0
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("after_publish", [True, False])
+def test_curation_restart_after_failure(spark, tmp_root, monkeypatch, after_publish):
+    events = spark.read.schema(EVENTS).parquet(f"{SF_SMALL}/events.parquet")
+    logs = logs_from_events(events)
+    landing, raw, ue, ck = f"{tmp_root}/landing", f"{tmp_root}/raw", f"{tmp_root}/ue", f"{tmp_root}/ck_c"
+    os.makedirs(landing)
+    land(spark, logs, landing, "a")
+    run(ingest.start_ingest(spark, landing, raw, checkpoint=f"{tmp_root}/ck_i"))
+    real = curation.publish_batch
+
+    def lost(batch, root, batch_id, write):
+        if after_publish:  # the batch is published, the offset commit never happens
+            real(batch, root, batch_id, write)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(curation, "publish_batch", lost)
+    q = curation.start_curation(spark, raw, ue, checkpoint=ck)
+    with pytest.raises(Exception):
+        q.awaitTermination(300)
+    monkeypatch.setattr(curation, "publish_batch", real)
+    run(curation.start_curation(spark, raw, ue, checkpoint=ck))  # restart from the checkpoint
+    cols = ["event_time_unix_nano", "subject", "event", "person_id", "attributes"]
+    got = curation.curated_view(spark, ue).select(*cols)
+    want = curate(logs).select(*cols)
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

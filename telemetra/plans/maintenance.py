@@ -146,11 +146,14 @@ def recover(spark: SparkSession, root: str) -> int:
     return done
 
 
-def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str], depth: int) -> None:
+def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str], depth: int,
+          existing: set[str] | None = None) -> None:
     """Replace each partition folder ``rel`` by its staged version (or drop it when none was staged).
 
     Two renames per partition: the old folder moves aside into the publish
     folder, the staged one into its place (its parent folder still exists).
+    ``existing`` names the partitions present now (default: all of
+    ``rel_paths``); a new partition only gets its staged folder moved in.
     """
     root = root.rstrip("/")
     staged = set(_partition_stats(spark, staging, depth))
@@ -158,12 +161,46 @@ def _swap(spark: SparkSession, root: str, staging: str, rel_paths: Sequence[str]
     aside = f"{pub}/aside"
     steps: list[tuple[str, str, str]] = [("mkdirs", aside, "")]
     for i, rel in enumerate(rel_paths):
-        steps.append(("move", f"{root}/{rel}", f"{aside}/{i}"))
+        if existing is None or rel in existing:
+            steps.append(("move", f"{root}/{rel}", f"{aside}/{i}"))
+        elif rel in staged and "/" in rel:
+            steps.append(("mkdirs", f"{root}/{rel.rsplit('/', 1)[0]}", ""))
         if rel in staged:
             steps.append(("move", f"{staging}/{rel}", f"{root}/{rel}"))
     _publish(spark, pub, steps, cleanup=[staging])
 
 
+def replace_partitions(spark: SparkSession, root: str, fresh: DataFrame, partition_cols: Sequence[str],
+                       rel_paths: Sequence[str], sort_cols: Sequence[str] = ()) -> int:
+    """Publish ``fresh`` as the whole new content of partitions ``rel_paths``.
+
+    ``fresh`` must hold rows of those partitions only. It is written sorted to a
+    staging folder, its row count checked, then swapped in (journaled); listed
+    partitions without fresh rows are removed, all others are untouched.
+    Returns the number of rows published.
+    """
+    root = root.rstrip("/")
+    if not fs.exists(spark, root):
+        fs.mkdirs(spark, root)
+    recover(spark, root)
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:8]}"
+    expected = fresh.count()
+    if expected:
+        keys = [*partition_cols, *sort_cols]
+        (
+            fresh.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+            .partitionBy(*partition_cols).parquet(staging)
+        )
+        written = spark.read.parquet(staging).count()
+        if written != expected:
+            fs.delete(spark, staging)
+            raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
+    existing = set(_partition_stats(spark, root, len(partition_cols)))
+    _swap(spark, root, staging, list(rel_paths), len(partition_cols), existing=existing)
+    return expected
+
+
 def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Sequence[str],
                 want: dict[str, int]) -> DataFrame:
     """One row per rewritten partition: typed partition values + wanted file count."""

@@ -77,8 +77,14 @@ def write_curated_batch(df: DataFrame, path: str, settings: Settings = DEFAULT)
 
 def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint: str | None = None,
                    settings: Settings = DEFAULT, trigger: dict | None = None,
-                   max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Curate every raw file published since the last run (first run = backfill)."""
+                   max_files_per_trigger: int | None = None, rollup_path: str | None = None) -> StreamingQuery:
+    """Curate every raw file published since the last run (first run = backfill).
+
+    With ``rollup_path`` the stored daily rollup (A20) is kept current: after a
+    micro-batch is published, the days it touched are recomputed from the
+    curated table (:func:`telemetra.plans.rollup.refresh_rollup`); a replayed
+    batch refreshes the same days again, which is idempotent.
+    """
     schema = _with(raw_schema(settings.promote_resource_attrs), ("batch", T.StringType()))
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -87,6 +93,10 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         publish_batch(batch, ue_root, batch_id, lambda d, p: write_curated_batch(d, p, settings))
+        if rollup_path is not None:
+            from telemetra.plans.rollup import refresh_rollup
+            new_rows = batch.select(F.col("time_unix_nano").alias("event_time_unix_nano"))
+            refresh_rollup(batch.sparkSession, curated_view(batch.sparkSession, ue_root), new_rows, rollup_path)
 
     ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "curate")
     return (

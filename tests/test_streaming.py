@@ -129,3 +129,23 @@ def test_curation_restart_after_failure(spark, tmp_root, monkeypatch, after_publ
     want = curate(logs).select(*cols)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_keeps_daily_rollup_current(spark, tmp_root):
+    from telemetra.operators.product import rollup_daily
+    from telemetra.plans import rollup
+
+    events = spark.read.schema(EVENTS).parquet(f"{SF_SMALL}/events.parquet")
+    logs = logs_from_events(events)
+    newer = F.col("time_unix_nano") >= F.lit(1705363200 * 10**9)  # 2024-01-16
+    landing, raw, ue, ru = f"{tmp_root}/landing", f"{tmp_root}/raw", f"{tmp_root}/ue", f"{tmp_root}/rollup"
+    os.makedirs(landing)
+    for name, part in (("a", logs.where(newer)), ("b", logs.where(~newer))):  # older rows arrive late
+        land(spark, part, landing, name)
+        run(ingest.start_ingest(spark, landing, raw, checkpoint=f"{tmp_root}/ck_i"))
+        run(curation.start_curation(spark, raw, ue, checkpoint=f"{tmp_root}/ck_c", rollup_path=ru))
+    cols = ["event_date", "event", "page", "events"]
+    want = rollup_daily(curate(logs)).select(*cols)
+    got = rollup.read_rollup(spark, ru).select(*cols)
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -1,7 +1,8 @@
 """Storage upkeep jobs: retention sweep (M3), compaction (M4), history expiry (M5).
 
 All three are partition-level rewrites of a Hive-style partitioned Parquet
-table and share one publish step:
+table and share one publish step (as does :func:`replace_partitions`, which
+derived tables such as the daily rollup use to refresh single partitions):
 
 1. find the affected leaf partitions (file listing for compaction; a
    distinct-partition aggregate for row predicates — its size is the number of
@@ -34,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.plans import fs
 from telemetra.functions.timecols import NS_PER_DAY
+from telemetra.plans import fs
 from telemetra.plans.layout import MAX_RECORDS_PER_FILE
 
 _EPOCH_ORDINAL = date(1970, 1, 1).toordinal()
@@ -196,7 +197,9 @@ def replace_partitions(spark: SparkSession, root: str, fresh: DataFrame, partiti
         if written != expected:
             fs.delete(spark, staging)
             raise RuntimeError(f"staged {written} rows, expected {expected}; table left unchanged")
-    existing = set(_partition_stats(spark, root, len(partition_cols)))
+    # folder existence, not data files: an empty folder must be moved aside too, or the
+    # rename would nest the staged folder inside it
+    existing = {rel for rel in rel_paths if fs.exists(spark, f"{root}/{rel}")}
     _swap(spark, root, staging, list(rel_paths), len(partition_cols), existing=existing)
     return expected
 

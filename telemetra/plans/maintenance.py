@@ -382,14 +382,49 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
 
 
 def expire_history(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
-                   horizon_snapshot: int, sort_cols: Sequence[str] = ()) -> int:
+                   horizon_snapshot: int, sort_cols: Sequence[str] = (), commits_root: str | None = None) -> int:
     """M5: physically remove row versions deleted at or before ``horizon_snapshot``.
 
-    Time travel to snapshots before the horizon is no longer possible afterwards;
-    returns the number of purged row versions.
+    Time travel to snapshots before the horizon is no longer possible afterwards.
+    With ``commits_root`` the commit table is trimmed to snapshots at or after
+    the horizon (the horizon's own state is intact), so a read at an earlier
+    time reports that it predates history instead of returning a partly purged
+    state. Returns the number of purged row versions.
     """
     cond = F.col("end_snapshot").isNotNull() & (F.col("end_snapshot") <= F.lit(horizon_snapshot))
-    return delete_where(spark, root, schema, partition_cols, cond, sort_cols)
+    purged = delete_where(spark, root, schema, partition_cols, cond, sort_cols)
+    if commits_root is not None:
+        from telemetra.plans.layout import COMMITS_STORED
+        kept = spark.read.schema(COMMITS_STORED).parquet(commits_root).where(F.col("snapshot_id") >= horizon_snapshot)
+        replace_table(spark, commits_root, kept)
+    return purged
+
+
+def replace_table(spark: SparkSession, root: str, df: DataFrame) -> int:
+    """Replace all data files of a small unpartitioned table (one file, journaled publish).
+
+    For metadata-sized tables only (the commit table): ``df`` is written as one
+    file to a staging folder, counted, then the old files move aside and the new
+    one moves in. ``df`` may read ``root`` itself: it is fully written before
+    anything moves. Returns the number of rows.
+    """
+    root = root.rstrip("/")
+    recover(spark, root)
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:8]}"
+    n = df.count()
+    df.coalesce(1).write.mode("overwrite").parquet(staging)
+    if spark.read.parquet(staging).count() != n:
+        fs.delete(spark, staging)
+        raise RuntimeError("staged table does not match; table left unchanged")
+    pub = _new_publish(root)
+    aside = f"{pub}/aside"
+    steps: list[tuple[str, str, str]] = [("mkdirs", aside, "")]
+    steps += [("move", f"{root}/{f}", f"{aside}/{f}") for f, is_dir, _ in fs.list_dir(spark, root)
+              if not is_dir and f.endswith(".parquet")]
+    steps += [("move", f"{staging}/{f}", f"{root}/{f}") for f, is_dir, _ in fs.list_dir(spark, staging)
+              if not is_dir and f.endswith(".parquet")]
+    _publish(spark, pub, steps, cleanup=[staging])
+    return n
 
 
 def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],

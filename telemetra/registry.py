@@ -671,8 +671,10 @@ def _(t: Tables):
     run = _run_dir(t)
     root = f"{run}/logs_v"
     layout.write_raw_logs(t.logs_v.drop("event_date"), root)  # day partitions, sorted like the raw table
+    layout.write_commits(t.commits, f"{run}/commits")
     horizon = t.commits.agg(F.max("snapshot_id")).first()[0]  # one scalar: the job's parameter
-    expire_history(t.spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], horizon, list(layout.RAW_LOGS_SORT))
+    expire_history(t.spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], horizon, list(layout.RAW_LOGS_SORT),
+                   commits_root=f"{run}/commits")
     return layout.read_versioned_logs(t.spark, root).select(*LOG_COLS, "begin_snapshot", "end_snapshot")
 
 

@@ -195,3 +195,24 @@ def test_rollup_refresh_rewrites_only_touched_days(spark, tmp_root):
     assert all(after[d] == files for d, files in before.items() if d not in touched)
     cols = ["event_date", "event", "page", "events"]
     assert sorted(rollup.read_rollup(spark, path).select(*cols).collect()) == sorted(rollup_daily(ue).select(*cols).collect())
+
+
+def test_expire_trims_commits_so_old_reads_predate_history(spark, tmp_root):
+    from telemetra.operators import history as H
+    from telemetra.sources.fixtures import commits_from_versions
+
+    v = versioned_logs(events(spark))
+    root, croot = f"{tmp_root}/v", f"{tmp_root}/commits"
+    layout.write_raw_logs(v, root)
+    layout.write_commits(commits_from_versions(v), croot)
+    commits = layout.read_commits(spark, croot)
+    at_3 = commits.where(F.col("snapshot_id") == 3).first().snapshot_time
+    at_7 = commits.where(F.col("snapshot_id") == 7).first().snapshot_time
+    before = H.as_of_count(layout.read_versioned_logs(spark, root), commits, at_7).first()
+    expire_history(spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], 7, commits_root=croot)
+    table, commits = layout.read_versioned_logs(spark, root), layout.read_commits(spark, croot)
+    assert [r.snapshot_id for r in commits.collect()] == [7]
+    old = H.as_of_count(table, commits, at_3).first()
+    assert old.snapshot_id is None and old.past is None and old.earliest == at_7
+    now = H.as_of_count(table, commits, at_7).first()
+    assert now.snapshot_id == 7 and now.past == before.past and now.now == before.now

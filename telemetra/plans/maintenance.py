@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,9 +221,11 @@ def _want_table(spark: SparkSession, schema: T.StructType, partition_cols: Seque
 
 def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
                        keep: Column | None, want: dict[str, int], sort_cols: Sequence[str] = (),
-                       drop: Sequence[str] = ()) -> int:
+                       drop: Sequence[str] = (), update: dict[str, Column] | None = None) -> int:
     """Rewrite partitions ``want = {rel_path: files}`` keeping rows matching ``keep``; remove ``drop``.
 
+    ``update`` replaces non-partition columns of the kept rows (``{name: expression}``).
+
     Each row gets a file slot ``pmod(hash(sort key), files)`` of its partition;
     hash-partitioning on (partition, slot) gives every partition exactly its
     wanted number of files, spread over as many tasks, each file sorted. The
@@ -239,6 +241,8 @@ def rewrite_partitions(spark: SparkSession, root: str, schema: T.StructType, par
     paths = [f"{root.rstrip('/')}/{r}" for r in want]
     df = spark.read.schema(schema).option("basePath", root).parquet(*paths)
     kept = df if keep is None else df.where(keep)
+    for name, expr in (update or {}).items():
+        kept = kept.withColumn(name, expr)
     expected = kept.count()
     if expected:
         slot_key = [F.col(c) for c in (sort_cols or [c for c in schema.fieldNames() if c not in partition_cols])]
@@ -381,6 +385,40 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols
     return {"partitions": len(frag), "files_before": sum(n for _, n, _ in frag), "files_after": after}
 
 
+def retention_sweep_versioned(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
+                              time_col: str, cutoff: int, commits_root: str, commit_time: datetime,
+                              sort_cols: Sequence[str] = ()) -> tuple[int, int]:
+    """M3 on a row-versioned table: a logical delete in a new commit.
+
+    Live rows older than ``cutoff`` get ``end_snapshot`` = the new commit: the
+    change feed shows them as deletes and time travel to earlier snapshots still
+    sees them; :func:`expire_history` purges them physically later. The commit
+    row is published first, so an interrupted run leaves at most an empty
+    commit and a rerun ends the rows in a later one. Only partitions holding
+    such rows are rewritten. Returns ``(commit id, rows ended)``; no commit is
+    added when nothing is due.
+    """
+    from telemetra.plans.layout import COMMITS_STORED
+
+    recover(spark, root)
+    cond = F.col("end_snapshot").isNull() & (F.col(time_col) < F.lit(cutoff))
+    df = spark.read.schema(schema).parquet(root)
+    touched = _touched(df, partition_cols, cond, day_prune(partition_cols, cutoff))
+    commits = spark.read.schema(COMMITS_STORED).parquet(commits_root)
+    last = commits.agg(F.max("snapshot_id")).first()[0] or 0
+    if not touched:
+        return last, 0
+    commit_id = last + 1
+    new_commit = spark.createDataFrame([(commit_id, commit_time)], COMMITS_STORED)
+    replace_table(spark, commits_root, commits.unionByName(new_commit))
+    rels = [_part_path("", partition_cols, [r[c] for c in partition_cols]).lstrip("/") for r in touched]
+    sizes = _partition_stats(spark, root, len(partition_cols))
+    want = {p: _files_for(sizes.get(p, (0, 0))[1], TARGET_FILE_BYTES) for p in rels}
+    ended = F.when(cond, F.lit(commit_id).cast("long")).otherwise(F.col("end_snapshot"))
+    rewrite_partitions(spark, root, schema, partition_cols, None, want, sort_cols, update={"end_snapshot": ended})
+    return commit_id, sum(r["hit"] for r in touched)
+
+
 def expire_history(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
                    horizon_snapshot: int, sort_cols: Sequence[str] = (), commits_root: str | None = None) -> int:
     """M5: physically remove row versions deleted at or before ``horizon_snapshot``.

@@ -31,8 +31,8 @@ from telemetra.tables import Tables
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
-JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "retention_sweep", "compact",
-        "expire_history")
+JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "retention_sweep",
+        "retention_sweep_versioned", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
@@ -639,6 +639,26 @@ def _(t: Tables):
     return left[0].unionByName(left[1])
 
 
+SWEEP_AT = datetime(2024, 2, 1, 8)  # time of the commit a versioned retention sweep adds
+
+
+@register("retention_sweep_versioned", W_("logs_v", "commits") +
+          f"SELECT {_LOG_COLS}, begin_snapshot, CASE WHEN end_snapshot IS NULL AND time_unix_nano < "
+          f"{O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))} THEN (SELECT max(snapshot_id) + 1 FROM commits) "
+          "ELSE end_snapshot END AS end_snapshot FROM logs_v")
+def _(t: Tables):
+    from telemetra.plans import layout
+    from telemetra.plans.maintenance import retention_sweep_versioned
+    run = _run_dir(t)
+    root, croot = f"{run}/logs_v", f"{run}/commits"
+    layout.write_raw_logs(t.logs_v.drop("event_date"), root)
+    layout.write_commits(t.commits, croot)
+    cutoff = ns_of(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))
+    retention_sweep_versioned(t.spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], "time_unix_nano", cutoff,
+                              croot, SWEEP_AT, list(layout.RAW_LOGS_SORT))
+    return layout.read_versioned_logs(t.spark, root).select(*LOG_COLS, "begin_snapshot", "end_snapshot")
+
+
 @register("compact", W_("logs") + "SELECT event_id, time_unix_nano, body, severity_text, log_attributes FROM logs")
 def _(t: Tables):
     from telemetra.plans import layout

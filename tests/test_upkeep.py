@@ -216,3 +216,31 @@ def test_expire_trims_commits_so_old_reads_predate_history(spark, tmp_root):
     assert old.snapshot_id is None and old.past is None and old.earliest == at_7
     now = H.as_of_count(table, commits, at_7).first()
     assert now.snapshot_id == 7 and now.past == before.past and now.now == before.now
+
+
+def test_versioned_sweep_is_a_logical_delete_until_expiry(spark, tmp_root):
+    from telemetra.operators import history as H
+    from telemetra.plans.maintenance import retention_sweep_versioned
+    from telemetra.sources.fixtures import commits_from_versions
+
+    v = versioned_logs(events(spark))
+    root, croot = f"{tmp_root}/v", f"{tmp_root}/commits"
+    layout.write_raw_logs(v, root)
+    layout.write_commits(commits_from_versions(v), croot)
+    cutoff = M.retention_plan(7, AS_OF)[0][2]
+    due = v.where(F.col("end_snapshot").isNull() & (F.col("time_unix_nano") < cutoff)).count()
+    at_7 = layout.read_commits(spark, croot).where(F.col("snapshot_id") == 7).first().snapshot_time
+    live_at_7 = H.as_of_time(v, commits_from_versions(v), at_7).count()
+    sweep = lambda: retention_sweep_versioned(
+        spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], "time_unix_nano", cutoff, croot,
+        datetime(2024, 2, 1, 8), ["body", "time_unix_nano"])
+    assert sweep() == (8, due) and due > 0
+    table, commits = layout.read_versioned_logs(spark, root), layout.read_commits(spark, croot)
+    assert table.count() == v.count()  # nothing physically removed yet
+    assert {r.change_type: r.n for r in H.changes(table, commits, 8, 8).collect()} == {"delete": due}
+    assert H.as_of_time(table, commits, at_7).count() == live_at_7  # time travel still sees the rows
+    assert table.where(F.col("end_snapshot").isNull() & (F.col("time_unix_nano") < cutoff)).count() == 0
+    assert sweep() == (8, 0)  # nothing due: no new commit
+    purged = expire_history(spark, root, layout.VERSIONED_LOGS_STORED, ["event_date"], 8, commits_root=croot)
+    assert purged == v.where(F.col("end_snapshot").isNotNull()).count() + due
+    assert [r.snapshot_id for r in layout.read_commits(spark, croot).collect()] == [8]

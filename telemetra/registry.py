@@ -284,7 +284,7 @@ _ROLLUP_SQL = W_("ue") + f"SELECT {_DAY} AS event_date, event, page, count(*) AS
 @register("rollup_incremental", _ROLLUP_SQL)
 def _(t: Tables):
     from telemetra.plans import rollup
-    run = _run_dir(t)
+    run = _run_dir(t, "rollup_incremental")
     path = f"{run}/rollup"
     ue = t.ue
     # first build: the newer half of the month plus the mornings of the older half;
@@ -540,9 +540,26 @@ def _(t: Tables):
 # These build their input from the tables, run the storage / streaming job in a
 # fresh folder under the shared job folder and return what the job produced.
 
-def _run_dir(t: Tables) -> str:
+KEEP_RUNS = 3  # run folders kept per job (the new one included)
+
+
+def _run_dir(t: Tables, job: str) -> str:
+    """A fresh folder for one run of ``job`` under the shared job folder.
+
+    Older runs of the same job are removed (all but the newest ``KEEP_RUNS - 1``),
+    so repeated runs do not pile up in the shared folder; the folder returned
+    here, which the job's result reads, is never removed by its own call.
+    """
+    import time
+    import uuid
+
+    from telemetra.plans import fs
     from telemetra.plans.storage import job_path
-    return job_path(t.spark, "telemetra", "runs", unique=True)
+    parent = job_path(t.spark, "telemetra", "runs", job)
+    earlier = sorted(n for n, is_dir, _ in fs.list_dir(t.spark, parent) if is_dir)
+    for name in earlier[: max(0, len(earlier) - (KEEP_RUNS - 1))]:
+        fs.delete(t.spark, f"{parent}/{name}")
+    return f"{parent}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
 def _land_requests(t: Tables, logs: DataFrame, folder: str) -> None:
@@ -558,7 +575,7 @@ def _stream(q) -> None:
 @register("ingest_stream", _PAYLOAD_LOG_SQL)
 def _(t: Tables):
     from telemetra.streaming import curation, ingest
-    run = _run_dir(t)
+    run = _run_dir(t, "ingest_stream")
     _land_requests(t, t.logs, f"{run}/landing/a")
     _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck_ingest"))
     raw = curation.read_table(t.spark, f"{run}/raw", curation.raw_schema())
@@ -568,7 +585,7 @@ def _(t: Tables):
 @register("curate_incremental", W_("ue") + f"SELECT {UE_COLS} FROM ue")
 def _(t: Tables):
     from telemetra.streaming import curation, ingest
-    run = _run_dir(t)
+    run = _run_dir(t, "curate_incremental")
     # the newer half of the month arrives first, the older half late (after newer rows were curated)
     newer = F.col("time_unix_nano") >= F.lit(ns_of(LATE_BEFORE))
     early = t.logs.where(newer)
@@ -586,7 +603,7 @@ def _(t: Tables):
     from telemetra.operators.curate import curate
     from telemetra.streaming import curation, ingest
     from telemetra.streaming.sinks import publish_batch
-    run = _run_dir(t)
+    run = _run_dir(t, "rebuild_curated")
     raw, ue, ck = f"{run}/raw", f"{run}/ue", f"{run}/ck_curate"
     flat = otlp.ingest_logs(otlp.logs_payloads(t.logs))  # the raw table as the ingest stream publishes it
     publish_batch(flat, raw, 0, lambda d, p: ingest.write_raw_batch(d, p, "time_unix_nano", ("body", "time_unix_nano")))
@@ -616,7 +633,7 @@ def _sweep_sql() -> str:
 def _(t: Tables):
     from telemetra.plans import layout
     from telemetra.plans.maintenance import retention_sweep
-    run = _run_dir(t)
+    run = _run_dir(t, "retention_sweep")
     layout.write_raw_logs(t.logs.drop("event_date"), f"{run}/logs")
     from telemetra.plans import fs
     day_level = layout.want_day_level(fs.total_bytes(t.spark, f"{run}/logs"), 30, t.settings.buckets)
@@ -649,7 +666,7 @@ SWEEP_AT = datetime(2024, 2, 1, 8)  # time of the commit a versioned retention s
 def _(t: Tables):
     from telemetra.plans import layout
     from telemetra.plans.maintenance import retention_sweep_versioned
-    run = _run_dir(t)
+    run = _run_dir(t, "retention_sweep_versioned")
     root, croot = f"{run}/logs_v", f"{run}/commits"
     layout.write_raw_logs(t.logs_v.drop("event_date"), root)
     layout.write_commits(t.commits, croot)
@@ -663,7 +680,7 @@ def _(t: Tables):
 def _(t: Tables):
     from telemetra.plans import layout
     from telemetra.plans.maintenance import compact
-    run = _run_dir(t)
+    run = _run_dir(t, "compact")
     logs = t.logs.drop("event_date")
     block = F.floor(F.hour(ns_to_timestamp("time_unix_nano")) / 6)
     for i in range(4):  # four appends a day (one per six-hour block) leave several small files per day
@@ -688,7 +705,7 @@ def _(t: Tables):
 def _(t: Tables):
     from telemetra.plans import layout
     from telemetra.plans.maintenance import expire_history
-    run = _run_dir(t)
+    run = _run_dir(t, "expire_history")
     root = f"{run}/logs_v"
     layout.write_raw_logs(t.logs_v.drop("event_date"), root)  # day partitions, sorted like the raw table
     layout.write_commits(t.commits, f"{run}/commits")

@@ -218,6 +218,8 @@ def materialized(spark: SparkSession, key: str, name: str, build: Callable[[], D
         staging = job_path(spark, "telemetra", "staging", digest, name + "-" + uuid.uuid4().hex[:8])
         write(build(), staging)
         if not fs.exists(spark, final + "/_SUCCESS"):
-            fs.delete(spark, final)
+            fs.delete(spark, final)  # a half-published attempt, never a complete table
             fs.rename(spark, staging, final)
+        else:
+            fs.delete(spark, staging)  # another writer published the same table first
     return read(spark, final)

@@ -6,9 +6,9 @@ Design for hot keys (one person or session holding a large share of rows):
   step is a join of that step's events with a one-row-per-person table of the
   previous step, then a ``min`` per person (partial aggregation). AQE splits a
   skewed join partition or broadcasts the per-person side when it is small.
-* ``cohort_retention`` first reduces events to distinct ``(person, day)`` pairs
-  (map-side de-duplication), so the per-person window afterwards holds at most
-  one row per active day.
+* ``cohort_retention`` collects each person's set of active days (a partial
+  aggregate whose state is bounded by the days the data spans, however hot the
+  person), so it needs two shuffles and no window.
 * ``user_paths`` pairs each event with the next one of its session; sessions
   above a measured size are cut into range slices so no session is one task.
 """
@@ -64,17 +64,16 @@ def cohort_retention(ue: DataFrame, by: str = "person_id", time_col: str = "even
     ``cohort_day`` is the person's first active UTC day; a person is active at
     ``day_offset`` d when they have any event on ``cohort_day + d``.
     """
-    days = (
+    # one row per person: the set of active days (partial aggregation; bounded by
+    # the days the data spans however hot the person), then one row per active day
+    per_person = (
         ue.where(F.col(by).isNotNull())
-        .select(F.col(by).alias("_p"), date_of_ns(time_col).alias("_d"))
-        .distinct()
-    )
-    w = Window.partitionBy("_p")
-    return (
-        days.withColumn("cohort_day", F.min("_d").over(w))
-        .groupBy("cohort_day", F.datediff("_d", "cohort_day").alias("day_offset"))
-        .agg(F.count(F.lit(1)).alias("persons"))
+        .groupBy(F.col(by).alias("_p"))
+        .agg(F.collect_set(date_of_ns(time_col)).alias("_days"))
+        .select(F.array_min("_days").alias("cohort_day"), F.explode("_days").alias("_d"))
     )
+    return per_person.groupBy("cohort_day", F.datediff("_d", "cohort_day").alias("day_offset")).agg(
+        F.count(F.lit(1)).alias("persons"))
 
 
 def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano",

@@ -24,7 +24,15 @@ def _field(line: str, name: str) -> str:
     return m.group(1) if m else ""
 
 
+def final_plan(plan: str) -> str:
+    """The ``== Final Plan ==`` part of an adaptive plan (the initial plan is not run)."""
+    if "== Final Plan ==" in plan:
+        plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+    return plan
+
+
 def summarise(plan: str) -> dict:
+    plan = final_plan(plan)
     scans = []
     for line in plan.splitlines():
         if "FileScan parquet" not in line:

@@ -38,3 +38,15 @@ def test_projection_pruned_at_scan(spark):
     p = plan_of(df)
     assert "ReadSchema: struct<>" in p or "ReadSchema: struct<" in p
     assert "log_attributes" not in p.split("ReadSchema")[1][:200]
+
+
+def test_cohort_retention_needs_no_window_and_two_shuffles(spark):
+    import re
+
+    from tools.plan_report import final_plan
+
+    df = QUERIES["cohort_retention"][0](spark, SF_SMALL)
+    df.collect()  # settle the adaptive plan
+    p = final_plan(plan_of(df))
+    assert "Window" not in p
+    assert len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", p)) <= 2

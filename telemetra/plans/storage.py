@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for job state on a cluster")
     key = id(spark.sparkContext)
     if key not in _LOCAL_FALLBACK:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from telemetra.llm.labelled import labelled, remainder
+from telemetra.llm.labelled import class_share, cut_level, labelled, remainder
 
 PER_CLASS = 6000
 PAIRS = 60_000
@@ -73,14 +73,7 @@ class Ranker:
             if np.abs(step).max() < 1e-6:
                 break
         self.w, s = w, z @ w
-        weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
-        order = np.argsort(s)
-        # misjudged weight when the cut lies below the k-th score: label 1 under it, label 0 from it on
-        wrong = np.concatenate(([0], np.cumsum(np.where(y[order] == 1, weight[order], 0)))) + np.concatenate(
-            (np.cumsum(np.where(y[order] == 0, weight[order], 0)[::-1])[::-1], [0]))
-        best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-        level = (best[0] + best[-1]) / 2 / len(s)
-        self.cut = float(np.quantile(s, level))
+        self.cut = float(np.quantile(s, cut_level(s, y, prior)))
         self.scale = float(np.std(s)) / 4 + 1e-9
 
     def _scaled(self, x):
@@ -109,9 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         id_col: str = "doc_id", text_col: str = "text") -> Ranker:
     rows = labelled(docs, labels, label, MOD, HELD, per_class, id_col, text_col)
     got = _features(rows, ["doc_id", "y"], "text").dropDuplicates(["doc_id"]).select("y", "x").collect()
-    n1, n = labels.where(F.col(label).isin(0, 1)).where(remainder(F.col("doc_id"), MOD) != HELD).agg(
-        F.sum(F.col(label)), F.count("*")).first()
-    return Ranker(np.array([r.x for r in got]), np.array([r.y for r in got]), (n1 or 0) / max(n, 1))
+    return Ranker(np.array([r.x for r in got]), np.array([r.y for r in got]), class_share(labels, label, MOD, HELD))
 
 
 def score(df: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

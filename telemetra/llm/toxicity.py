@@ -7,7 +7,8 @@ pools the states of a window to one logit. A document scores its highest window,
 so every word of every text is read, twice over.
 
 Training is plain numpy on the driver: ``PER_CLASS`` labelled documents of each
-class and ``FIT_WINDOWS`` evenly spaced windows of each are all that is gathered.
+class and ``FIT_WINDOWS`` evenly spaced windows of each are all that is gathered to learn from, and one score of each whole
+text to set the cut: the quantile of their scores that misjudges least becomes 0.3.
 A toxic document need not be toxic in every window, so after the first epoch only
 its windows the network believes in (its best one at least) count as positive.
 Scoring runs in Arrow batches; each distinct word of a batch is embedded once.
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from telemetra.llm.labelled import labelled
-from telemetra.llm.quality import verdict
+from telemetra.llm.labelled import class_share, cut_level, labelled
+from telemetra.llm.quality import THRESHOLD, verdict
 
 PER_CLASS = 2000
 FIT_WINDOWS = 4
@@ -76,7 +77,7 @@ class Network:
             self.p |= {"w" + way: r.normal(0, d ** -0.5, (d, 3 * h)), "b" + way: np.zeros(3 * h),
                        "u" + way: r.normal(0, h ** -0.5, (h, 3 * h))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.ready = False
+        self.ready, self.cut = False, 0.0
 
     # ---- inputs
     def inputs(self, hashes) -> np.ndarray:
@@ -128,8 +129,15 @@ class Network:
 
     # ---- scoring whole texts
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        if not self.ready or not texts:
+        """0 to 1; the cut is at ``THRESHOLD``."""
+        if not self.ready:
             return np.zeros(len(texts))
+        return sigmoid(self.logit(texts) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
+
+    def logit(self, texts: list[bytes | None]) -> np.ndarray:
+        """The highest window of each text."""
+        if not texts:
+            return np.zeros(0)
         vocab: dict[bytes, int] = {}
         seen = vocab.setdefault
         docs = [np.array([seen(w, len(vocab)) for w in t.split()], np.int32) if t else np.zeros(0, np.int32) for t in texts]
@@ -144,8 +152,7 @@ class Network:
                 part = d[s:s + WINDOW]
                 seq[k, :len(part)] = part
                 k += 1
-        best = np.maximum.reduceat(self.logits(gates, seq, words), np.cumsum(per) - per)
-        return sigmoid(best.astype(np.float64))
+        return np.maximum.reduceat(self.logits(gates, seq, words), np.cumsum(per) - per).astype(np.float64)
 
     # ---- training
     def _grads(self, hashes, seq, words, y, weight):
@@ -254,19 +261,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(parts, pa.list_(pa.binary()))], schema.names)
 
     got = src.mapInArrow(cut, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").select("y", "parts").collect()
-    return Network().fit([[bytes(p).split() for p in r.parts] for r in got], np.array([r.y for r in got]))
+    net = Network().fit([[bytes(p).split() for p in r.parts] for r in got], np.array([r.y for r in got]))
+    if net.ready:
+        seen = _map(src, ["doc_id", "y"], net.logit).dropDuplicates(["doc_id"]).select("y", "value").collect()
+        s, y = np.array([r["value"] for r in seen]), np.array([r.y for r in seen])
+        net.cut = float(np.quantile(s, cut_level(s, y, class_share(labels, label, MOD, HELD))))
+    return net
 
 
-def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, held_out, score, predicted."""
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    schema = StructType([src.schema["doc_id"], StructField("score", DoubleType())])
+def _map(src: DataFrame, keep: list[str], value) -> DataFrame:
+    """Columns ``keep`` and ``value(texts)`` of ``src(text)``."""
+    schema = StructType([*(src.schema[c] for c in keep), StructField("value", DoubleType())])
+    src = src.select(*keep, "text")
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(net.score([t.as_py() for t in part.column(1)]))], schema.names)
+                out = value([t.as_py() for t in part.column(len(keep))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out)], schema.names)
+
+    return src.mapInArrow(run, schema)
 
-    return verdict(src.mapInArrow(run, schema), MOD, HELD)
+
+def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``df``: doc_id, held_out, score, predicted."""
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return verdict(_map(src, ["doc_id"], net.score).withColumnRenamed("value", "score"), MOD, HELD)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from telemetra.llm import line_rules, packing, quality, simhash, tokens, toxicity
+from telemetra.llm import line_dedup, line_rules, packing, quality, simhash, tokens, toxicity
 from telemetra.llm.common import table
 
 QUERIES = {}
@@ -68,3 +68,9 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, count_col="lines_removed")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from telemetra.llm import line_dedup, line_rules, packing, quality, simhash, tokens, toxicity
+from telemetra.llm import line_dedup, line_rules, packing, quality, sharding, simhash, tokens, toxicity, warc
 from telemetra.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, count_col="lines_removed")
+
+
+@query
+def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = sharding.shard(docs, ["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.read(spark, warc.write(pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from telemetra.llm import line_dedup, line_rules, packing, quality, sharding, simhash, tokens, toxicity, warc
+from telemetra.llm import (line_dedup, line_rules, neighbours, packing, quality, sharding, simhash, tokens,
+                           toxicity, warc)
 from telemetra.llm.common import table
 
 QUERIES = {}
@@ -91,3 +92,8 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read(spark, warc.write(pages)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

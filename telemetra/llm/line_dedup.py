@@ -36,10 +36,6 @@ EDIT_WORDS = 10
 BITS = 1 << 22
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-
-
 def _halves(words: Column) -> Column:
     """Keys of the halves a line shares with any line within one edit: as the shorter, as the longer."""
     def key(side, n, part):
@@ -53,10 +49,11 @@ def _halves(words: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, tx, pos, line`` (normalised) of every line with a word."""
-    lines = F.transform(F.split("text", "\n"), normalised)
-    return (docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "line"))
-            .where("line != ''").withColumn("words", F.split("line", " ")))
+    """``doc_id, tx, pos, words`` (normalised) of every line with a word."""
+    # other white space becomes a space first, so that lines and words are cut at single literal characters
+    text = F.regexp_replace(F.lower("text"), "[\t\x0B\x0C\r]", " ")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
+    return docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "words")).where(F.size("words") > 0)
 
 
 def _drop_at(words: Column, i: Column) -> Column:
@@ -76,10 +73,11 @@ def _near(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     bits = cand.groupBy(F.shiftright(slot(F.col("h")), 6).alias("slot")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) & 63 as int))")).alias("bits"))  # BITS / 64 rows at most
-    lines = _occurrences(docs).where(F.size("words") >= EDIT_WORDS).select(F.xxhash64("line").alias("h"), "words")
+    lines = _occurrences(docs).where(F.size("words") >= EDIT_WORDS).select(F.xxhash64("words").alias("h"), "words")
     likely = (lines.withColumn("slot", F.shiftright(slot(F.col("h")), 6)).join(F.broadcast(bits), "slot")
               .where(f"getbit(bits, cast(pmod(h, {BITS}) & 63 as int)) = 1").select("h", "words"))
-    texts = stored(likely.join(cand, "h", "left_semi").groupBy("h").agg(F.first("words").alias("words")), "lines-words")
+    # an inner join: a semi-join would be pushed below the bit table
+    texts = stored(likely.join(cand, "h").groupBy("h").agg(F.first("words").alias("words")), "lines-words")
 
     # one row per variant: key (length, hash) and the place deleted; place 0 is the line itself
     at = F.posexplode("words").alias("i0", "w")
@@ -113,7 +111,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tx"), F.col(text_col).alias("text"))
     n = F.size("words")
     lines = stored(_occurrences(docs).where(n >= MIN_WORDS).select(
-        "doc_id", "tx", "pos", F.xxhash64("line").alias("h"),
+        "doc_id", "tx", "pos", F.xxhash64("words").alias("h"),
         F.when(n >= EDIT_WORDS, _halves(F.col("words"))).alias("halves")), "lines-all")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "pos")
     reps = stored(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines-distinct")

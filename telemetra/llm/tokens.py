@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
-CACHE = 1_000_000                       # distinct parts kept per worker (about 200 MB)
+CACHE = 500_000                         # distinct parts kept per worker (about 100 MB)
 SEPARATOR = "\ue000"
 CUT = re.compile(r"(?<=\S) ")           # a space after a non-space
 NOT_PLAIN = re.compile(r"\A |\s ")      # a text without this can be cut at every space
@@ -56,34 +56,97 @@ def byte_alphabet() -> list[str]:
 class Parts:
     """Ids of distinct parts, kept up to ``CACHE`` entries.
 
-    New parts are encoded many to a call, with a private-use character between them
-    that ``joined`` (a tokenizer like ``plain``) knows as a token of its own; parts
-    that hold that character themselves are encoded one by one by ``plain``.
+    ``core(part)`` splits a part into a word and the full stops and commas after it, if
+    these encode independently (else it returns None); the word is then a part of its own.
+    New parts are encoded many to a call, with a private-use character between them that
+    ``joined`` (a tokenizer like ``plain``) knows as a token of its own; parts that hold
+    that character themselves are encoded one by one by ``plain``.
     """
 
-    def __init__(self, plain, joined):
-        self.plain, self.joined, self.ids = plain, joined, {}
+    def __init__(self, plain, joined, core, text=lambda p: p):
+        self.plain, self.joined, self.core, self.text = plain, joined, core, text
+        self.ids, self.tails = {}, {"": b"", b"": b""}
         self.sep = joined.token_to_id(SEPARATOR)
 
-    def learn(self, parts: set, text=lambda p: p) -> dict:
+    def learn(self, parts: set) -> dict:
         """``parts`` all known: part -> ids as little-endian 32-bit bytes."""
-        new = parts.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE:
-            self.ids, new = {}, parts
-        odd = [p for p in new if SEPARATOR in text(p)]
-        new = list(new.difference(odd)) if odd else list(new)
+        ids, core = self.ids, self.core
+        new = parts.difference(ids)
+        if len(ids) + len(new) > CACHE:
+            ids.clear()
+            new = parts
+        cut = [(p, core(p)) for p in new]
+        words = {c[0] for _, c in cut if c}
+        self._words(list(words.difference(ids)))
+        self._encode([p for p, c in cut if not c])
+        for p, c in cut:
+            if c and c[0] != p:
+                ids[p] = ids[c[0]] + self._tail(c[1])
+        return ids
+
+    def _tail(self, tail) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self._one(tail if isinstance(tail, str) else tail.decode())
+        return self.tails[tail]
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list) -> None:
+        self._encode(words)
+
+    def _encode(self, new: list) -> None:
+        text = self.text
+        odd = {p for p in new if SEPARATOR in text(p)}
         for p in odd:
-            self.ids[p] = np.array(self.plain.encode(text(p), add_special_tokens=False).ids, "<u4").tobytes()
+            self.ids[p] = self._one(text(p))
+        new = [p for p in new if p not in odd]
+        for run, ids in self._runs(self.joined, new, SEPARATOR):
+            cuts = (4 * np.flatnonzero(ids == self.sep)).tolist()
+            self._keep(run, ids.tobytes(), [0, *(c + 4 for c in cuts)], [*cuts, 4 * len(ids)])
+
+    def _keep(self, run, data, starts, ends) -> None:
+        self.ids.update(zip(run, [data[a:b] for a, b in zip(starts, ends)]))
+
+    def _runs(self, tok, new, between):
         runs = [new[i:i + 200] for i in range(0, len(new), 200)]
         for i in range(0, len(runs), 100):
-            encoded = self.joined.encode_batch_fast([SEPARATOR.join(map(text, r)) for r in runs[i:i + 100]],
-                                                    add_special_tokens=False)
-            for run, e in zip(runs[i:i + 100], encoded):
-                ids = np.array(e.ids, "<u4")
-                cuts = (4 * np.flatnonzero(ids == self.sep)).tolist()
-                data = ids.tobytes()
-                self.ids.update(zip(run, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]))
-        return self.ids
+            some = runs[i:i + 100]
+            encoded = tok.encode_batch_fast([between.join(map(self.text, r)) for r in some], add_special_tokens=False)
+            for run, e in zip(some, encoded):
+                yield run, np.array(e.ids, "<u4")
+
+
+class WordParts(Parts):
+    """Parts of the word tokenizer: plain words need no normalizer or split pattern, and their last id ends a word."""
+
+    def __init__(self, plain, joined, core, text, words):
+        super().__init__(plain, joined, core, text)
+        vocab = words.get_vocab()
+        self.words, self.ends = words, np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _words(self, words: list) -> None:
+        for run, ids in self._runs(self.words, words, " "):
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self._keep(run, ids.tobytes(), [0, *ends[:-1]], ends)
+
+
+def byte_core(part: str) -> tuple[str, str] | None:
+    """A word of letters and the full stops and commas after it: separate matches of the pattern."""
+    word = part.rstrip(".,")
+    return (word, part[len(word):]) if word.isalpha() else None
+
+
+def word_core(part: bytes) -> tuple[bytes, bytes] | None:
+    """As ``byte_core``, lower case; Latin letters below U+0130 are their own normal form."""
+    word = part.rstrip(b".,")
+    if word.isalpha():                 # ASCII
+        return word.lower(), part[len(word):]
+    word = word.decode()
+    if not word.isalpha() or max(word) >= "\u0130":
+        return None
+    return word.lower().encode(), part[len(word.encode()):]
 
 
 class ByteBPE:
@@ -112,7 +175,8 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(rank.values()) + 1)
         for t, r in rank.items():
             self.bytes_of[r] = bytes(back[c] for c in shown[t])
-        self.first, self.rest = Parts(self.tok, joined), Parts(self.tok, joined)
+        self.first = Parts(self.tok, joined, byte_core)
+        self.rest = Parts(self.tok, joined, byte_core, lambda p: " " + p)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
@@ -122,7 +186,7 @@ class ByteBPE:
             cut = [(CUT.split(t) if NOT_PLAIN.search(t) else t.split(" ")) if t else [""] for t in group]
             heads = [c.pop(0) for c in cut]
             first = self.first.learn(set(heads))
-            rest = self.rest.learn(set().union(*cut), lambda p: " " + p)
+            rest = self.rest.learn(set().union(*cut))
             out += [np.frombuffer(b"".join([first[h], *[rest[p] for p in c]]), "<u4") for h, c in zip(heads, cut)]
         return out
 
@@ -142,7 +206,7 @@ class ByteBPE:
         yield dec.decode(b"", True)
 
 
-def _groups(texts, chars: int = 4_000_000):
+def _groups(texts, chars: int = 2_000_000):
     """``texts`` in runs of about ``chars`` characters (one text may be longer)."""
     run, size = [], 0
     for t in texts:
@@ -161,20 +225,23 @@ class WordBPE:
 
     def __init__(self, path: str = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(resolve(path), encoding="utf-8") as f:
             model = json.load(f) | {"added_tokens": []}    # their strings in a text are ordinary text
         self.tok, joined = Tokenizer.from_str(json.dumps(model)), Tokenizer.from_str(json.dumps(model))
         joined.add_special_tokens([SEPARATOR])
-        self.parts = Parts(self.tok, joined)
+        words = Tokenizer.from_str(json.dumps(model | {"normalizer": None}))
+        words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        self.parts = WordParts(self.tok, joined, word_core, bytes.decode, words)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian 32-bit bytes (null: none)."""
         out = []
         for group in _groups(texts):
             cut = [t.split() if t else [] for t in group]
-            known = self.parts.learn(set().union(*cut), bytes.decode)
+            known = self.parts.learn(set().union(*cut))
             out += [b"".join([known[p] for p in c]) for c in cut]
         return out
 

@@ -34,6 +34,9 @@ WORDS = "word_bpe_49k.json"
 CACHE = 500_000                         # distinct parts kept per worker (about 100 MB)
 SEPARATOR = "\ue000"
 CUT = re.compile(r"(?<=\S) ")           # a space after a non-space
+AFTER_SYMBOL = re.compile(r"(?:[^\w \t\n\x0b\x0c\r]|_)[.,]")
+PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789 \t\n\x0b\x0c\r.,"   # no symbol but the two themselves
+DOUBLE = re.compile(rb"[.,][.,]")
 NOT_PLAIN = re.compile(r"\A |\s ")      # a text without this can be cut at every space
 
 
@@ -77,7 +80,7 @@ class Parts:
             new = parts
         cut = [(p, core(p)) for p in new]
         words = {c[0] for _, c in cut if c}
-        self._words(list(words.difference(ids)))
+        self.learn_words(list(words.difference(ids)))
         self._encode([p for p, c in cut if not c])
         for p, c in cut:
             if c and c[0] != p:
@@ -92,7 +95,7 @@ class Parts:
     def _one(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: list) -> None:
+    def learn_words(self, words: list) -> None:
         self._encode(words)
 
     def _encode(self, new: list) -> None:
@@ -126,7 +129,7 @@ class WordParts(Parts):
         self.words, self.ends = words, np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _words(self, words: list) -> None:
+    def learn_words(self, words: list) -> None:
         for run, ids in self._runs(self.words, words, " "):
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             self._keep(run, ids.tobytes(), [0, *ends[:-1]], ends)
@@ -221,7 +224,9 @@ def _groups(texts, chars: int = 2_000_000):
 
 class WordBPE:
     """The lower-casing word tokenizer. Its pieces never span white space, so ASCII-separated
-    parts encode independently (bytes.split cuts at exactly \\x20 and \\x09-\\x0D)."""
+    parts encode independently (bytes.split cuts at exactly \\x20 and \\x09-\\x0D). A full stop
+    or comma after a letter or digit begins a piece, so a text in which none follows another
+    symbol is also cut there; it is lower-cased first where that is plain ASCII."""
 
     def __init__(self, path: str = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -236,13 +241,28 @@ class WordBPE:
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.parts = WordParts(self.tok, joined, word_core, bytes.decode, words)
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian 32-bit bytes (null: none)."""
-        out = []
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes (null: none)."""
+        out, ids = [], self.parts.ids
         for group in _groups(texts):
-            cut = [t.split() if t else [] for t in group]
-            known = self.parts.learn(set().union(*cut))
-            out += [b"".join([known[p] for p in c]) for c in cut]
+            flat, ends = [], [0]
+            for t in group:
+                if t:
+                    data = t.encode().lower()
+                    if (t.isascii() and not data.translate(None, PLAIN) and not DOUBLE.search(data)) or not AFTER_SYMBOL.search(t):
+                        data = data.replace(b".", b" .").replace(b",", b" ,")
+                    flat += data.split()
+                ends.append(len(flat))
+            known = list(map(ids.get, flat))
+            if missing := {p for p, k in zip(flat, known) if k is None}:
+                if len(ids) + len(missing) > CACHE:
+                    ids.clear()
+                    missing = set(flat)
+                plain = [p for p in missing if p.isalpha()]
+                self.parts.learn_words(plain)
+                self.parts.learn(missing.difference(plain))
+                known = list(map(ids.__getitem__, flat))
+            out += [b"".join(known[a:b]) for a, b in zip(ends, ends[1:])]
         return out
 
 

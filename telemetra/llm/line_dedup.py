@@ -36,24 +36,30 @@ EDIT_WORDS = 10
 BITS = 1 << 22
 
 
-def _halves(words: Column) -> Column:
+def _halves(line: Column) -> Column:
     """Keys of the halves a line shares with any line within one edit: as the shorter, as the longer."""
-    def key(side, n, part):
-        return F.xxhash64(F.lit(side), n, part)
-
-    def both(n, w):
+    def key(side, n):
         half = F.floor(n / 2).cast("int")
-        return [key(0, n, F.slice(w, 1, half)), key(1, n, F.slice(w, F.size(w) - half + 1, half))]
+        return F.xxhash64(F.lit(side), n, F.call_function("substring_index", line, F.lit(" "), half if side == 0 else -half))
+
+    n = _n_words(line)
+    return F.array(*(key(side, size) for size in (n, n - 1) for side in (0, 1)))
+
 
-    return let(words, lambda w: F.array(*both(F.size(w), w), *both(F.size(w) - 1, w)))
+def _n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, tx, pos, words`` (normalised) of every line with a word."""
-    # other white space becomes a space first, so that lines and words are cut at single literal characters
-    text = F.regexp_replace(F.lower("text"), "[\t\x0B\x0C\r]", " ")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
-    return docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "words")).where(F.size("words") > 0)
+    """``doc_id, tx, pos, line`` (normalised: words with one space between) of every line with a word."""
+    # the pattern is tried only on texts where white space is more than single spaces and line ends
+    low = F.lower("text")
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(low, F.lit(c))
+    text = F.when(odd, F.regexp_replace(low, "[ \t\x0B\x0C\r]+", " ")).otherwise(low)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "line")).where("line != ''")
 
 
 def _drop_at(words: Column, i: Column) -> Column:
@@ -73,11 +79,12 @@ def _near(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     bits = cand.groupBy(F.shiftright(slot(F.col("h")), 6).alias("slot")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) & 63 as int))")).alias("bits"))  # BITS / 64 rows at most
-    lines = _occurrences(docs).where(F.size("words") >= EDIT_WORDS).select(F.xxhash64("words").alias("h"), "words")
+    lines = _occurrences(docs).select(F.xxhash64("line").alias("h"), "line")
     likely = (lines.withColumn("slot", F.shiftright(slot(F.col("h")), 6)).join(F.broadcast(bits), "slot")
-              .where(f"getbit(bits, cast(pmod(h, {BITS}) & 63 as int)) = 1").select("h", "words"))
+              .where(f"getbit(bits, cast(pmod(h, {BITS}) & 63 as int)) = 1").select("h", "line"))
     # an inner join: a semi-join would be pushed below the bit table
-    texts = stored(likely.join(cand, "h").groupBy("h").agg(F.first("words").alias("words")), "lines-words")
+    texts = stored(likely.join(cand, "h").groupBy("h").agg(F.first("line").alias("line"))
+                   .select("h", F.split("line", " ").alias("words")), "lines-words")
 
     # one row per variant: key (length, hash) and the place deleted; place 0 is the line itself
     at = F.posexplode("words").alias("i0", "w")
@@ -89,7 +96,9 @@ def _near(docs: DataFrame, reps: DataFrame) -> DataFrame:
     deleted = keyed.select("h", (F.col("n") - 1).alias("n"), "i",
                            F.col("head").bitwiseXOR(F.col("g")).bitwiseXOR(F.col("tail")).alias("v"))
     itself = keyed.where("i = 1").select("h", "n", F.lit(0).alias("i"), F.col("all").alias("v"))
-    variants = stored(deleted.union(itself).join(reps.select("h", "first"), "h"), "lines-variants")
+    every = stored(deleted.union(itself), "lines-variants")
+    shared = stored(every.groupBy("n", "v").agg(F.count("*").alias("c")).where("c > 1").select("n", "v"), "lines-shared")
+    variants = stored(every.join(shared, ["n", "v"]).join(reps.select("h", "first"), "h"), "lines-first")
 
     some = variants.where("i > 0")
     place = stored(some.groupBy("n", "v", "i").agg(F.min(F.struct("first", "h")).alias("m"), F.count("*").alias("c"))
@@ -109,10 +118,10 @@ def _near(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key_id, key_null, key_text`` and ``removed`` (line numbers from 0) of each document that loses lines."""
     docs = df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tx"), F.col(text_col).alias("text"))
-    n = F.size("words")
+    n = _n_words(F.col("line"))
     lines = stored(_occurrences(docs).where(n >= MIN_WORDS).select(
-        "doc_id", "tx", "pos", F.xxhash64("words").alias("h"),
-        F.when(n >= EDIT_WORDS, _halves(F.col("words"))).alias("halves")), "lines-all")
+        "doc_id", "tx", "pos", F.xxhash64("line").alias("h"),
+        F.when(n >= EDIT_WORDS, _halves(F.col("line"))).alias("halves")), "lines-all")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "pos")
     reps = stored(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines-distinct")
     near = _near(docs, reps).withColumn("near", F.lit(True))

@@ -53,11 +53,13 @@ def _n_words(line: Column) -> Column:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, tx, pos, line`` (normalised: words with one space between) of every line with a word."""
     # the pattern is tried only on texts where white space is more than single spaces and line ends
-    low = F.lower("text")
-    odd = F.lit(False)
-    for c in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | F.contains(low, F.lit(c))
-    text = F.when(odd, F.regexp_replace(low, "[ \t\x0B\x0C\r]+", " ")).otherwise(low)
+    def spaced(low):
+        odd = F.contains(low, F.lit("  "))
+        for c in ("\t", "\x0b", "\x0c", "\r"):
+            odd = odd | F.contains(low, F.lit(c))
+        return F.when(odd, F.regexp_replace(low, "[ \t\x0B\x0C\r]+", " ")).otherwise(low)
+
+    text = let(F.lower("text"), spaced)
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "line")).where("line != ''")
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.plans.layout import bucket_of
+from telemetra.settings import DEFAULT
 from telemetra.functions.attrs import parse_attrs
 from telemetra.operators.curate import ANONYMOUS_ID, IDENTIFY, USER_ID
 
@@ -88,11 +90,13 @@ def device_owner(ue: DataFrame) -> DataFrame:
     )
 
 
-def backfill_identity(ue: DataFrame) -> DataFrame:
+def backfill_identity(ue: DataFrame, buckets: int = DEFAULT.buckets) -> DataFrame:
     """Curated rows with a device's later-known ``user_id`` filled in.
 
     ``user_id`` becomes the row's own user id, else the owner of its device;
-    ``person_id`` is recomputed from it. Rows are never dropped or duplicated
+    ``person_id`` is recomputed from it, and with it ``person_bucket`` where the frame
+    has one (``buckets``: the count the table was written with), so that a read by
+    person finds the rows under their new id. Rows are never dropped or duplicated
     (left join to a one-row-per-device table). Rows without a device cannot
     match and bypass the join, so NULL keys never pile up in one join task.
     """
@@ -100,9 +104,11 @@ def backfill_identity(ue: DataFrame) -> DataFrame:
     keyed = ue.where(F.col("anonymous_id").isNotNull())
     joined = keyed.join(owner, keyed["anonymous_id"] == owner["_anon"], "left")
     user_id = F.coalesce(F.col("user_id"), F.col("_owner"))
+    person = F.coalesce(user_id, F.col("anonymous_id"))
     cols = [
         user_id.alias("user_id") if c == "user_id"
-        else F.coalesce(user_id, F.col("anonymous_id")).alias("person_id") if c == "person_id"
+        else person.alias("person_id") if c == "person_id"
+        else bucket_of(person, buckets).cast(ue.schema[c].dataType).alias(c) if c == "person_bucket"
         else F.col(c)
         for c in ue.columns
     ]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.timecols import NS_PER_DAY, date_of_ns
-from telemetra.plans.skew import DEFAULT_GROUP_BOUND, max_group_rows, ranged
+from telemetra.plans.skew import ranged
 
 
 def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7, by: str = "person_id",
@@ -76,25 +76,18 @@ def cohort_retention(ue: DataFrame, by: str = "person_id", time_col: str = "even
         F.count(F.lit(1)).alias("persons"))
 
 
-def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano",
-               bound: int | None = DEFAULT_GROUP_BOUND) -> DataFrame:
+def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano") -> DataFrame:
     """Page -> next page transition counts within sessions.
 
     Events without a session or page are ignored; the order inside a session is
-    time, then the raw attribute text as a deterministic tie-breaker. Sessions of
-    up to ``bound`` events use a window per session; beyond that the sessions
-    are cut into range slices (see :func:`_next_in_slices`).
+    time, then the raw attribute text as a deterministic tie-breaker. Sessions
+    are cut into range slices (see :func:`_next_in_slices`), however long they are.
     """
     ev = ue.where(F.col(session_col).isNotNull() & F.col("page").isNotNull()).select(
         F.col(session_col).alias("_s"), F.col(time_col).alias("_t"), F.col("attributes").alias("_k"), "page"
     )
-    if bound is not None and max_group_rows(ev, ["_s"]) <= bound:
-        w = Window.partitionBy("_s").orderBy("_t", "_k")
-        pairs = ev.select("page", F.lead("page").over(w).alias("next_page"))
-    else:
-        pairs = _next_in_slices(ev)
     return (
-        pairs.where(F.col("next_page").isNotNull())
+        _next_in_slices(ev).where(F.col("next_page").isNotNull())
         .groupBy("page", "next_page").agg(F.count(F.lit(1)).alias("transitions"))
     )
 

@@ -4,17 +4,12 @@ Same definition as Spark's ``percentile`` and SQL ``quantile_cont``: for a
 group of ``n`` values and fraction ``q`` the position is ``q * (n - 1)``; the
 result interpolates the values at ranks ``floor`` and ``ceil`` of it.
 
-Two plans, chosen by a measured bound:
-
-* groups with at most ``bound`` rows (so at most that many distinct values):
-  the built-in ``percentile`` aggregate (partial aggregation; its state is a
-  value->count map per group);
-* otherwise a rank computation that never holds one group in one task: values
-  are first counted per ``(group, value)`` (partial aggregation), the counted
-  values are range-partitioned on ``(group, value)`` into slices, per-slice
-  totals give each slice its starting rank (a table with one row per slice and
-  group), and the two values around the target rank are found inside the
-  slices by a running sum.
+One plan for every size, which never holds a group in one task: values are first
+counted per ``(group, value)`` (partial aggregation), the counted values are
+range-partitioned on ``(group, value)`` into slices, per-slice totals give each slice
+its starting rank (a table with one row per slice and group), and the two values
+around the target rank are found inside the slices by a running sum. The group
+columns travel as one struct, so a NULL group is a group like any other.
 """
 
 from __future__ import annotations
@@ -24,26 +19,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.plans.skew import DEFAULT_GROUP_BOUND, max_group_rows, ranged
+from telemetra.plans.skew import ranged
 
 
 def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float, alias: str = "q",
-                     extra: Sequence[Column] = (), bound: int | None = DEFAULT_GROUP_BOUND) -> DataFrame:
+                     extra: Sequence[Column] = ()) -> DataFrame:
     """``groups + [alias] + extra``: exact ``q``-quantile of ``value`` per group.
 
-    NULL values are ignored. ``extra`` aggregates are computed in the same
-    aggregate (built-in plan) or in a separate aggregate joined per group.
+    NULL values are ignored; a group with no other has a NULL quantile. ``extra``
+    aggregates are computed per group beside it.
     """
-    present = df.where(F.col(value).isNotNull())
-    # rows per group bound the distinct values per group (the built-in state); the
-    # measurement is a partial aggregate, so its shuffle is one row per group per task
-    if bound is not None and max_group_rows(present, groups) <= bound:
-        return df.groupBy(*groups).agg(F.percentile(F.col(value), F.lit(q)).alias(alias), *extra)
-    counts = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    out = _ranked_percentile(counts, list(groups), value, q, alias)
-    if extra:
-        out = df.groupBy(*groups).agg(*extra).join(out, list(groups), "left")
-    return out
+    key = F.struct(*groups).alias("_g")
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    found = _ranked_percentile(counts, ["_g"], value, q, alias)
+    rest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
+    names = [c for c in rest.columns if c not in ("_g", "_rows")]
+    return rest.join(found, "_g", "left").select(*(F.col("_g")[g].alias(g) for g in groups), alias, *names)
 
 
 def _ranked_percentile(counts: DataFrame, groups: list[str], value: str, q: float, alias: str) -> DataFrame:

@@ -30,11 +30,13 @@ RETENTION_TABLES = (
 
 def retention_plan(days: int | None, as_of: datetime,
                    tables: tuple[tuple[str, str], ...] = RETENTION_TABLES) -> list[tuple[str, str, int]]:
-    """``[(table, time_column, cutoff_ns)]``; a non-positive or empty window -> no plan."""
-    if not days or days <= 0:
-        return []
-    cutoff = ns_of(as_of - timedelta(days=days))
-    return [(t, c, cutoff) for t, c in tables]
+    """One rule per table: its name, its time column and the first nanosecond kept.
+
+    Retention is off (no rules) unless the window is a positive number of days.
+    """
+    keep = timedelta(days=max(days or 0, 0))
+    first_kept = ns_of(as_of - keep)
+    return [(*rule, first_kept) for rule in tables if keep]
 
 
 def retention_preview(tables: Mapping[str, DataFrame], plan: list[tuple[str, str, int]]) -> DataFrame | None:

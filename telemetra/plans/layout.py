@@ -219,7 +219,8 @@ def materialized(spark: SparkSession, key: str, name: str, build: Callable[[], D
         write(build(), staging)
         if not fs.exists(spark, final + "/_SUCCESS"):
             fs.delete(spark, final)  # a half-published attempt, never a complete table
-            fs.rename(spark, staging, final)
+            if not fs.rename(spark, staging, final):
+                raise OSError(f"{final} could not be published")
         else:
             fs.delete(spark, staging)  # another writer published the same table first
     return read(spark, final)

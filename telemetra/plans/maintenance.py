@@ -349,17 +349,14 @@ def retention_sweep(spark: SparkSession, tables: dict[str, tuple[str, T.StructTy
     Whole day partitions below the cutoff are dropped without reading data
     files beyond the touched-partition aggregate; the cutoff day is rewritten.
     """
-    deleted: dict[str, int] = {}
-    for name, col, cutoff in plan:
-        if name not in tables:
-            continue
+    def sweep(name: str, time_col: str, first_kept: int) -> int:
         root, schema, parts, sort = tables[name]
-        if not fs.exists(spark, root):
-            continue
-        n = delete_where(spark, root, schema, parts, F.col(col) < F.lit(cutoff), sort, day_prune(parts, cutoff))
-        if n:
-            deleted[name] = n
-    return deleted
+        old = F.col(time_col) < F.lit(first_kept)
+        return delete_where(spark, root, schema, parts, old, sort, day_prune(parts, first_kept))
+
+    stored = {rule[0]: rule for rule in plan if rule[0] in tables and fs.exists(spark, tables[rule[0]][0])}
+    counts = {name: sweep(*rule) for name, rule in stored.items()}
+    return {name: n for name, n in counts.items() if n}
 
 
 def compact(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],

@@ -2,7 +2,7 @@
 
 Some exact answers need an order *inside* a group (a quantile needs ranks, a
 path needs the next event). A window partitioned by the group sends the whole
-group to one task. For groups above a measured size these operators instead
+group to one task. These operators instead
 range-partition on ``(group, order key)``: Spark samples the keys, so a hot
 group is cut into many contiguous slices, each handled by its own task. The
 per-slice facts that cross slice borders (row offsets, the first row of the
@@ -22,15 +22,6 @@ from pyspark.sql import functions as F
 
 from telemetra.plans.storage import shared_dir
 
-# Groups up to this many rows are handled by the plain per-group operator.
-DEFAULT_GROUP_BOUND = 2_000_000
-
-
-def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Largest group size (one partial aggregate; result is one number)."""
-    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(m or 0)
-
 
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """``df`` range-partitioned on ``keys + order`` with a stable ``_pid`` slice id."""

@@ -66,7 +66,9 @@ USER_EVENT_COLUMNS = USER_EVENTS.fieldNames()
 COMMITS = struct(("snapshot_id", L), ("snapshot_time", NTZ))
 
 # --- OTLP/JSON payloads (public OTLP JSON encoding) ------------------------
-ANY_VALUE = struct(("stringValue", S), ("intValue", S), ("doubleValue", D), ("boolValue", T.BooleanType()))
+# arrays, key-value lists and bytes keep their JSON (or base64) text
+ANY_VALUE = struct(("stringValue", S), ("intValue", S), ("doubleValue", D), ("boolValue", T.BooleanType()),
+                   ("arrayValue", S), ("kvlistValue", S), ("bytesValue", S))
 KEY_VALUE = T.ArrayType(struct(("key", S), ("value", ANY_VALUE)))
 RESOURCE = struct(("attributes", KEY_VALUE))
 SCOPE = struct(("name", S))
@@ -75,7 +77,7 @@ LOG_RECORD = struct(
     ("timeUnixNano", S),
     ("severityNumber", I),
     ("severityText", S),
-    ("body", struct(("stringValue", S))),
+    ("body", ANY_VALUE),
     ("attributes", KEY_VALUE),
 )
 LOGS_PAYLOAD = struct(
@@ -102,7 +104,7 @@ TRACES_PAYLOAD = struct(
     ))),
 )
 
-DATA_POINT = struct(("timeUnixNano", S), ("asDouble", D), ("attributes", KEY_VALUE))
+DATA_POINT = struct(("timeUnixNano", S), ("asDouble", D), ("asInt", S), ("attributes", KEY_VALUE))
 POINTS = struct(("dataPoints", T.ArrayType(DATA_POINT)))
 METRIC = struct(("name", S), ("unit", S), ("gauge", POINTS), ("sum", POINTS))
 METRICS_PAYLOAD = struct(

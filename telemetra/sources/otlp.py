@@ -42,14 +42,18 @@ def _value_text(v: Column) -> Column:
         v["intValue"],
         v["doubleValue"].cast("string"),
         v["boolValue"].cast("string"),
+        v["arrayValue"],
+        v["kvlistValue"],
+        v["bytesValue"],
     )
 
 
 def kv_to_json(kvs: Column) -> Column:
     """Attribute list -> JSON object text, last value wins for duplicate keys."""
-    kept = F.filter(
+    kept = F.filter(  # an attribute without a key has no name to be read by
         kvs,
-        lambda x, i: ~F.exists(F.slice(kvs, i + 2, F.greatest(F.size(kvs) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]),
+        lambda x, i: x["key"].isNotNull() & ~F.exists(
+            F.slice(kvs, i + 2, F.greatest(F.size(kvs) - i - 1, F.lit(0))), lambda y: y["key"].eqNullSafe(x["key"])),
     )
     entries = F.transform(kept, lambda x: F.struct(x["key"].alias("key"), _value_text(x["value"]).alias("value")))
     return F.when(F.size(kvs) > 0, F.to_json(F.map_from_entries(entries))).otherwise(F.lit("{}"))
@@ -108,7 +112,7 @@ def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_re
     x = F.col("_x")
     return _records(payloads, LOGS_PAYLOAD, "resourceLogs", "scopeLogs", "logRecords").select(
         x["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
-        x["body"]["stringValue"].alias("body"),
+        _value_text(x["body"]).alias("body"),
         x["severityText"].alias("severity_text"),
         x["severityNumber"].alias("severity_number"),
         kv_get(F.col("_res"), SERVICE_NAME).alias("service_name"),
@@ -146,7 +150,7 @@ def _ingest_points(payloads: DataFrame, kind: str, promote: Iterable[str]) -> Da
         d["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
         F.col("_n").alias("name"),
         F.col("_u").alias("unit"),
-        d["asDouble"].alias("double_value"),
+        F.coalesce(d["asDouble"], d["asInt"].try_cast("double")).alias("double_value"),
         kv_get(F.col("_res"), SERVICE_NAME).alias("service_name"),
         kv_to_json(d["attributes"]).alias("metric_attributes"),
         *_promoted(F.col("_res"), promote),

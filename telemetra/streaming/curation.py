@@ -5,7 +5,7 @@ batches. Progress is the stream's checkpoint (which raw files were consumed),
 never event time, so late and out-of-order events are always picked up; there
 is deliberately no watermark (it could only drop rows). Each micro-batch is
 curated with the same :func:`telemetra.operators.curate.curate` as the full
-backfill and published once as ``<ue>/hot/batch=<id>/subject=/person_bucket=/``
+backfill and published once as ``<ue>/hot/batch=<stream>-<id>/subject=/person_bucket=/``
 (see :mod:`telemetra.streaming.sinks`), so a restart neither loses nor repeats
 rows. The first run of a fresh checkpoint is the full backfill.
 
@@ -27,7 +27,7 @@ from telemetra.plans.layout import CURATED_SORT, MAX_RECORDS_PER_FILE, curated_l
 from telemetra.plans.storage import job_path
 from telemetra.schemas import USER_EVENTS, struct, L, S, I
 from telemetra.settings import DEFAULT, Settings
-from telemetra.streaming.sinks import COLD, HOT, publish_batch
+from telemetra.streaming.sinks import COLD, HOT, MAX_FILE_AGE, publish_batch, stream_id
 
 RAW_LOGS_INGESTED = struct(
     ("time_unix_nano", L), ("body", S), ("severity_text", S), ("severity_number", I), ("service_name", S),
@@ -86,19 +86,20 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
     batch refreshes the same days again, which is idempotent.
     """
     schema = _with(raw_schema(settings.promote_resource_attrs), ("batch", T.StringType()))
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.parquet(f"{raw_root.rstrip('/')}/{HOT}")
 
+    ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "curate")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(batch, ue_root, batch_id, lambda d, p: write_curated_batch(d, p, settings))
+        publish_batch(batch, ue_root, batch_id, lambda d, p: write_curated_batch(d, p, settings), stream_id(spark, ckpt))
         if rollup_path is not None:
             from telemetra.plans.rollup import refresh_rollup
             new_rows = batch.select(F.col("time_unix_nano").alias("event_time_unix_nano"))
             refresh_rollup(batch.sparkSession, curated_view(batch.sparkSession, ue_root), new_rows, rollup_path)
 
-    ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "curate")
     return (
         raw.writeStream.foreachBatch(sink)
         .option("checkpointLocation", ckpt)
@@ -128,8 +129,10 @@ def ensure_curated(spark: SparkSession, ue_root: str, checkpoint: str) -> bool:
     """
     cols = stored_columns(spark, ue_root)
     if cols and not has_curated_schema(cols):
-        fs.delete(spark, ue_root)
+        # progress first: if the driver is lost in between, the next run still finds the old
+        # schema and starts over, instead of an empty table with full progress
         fs.delete(spark, checkpoint)
+        fs.delete(spark, ue_root)
         return True
     return False
 

@@ -3,7 +3,7 @@
 Export requests arrive as JSON text files (one request per line) in a landing
 folder (a topic works the same way through the Kafka source: its ``value`` is
 the request). The stream flattens them with the batch ingest functions and
-publishes every micro-batch as ``<raw>/hot/batch=<id>/event_date=<day>/``.
+publishes every micro-batch as ``<raw>/hot/batch=<stream>-<id>/event_date=<day>/``.
 ``trigger`` controls freshness (``{"processingTime": "1 second"}``) or runs a
 catch-up (``{"availableNow": True}``, also the final run on shutdown).
 """
@@ -21,7 +21,7 @@ from telemetra.plans.layout import MAX_RECORDS_PER_FILE
 from telemetra.plans.storage import job_path
 from telemetra.settings import DEFAULT
 from telemetra.sources import otlp
-from telemetra.streaming.sinks import publish_batch
+from telemetra.streaming.sinks import MAX_FILE_AGE, publish_batch, stream_id
 
 _INGEST = {
     "logs": (otlp.ingest_logs, "time_unix_nano", ("body", "time_unix_nano")),
@@ -48,16 +48,18 @@ def start_ingest(spark: SparkSession, landing_dir: str, raw_root: str, kind: str
                  promote: Iterable[str] = DEFAULT.promote_resource_attrs,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     fn, time_col, sort = _INGEST[kind]
-    reader = spark.readStream.format("text")
+    # files are taken however old they are next to the newest one
+    reader = spark.readStream.format("text").option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     payloads = reader.load(landing_dir).select(F.col("value").alias("payload"))
     flat = fn(payloads, promote=tuple(promote))
 
+    ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "ingest-" + kind)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(batch, raw_root, batch_id, lambda d, p: write_raw_batch(d, p, time_col, sort))
+        publish_batch(batch, raw_root, batch_id, lambda d, p: write_raw_batch(d, p, time_col, sort), stream_id(spark, ckpt))
 
-    ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "ingest-" + kind)
     return (
         flat.writeStream.foreachBatch(sink)
         .option("checkpointLocation", ckpt)

@@ -1,5 +1,7 @@
-"""Skew-safe plans give the same answers as the per-group plans."""
+"""The one plan of each skew-safe operator, against numpy and a plain window."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from telemetra.operators.product import user_paths
@@ -13,26 +15,30 @@ def as_set(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_percentile_ranked_equals_builtin(spark):
-    tr = Tables(spark, SF_SMALL, land=False).traces
+def test_percentile_equals_numpy(spark):
+    tr = Tables(spark, SF_SMALL, land=False).traces.select("name", "duration_time_unix_nano")
+    rows = tr.collect()
     for q in (0.0, 0.25, 0.95, 1.0):
-        a = as_set(percentile_exact(tr, ["name"], "duration_time_unix_nano", q))
-        b = as_set(percentile_exact(tr, ["name"], "duration_time_unix_nano", q, bound=0))
-        assert a == b
-    hot = tr.withColumn("g", F.lit("all"))  # one group holds every row
-    a = percentile_exact(hot, ["g"], "duration_time_unix_nano", 0.95).first().q
-    b = percentile_exact(hot, ["g"], "duration_time_unix_nano", 0.95, bound=0).first().q
-    assert a == b
+        got = {r.name: r.q for r in percentile_exact(tr, ["name"], "duration_time_unix_nano", q).collect()}
+        assert set(got) == {r.name for r in rows}
+        for name in got:
+            assert np.isclose(got[name], np.quantile([r[1] for r in rows if r.name == name], q), rtol=1e-12)
+    hot = percentile_exact(tr.withColumn("g", F.lit("all")), ["g"], "duration_time_unix_nano", 0.95).first().q
+    assert np.isclose(hot, np.quantile([r[1] for r in rows], 0.95), rtol=1e-12)
 
 
-def test_percentile_single_value_and_nulls(spark):
-    df = spark.createDataFrame([("a", 5), ("a", None), ("b", 1), ("b", 1), ("b", 3)], "g string, v long")
-    got = dict((r.g, r.q) for r in percentile_exact(df, ["g"], "v", 0.5, bound=0).collect())
-    assert got == {"a": 5.0, "b": 1.0}
+def test_percentile_null_group_and_values(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), ("b", 1), ("b", 1), ("b", 3), (None, 7), ("c", None)], "g string, v long")
+    out = percentile_exact(df, ["g"], "v", 0.5, extra=[F.count(F.lit(1)).alias("n")])
+    assert out.columns == ["g", "q", "n"]
+    assert {r.g: (r.q, r.n) for r in out.collect()} == {"a": (5.0, 2), "b": (1.0, 3), None: (7.0, 1), "c": (None, 1)}
 
 
-def test_user_paths_sliced_equals_window(spark):
+def test_user_paths_equal_a_window(spark):
     ue = Tables(spark, SF_SMALL, land=False).ue
-    assert as_set(user_paths(ue)) == as_set(user_paths(ue, bound=0))
-    hot = ue.withColumn("session_id", F.lit("one"))  # one session holds every event
-    assert as_set(user_paths(hot)) == as_set(user_paths(hot, bound=0))
+    for df in (ue, ue.withColumn("session_id", F.lit("one"))):  # the second: one session holds every event
+        ev = df.where("session_id IS NOT NULL AND page IS NOT NULL")
+        w = Window.partitionBy("session_id").orderBy("event_time_unix_nano", "attributes")
+        want = (ev.select("page", F.lead("page").over(w).alias("next_page")).where("next_page IS NOT NULL")
+                .groupBy("page", "next_page").agg(F.count(F.lit(1))))
+        assert as_set(user_paths(df)) == as_set(want)

@@ -137,7 +137,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_c
     """``df`` with the repeated lines taken out of its texts; ``count_col`` adds how many went."""
     gone = stored(removed_lines(df, id_col, text_col), "lines-removed")
     rows = df.select(F.struct(*df.columns).alias("row"), *row_key(F.col(id_col), text_key(F.col(text_col))))
-    joined = rows.join(gone, KEY, "left")
+    # one join for every size: what goes grows with the table, so a small part isn't broadcast either
+    joined = rows.join(gone.hint("merge"), KEY, "left")
     text = F.col("row")[text_col]
     stay = let(F.split(text, "\n"), lambda x: F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)))

@@ -113,7 +113,8 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     rows = df.select(F.col(id_col).alias("doc_id"), *row_key(F.col(id_col), text_key(F.col(text_col))),
                      *(c.alias(n) for n, c in metrics.items()),
                      *([F.struct(*df.columns).alias("row")] if payload else []))
-    joined = rows.join(flags, KEY, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    # one join for every size: the flags grow with the table, so small ones aren't broadcast either
+    joined = rows.join(flags.hint("merge"), KEY, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     depleted = F.col("removed_words") > max_removed * F.col("n_words")
     return (joined.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & ~depleted).drop(*KEY))

@@ -14,8 +14,8 @@ most one apart), without a global sort:
 
 Sources and cells hold about ``CELL_ROWS`` rows each, so tasks stay equal at any
 size. The driver holds the matrix only: one row of ``shards`` counts per source.
-Every step is a function of the rows and ``seed``, so a lost executor's work is
-redone alike.
+The rows are written once with a number each; every later step is a function of
+them and ``seed``, so a lost executor's work is redone alike.
 
 Defined cases: rows are spread by id and text hash together; rows that repeat
 both are told apart by their place among equals, so a text or null id that fills

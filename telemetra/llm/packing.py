@@ -6,11 +6,13 @@ about ``GROUP_TOKENS`` tokens. In each group a best-fit-decreasing start is
 improved by local search: documents move, or swap one-for-one or two-for-one,
 from the emptiest bin into fuller ones whenever that raises the sum of squared
 fills, until bins run empty or no such exchange is left. Bins that end underfull
-are pooled over all groups and packed again, in fewer groups each round, until
-one group holds them.
+are pooled over all groups, dealt anew into groups of the same size and packed
+again, until one group has held them or a round no longer lowers their number;
+then they stay as the round before left them.
 
-A group's size is fixed by its token count, so tasks stay bounded and equal
-whatever ids or texts are frequent; only ids, counts and lengths are shuffled.
+A group's size is fixed by its token count in every round, so tasks stay bounded
+and equal whatever ids, texts or lengths are frequent; only ids, counts and
+lengths are shuffled.
 
 Defined cases: null or empty text is the end id alone; repeated rows are separate
 documents; an empty table gives an empty result; extra columns aren't read.
@@ -155,22 +157,27 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
                              "sequence_id": by["_piece_no"].transform("min"),
                              "offset": by["length"].cumsum() - pdf["length"], "fill": by["length"].transform("sum")})
 
-    out, last = [], None
+    under = F.col("fill") < capacity
+    first = F.col("_piece_no") == F.col("sequence_id")
+    total, out, left, rest = todo.agg(F.sum("length")).first()[0] or 0, [], None, None
     while True:
-        total = todo.agg(F.sum("length")).first()[0] or 0
         groups = max(1, -(-total // group_tokens))
-        if last is not None and groups >= last:
-            groups = max(1, last // 2)
-        last = groups
-        packed = stored(todo.withColumn("g", F.pmod(F.xxhash64("_piece_no", F.lit(groups)), F.lit(groups)))
+        packed = stored(todo.withColumn("g", F.pmod(F.xxhash64("_piece_no", F.lit(len(out))), F.lit(groups)))
                         .groupBy("g").applyInPandas(lambda pdf: search(pdf),
                                                     "_piece_no long, length long, sequence_id long, offset long, fill long"),
                         "pack-round")
+        # ``left`` bins came into this round; those of a round that doesn't lower their number stay as they were
+        bins, left_now, total = packed.agg(F.count_if(first), F.count_if(first & under),
+                                           F.sum(F.when(under, F.col("length")))).first()
+        if left is not None and bins >= left:
+            out.append(rest)
+            break
         if groups == 1:
             out.append(packed)
             break
-        out.append(packed.where(F.col("fill") >= capacity))
-        todo = packed.where(F.col("fill") < capacity).select("_piece_no", "length")
+        out.append(packed.where(~under))
+        left, rest, total = left_now, packed.where(under), total or 0
+        todo = rest.select("_piece_no", "length")
     for p in out:
         done = done.union(p.select("_piece_no", "sequence_id", "offset"))
     return parts.join(done, "_piece_no").drop("_piece_no")

@@ -97,6 +97,34 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces(empty)).count() == 0
 
 
+def test_packing_groups_stay_bounded(spark, monkeypatch):
+    # lengths that never add up to a full sequence: no round empties the pool, and none may gather it in one group
+    def search(lengths, capacity):
+        assert lengths.sum() <= 45_000, "a group far over group_tokens"
+        return local_search(lengths, capacity)
+
+    local_search = packing.local_search
+    parts = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(2500).cast("long").alias("length"))
+    monkeypatch.setattr(packing, "local_search", search)
+    rows = packing.pack(parts, group_tokens=20_000).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    assert len({r.sequence_id for r in rows}) == 300 and {r.offset for r in rows} == {0}
+
+
+def test_packing_rounds_lower_the_number_of_bins(spark):
+    lengths = [2500] * 120 + [1596, 900, 696] * 40
+    parts = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = packing.pack(parts, group_tokens=20_000).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for bin_ in by.values():
+        ends = [0, *(off + n for off, n in sorted(bin_))]
+        assert [off for off, _ in sorted(bin_)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+    assert len(by) <= 122        # 120 at least: no two of 2500 fit
+
+
 def test_neighbours(spark):
     v = [1.0, 0.5, 0.25]
     rows = [(0, v, 9.0), (1, v, 9.0), (1, v, 9.0), (None, v, 9.0), (2, None, 9.0), (3, [0.0, 0.0, 0.0], 9.0), (4, [1.0, None, 0.0], 9.0),

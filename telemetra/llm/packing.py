@@ -83,14 +83,18 @@ def local_search(lengths: np.ndarray, capacity: int) -> np.ndarray:
             insort(open_, (capacity - fill[b], b))
     fill = np.array(fill, np.int64)
     least = -(-int(lengths.sum()) // capacity)
-    stuck: set[int] = set()
+    # a bin without an exchange waits until all have been tried, then again if any was changed since
+    stuck, changed = np.zeros(len(fill), bool), False
     while (fill > 0).sum() > least:
-        left = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)) if b not in stuck]
-        if len(left) < 2:
+        left = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if len(left):
+            src = left[fill[left].argmin()]
+            stuck[src] = not _improve(lengths, bin_of, fill, capacity, src)
+            changed |= not stuck[src]
+        elif changed:
+            stuck[:], changed = False, False
+        else:
             break
-        src = min(left, key=lambda b: fill[b])
-        if not _improve(lengths, bin_of, fill, capacity, src):
-            stuck.add(src)
     return bin_of
 
 

@@ -125,6 +125,16 @@ def test_packing_rounds_lower_the_number_of_bins(spark):
     assert len(by) <= 122        # 120 at least: no two of 2500 fit
 
 
+def test_local_search_leaves_no_exchange():
+    for seed in range(20):
+        lengths, cap = np.random.default_rng(seed).integers(20, 60, 60), 100
+        bin_of = packing.local_search(lengths, cap)
+        fill = np.bincount(bin_of, lengths).astype(np.int64)
+        if (fill > 0).sum() > -(-lengths.sum() // cap):
+            for src in np.flatnonzero((fill > 0) & (fill < cap)):
+                assert not packing._improve(lengths, bin_of.copy(), fill.copy(), cap, src)
+
+
 def test_neighbours(spark):
     v = [1.0, 0.5, 0.25]
     rows = [(0, v, 9.0), (1, v, 9.0), (1, v, 9.0), (None, v, 9.0), (2, None, 9.0), (3, [0.0, 0.0, 0.0], 9.0), (4, [1.0, None, 0.0], 9.0),

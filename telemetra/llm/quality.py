@@ -7,7 +7,8 @@ Arrow batches. On the driver, a bounded sample of labelled feature rows
 pairs: a document labelled 1 is preferred to one labelled 0. The score w.x is fitted
 by logistic loss on feature differences. The cut is a quantile of the sample's
 scores: the level that misjudges fewest sample documents, each class counted at
-its share among the labelled rows. Scores are then squashed so that the cut is 0.3.
+its share among the labelled rows. Sample and shares are of rows whose document is
+in the table given. Scores are then squashed so that the cut is 0.3.
 
 Defined cases: null text counts as empty; repeated rows get equal scores; without
 rows of both labels nothing can be ranked and every score is 0.5; a null id is not
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from telemetra.llm.labelled import class_share, cut_level, labelled, remainder
+from telemetra.llm.labelled import class_share, cut_level, labelled, present, remainder
 
 PER_CLASS = 6000
 PAIRS = 60_000
@@ -100,6 +101,7 @@ def _features(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
         id_col: str = "doc_id", text_col: str = "text") -> Ranker:
+    labels = present(docs, labels, label, id_col)
     rows = labelled(docs, labels, label, MOD, HELD, per_class, id_col, text_col)
     got = _features(rows, ["doc_id", "y"], "text").dropDuplicates(["doc_id"]).select("y", "x").collect()
     return Ranker(np.array([r.x for r in got]), np.array([r.y for r in got]), class_share(labels, label, MOD, HELD))

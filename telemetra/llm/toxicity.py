@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from telemetra.llm.labelled import class_share, cut_level, labelled
+from telemetra.llm.labelled import class_share, cut_level, labelled, present
 from telemetra.llm.quality import THRESHOLD, verdict
 
 PER_CLASS = 2000
@@ -246,6 +246,7 @@ def _encode(group: list[list[bytes]]):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS,
         id_col: str = "doc_id", text_col: str = "text") -> Network:
+    labels = present(docs, labels, label, id_col)
     rows = labelled(docs, labels, label, MOD, HELD, per_class, id_col, text_col)
     src = rows.select("doc_id", "y", F.col("text").cast("string").cast("binary").alias("text"))
     schema = StructType([src.schema["doc_id"], StructField("y", IntegerType()), StructField("parts", ArrayType(BinaryType()))])

@@ -52,6 +52,26 @@ def test_quality(spark, docs, empty):
     assert quality.keep(docs, none).columns == docs.columns and quality.keep(docs, none).count() == len(ROWS)
 
 
+def test_sample_and_share_are_of_documents_present(spark):
+    from telemetra.llm import labelled
+
+    labels = spark.range(1000).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 2) AS toxic")
+    rows = [(i, BASE if i % 2 else "@@ ## !! \n" * 20, i % 2) for i in range(1000) if i % 2 and i % 29 == 0 or i % 58 == 0 and i % 4 == 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    learn = [(i, y) for i, _, y in rows if labelled_id(i, quality.MOD, quality.HELD)]
+    got = labelled.present(docs, labels, "quality")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows)
+    assert labelled.class_share(got, "quality", quality.MOD, quality.HELD) == sum(y for _, y in learn) / len(learn)
+    # two a class, whichever of the 1,000 labelled ids come first in hash order
+    ranker = quality.fit(docs, labels, per_class=2)
+    assert {r.predicted == r.doc_id % 2 for r in quality.score(docs, ranker).collect()} == {True}
+    assert toxicity.fit(docs, labels, per_class=2).ready
+
+
+def labelled_id(i, mod, held):
+    return zlib.crc32(str(i).encode()) % mod != held
+
+
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup(docs, count_col="gone")
     rows = {r.doc_id: r for r in out.collect()}

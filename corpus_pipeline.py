@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", rules), ("quality classifier", classify), ("line dedup", lines),
           ("SimHash near-dedup", near), ("best-fit packing", pack)]
 
-# a fitted classifier and local search are no SQL; tests compare run() with a plain Python version
+# a fitted classifier and local search are no SQL; tests hold single stages to SQL or brute force, none run() as a whole
 ORACLE_SQL = None
 
 

@@ -1,0 +1,90 @@
+"""Operators without oracle SQL against plain brute force on small tables."""
+
+import base64
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from telemetra.llm import neighbours, packing, simhash, tokens, warc
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_recall_at_5(spark):
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(6000, 64))           # more than one block
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    unit = table / np.linalg.norm(table, axis=1)[:, None]
+    found = 0
+    for q in range(0, 6000, 50):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        best = set(np.argsort(-cos)[:5].tolist())
+        assert len(got[q]) == 5 and all(abs(cos[i] - s) < 1e-9 for i, s in got[q].items())
+        found += len(best & set(got[q]))
+    assert found >= 0.9 * 5 * 120, found
+
+
+def test_byte_ids_are_tiktokens(docs, texts):
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(public_tokenizers.path(tokens.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in tokens.encode(docs).collect():
+        assert r.ids == enc.encode_ordinary(texts[r.doc_id]), r.doc_id
+
+
+def test_packed_ids_are_the_tokenizers(docs, texts):
+    tok = Tokenizer.from_file(public_tokenizers.path(tokens.WORDS))
+    got = {}
+    for r in packing.pack(packing.pieces(docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert got.keys() == texts.keys()
+    for i, parts in got.items():
+        flat = [x for _, ids in sorted(parts) for x in ids]
+        assert flat == [*tok.encode(texts[i], add_special_tokens=False).ids, packing.END_ID], i
+
+
+def test_simhash_components(docs):
+    rows = simhash.near_duplicates(docs).collect()
+    fps = np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
+    comp = list(range(len(rows)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3):
+            comp[root(i)] = root(int(j))
+    low = {}
+    for i, r in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), r.doc_id), r.doc_id)
+    assert [r.component_id for r in rows] == [low[root(i)] for i in range(len(rows))]
+
+
+def test_warc_refers_to_first_copy(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: (r.html or "").encode() for r in pages.select("page_id", "html").collect()}
+    first = {}
+    for i in sorted(html):
+        first.setdefault(html[i], i)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, warc.write(pages)).collect()}
+    assert got == {i: (len(h), "response", None) if first[h] == i else (len(h), "revisit", first[h]) for i, h in html.items()}

@@ -32,7 +32,7 @@ Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
 JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "retention_sweep",
-        "retention_sweep_versioned", "compact", "expire_history")
+        "retention_sweep_signals", "retention_sweep_versioned", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
@@ -663,6 +663,39 @@ def _(t: Tables):
     return left[0].unionByName(left[1])
 
 
+_SIGNALS = (("traces", "start_time_unix_nano", "traces"), ("metrics_gauge", "time_unix_nano", "gauge"),
+            ("metrics_sum", "time_unix_nano", "sums"))
+
+
+def _sweep_signals_sql() -> str:
+    cutoff = O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))
+    return W_("traces", "gauge", "sums") + " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) FILTER (WHERE {c} < {cutoff}) AS deleted, "
+        f"count(*) FILTER (WHERE {c} >= {cutoff} OR {c} IS NULL) AS remaining FROM {src}"
+        for n, c, src in _SIGNALS)
+
+
+@register("retention_sweep_signals", _sweep_signals_sql())
+def _(t: Tables):
+    # the tables of the plan that retention_sweep leaves out
+    from telemetra.plans import layout
+    from telemetra.plans.maintenance import retention_sweep
+    run = _run_dir(t, "retention_sweep_signals")
+    tables, reads = {}, {}
+    for name, _, source in _SIGNALS:
+        spans = name == "traces"
+        write, reads[name] = ((layout.write_traces, layout.read_traces) if spans
+                              else (layout.write_metrics, layout.read_metrics))
+        write(getattr(t, source).drop("event_date"), f"{run}/{name}")
+        tables[name] = (f"{run}/{name}", layout.TRACES_STORED if spans else layout.METRICS_STORED, ["event_date"],
+                        list(layout.TRACES_SORT if spans else layout.METRICS_SORT))
+    deleted = retention_sweep(t.spark, tables, M.retention_plan(RETENTION_DAYS, DEFAULT.as_of))
+    left = [reads[name](t.spark, f"{run}/{name}").agg(
+        F.lit(name).alias("table_name"), F.lit(deleted.get(name, 0)).cast("long").alias("deleted"),
+        F.count(F.lit(1)).alias("remaining")) for name, _, _ in _SIGNALS]
+    return left[0].unionByName(left[1]).unionByName(left[2])
+
+
 SWEEP_AT = datetime(2024, 2, 1, 8)  # time of the commit a versioned retention sweep adds
 
 

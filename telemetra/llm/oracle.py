@@ -65,4 +65,39 @@ FROM documents d LEFT JOIN (
   FROM (SELECT line.*, gone.pos AS g FROM line LEFT JOIN gone USING (doc_id, pos)) GROUP BY doc_id) s USING (doc_id)
 """
 
-ORACLE_SQL = {"op9_quality_rules": RULES, "op2_line_dedup": LINES}
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS original FROM d),
+f AS (
+  SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > original] AS fails
+  FROM w),
+label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+cell AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN label USING (doc_id) GROUP BY part, fails),
+letter AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, list_aggregate(list_transform(o, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+walked AS (
+  SELECT cell.*, filter_order, step, o[step] AS i, fails[o[step]] AS now,
+    list_bool_or(list_transform(o[:step - 1], lambda x: fails[x])) AS before, len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM cell, steps),
+counted AS (
+  SELECT part, filter_order, step, any_value(i) AS i,
+    coalesce(sum(n) FILTER (WHERE NOT now AND NOT coalesce(before, false)), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE now AND NOT coalesce(before, false)), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE now AND coalesce(before, false)), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE now AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE now AND NOT coalesce(before, false)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE now AND NOT coalesce(before, false)), 0) AS toxic_lost
+  FROM walked GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE_SQL = {"op9_quality_rules": RULES, "op2_line_dedup": LINES, "op11_filter_audit": AUDIT}

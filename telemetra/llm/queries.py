@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from telemetra.llm import (line_dedup, line_rules, neighbours, packing, quality, sharding, simhash, tokens,
-                           toxicity, warc)
+from telemetra.llm import (filter_audit, license_scan, line_dedup, line_rules, neighbours, packing, quality, sharding, simhash,
+                           token_alignment, tokens, toxicity, warc)
 from telemetra.llm.common import table
 from telemetra.llm.oracle import ORACLE_SQL  # noqa: F401  (part of this module's contract)
 
@@ -97,3 +97,18 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))

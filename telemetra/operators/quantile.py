@@ -4,12 +4,20 @@ Same definition as Spark's ``percentile`` and SQL ``quantile_cont``: for a
 group of ``n`` values and fraction ``q`` the position is ``q * (n - 1)``; the
 result interpolates the values at ranks ``floor`` and ``ceil`` of it.
 
-One plan for every size, which never holds a group in one task: values are first
-counted per ``(group, value)`` (partial aggregation), the counted values are
-range-partitioned on ``(group, value)`` into slices, per-slice totals give each slice
-its starting rank (a table with one row per slice and group), and the two values
-around the target rank are found inside the slices by a running sum. The group
-columns travel as one struct, so a NULL group is a group like any other.
+Nothing sorts a whole group. One plan for every size, three passes that each end in a
+partial aggregation, so a hot group costs every task a state of fixed size:
+
+1. per group the count, the least and greatest value and a KLL sketch, whose quantiles
+   just below and above ``q`` bracket the value looked for;
+2. how many values fall into each of ``BINS`` equal stretches below, inside and above the
+   bracket; a running sum over at most ``3 * BINS`` of them names the stretch that holds
+   each of the two ranks and how many values lie below it;
+3. the values of those stretches alone, counted per value and ranked by a running sum.
+
+The sketch only makes the stretches short (about ``1 / BINS`` of the bracket's 1 % of the
+group). Where it misses, the rank lies in a stretch below or above the bracket and is found
+there: the result is exact either way. The group columns travel as one struct, so a
+NULL group is a group like any other.
 """
 
 from __future__ import annotations
@@ -18,50 +26,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telemetra.plans.skew import ranged
+BINS = 256
+KLL_K = 1000          # rank error of the sketch about 0.3 %
+MARGIN = 0.005        # bracket: the sketch's quantiles at q - MARGIN and q + MARGIN
 
 
 def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float, alias: str = "q",
                      extra: Sequence[Column] = ()) -> DataFrame:
     """``groups + [alias] + extra``: exact ``q``-quantile of ``value`` per group.
 
-    NULL values are ignored; a group with no other has a NULL quantile. ``extra``
-    aggregates are computed per group beside it.
+    ``value`` is an integer or floating column; NULL and NaN values are ignored and a
+    group with no other has a NULL quantile. ``extra`` aggregates are computed per group
+    beside it.
     """
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    num, kind = ("long", "bigint") if whole else ("double", "double")
+    v = F.col(value).cast(num)
+    v = v if whole else F.when(~F.isnan(v), v)
+    sketch, quantile = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
+
     key = F.struct(*groups).alias("_g")
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    found = _ranked_percentile(counts, ["_g"], value, q, alias)
-    rest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    names = [c for c in rest.columns if c not in ("_g", "_rows")]
-    return rest.join(found, "_g", "left").select(*(F.col("_g")[g].alias(g) for g in groups), alias, *names)
-
-
-def _ranked_percentile(counts: DataFrame, groups: list[str], value: str, q: float, alias: str) -> DataFrame:
-    r = ranged(counts, groups, [value])
-    per_slice = r.groupBy("_pid", *groups).agg(F.sum("_c").alias("_s"))
-    w_slices = Window.partitionBy(*groups).orderBy("_pid")  # at most one row per slice
-    offsets = per_slice.select("_pid", *groups, (F.sum("_s").over(w_slices) - F.col("_s")).alias("_off"))
-    totals = per_slice.groupBy(*groups).agg(F.sum("_s").alias("_n"))
+    base = df.groupBy(key).agg(
+        F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+        sketch(v, F.lit(KLL_K)).alias("_kll"), *extra)
+    names = [c for c in base.columns if c not in ("_g", "_n", "_min", "_max", "_kll")]
     pos = (F.col("_n") - 1).cast("double") * F.lit(q)
-    targets = totals.select(*groups, pos.alias("_pos"),
-                            F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
-    w_in = Window.partitionBy("_pid", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        r.join(offsets, ["_pid", *groups])
-        .withColumn("_cum", F.col("_off") + F.sum("_c").over(w_in))  # rows with value <= this one
-        .join(targets, groups)
-    )
+    some = F.col("_n") > 0  # an empty sketch has no quantiles
+    bounds = base.select(
+        "_g", pos.alias("_pos"), F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"), "_min", "_max",
+        F.when(some, quantile("_kll", F.lit(max(q - MARGIN, 0.0)))).alias("_from"),
+        F.when(some, quantile("_kll", F.lit(min(q + MARGIN, 1.0)))).alias("_to"))
+
+    edges = bounds.select("_g", "_min", "_from", "_to", "_max").where(F.col("_min").isNotNull())
+    values = df.select(key, v.alias("_v")).where(F.col("_v").isNotNull()).join(edges, "_g")
+    binned = values.select("_g", "_v", _stretch().alias("_bin"))
+    counts = binned.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_g").orderBy("_bin")  # at most 3 * BINS rows a group
+    held = (counts.select("_g", "_bin", (F.sum("_c").over(upto) - F.col("_c")).alias("_below"), "_c")
+            .join(bounds.select("_g", "_pos", "_lo", "_hi"), "_g"))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_c"))
+
+    wanted = held.where(holds(F.col("_lo")) | holds(F.col("_hi"))).select("_g", "_bin", "_below", "_pos", "_lo", "_hi")
+    few = binned.join(wanted, ["_g", "_bin"]).groupBy("_g", "_bin", "_below", "_pos", "_lo", "_hi", "_v").agg(
+        F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy("_g", "_bin").orderBy("_v")
+    ranked = few.withColumn("_cum", F.col("_below") + F.sum("_m").over(inside))  # values up to this one
 
     def at(rank: Column) -> Column:  # this distinct value holds 0-based ``rank``
-        return (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
-
-    v = F.col(value).cast("double")
-    picked = (
-        ranked.where(at(F.col("_lo")) | at(F.col("_hi")))  # at most two rows per group survive
-        .groupBy(*groups, "_pos", "_lo", "_hi")
-        .agg(F.max(F.when(at(F.col("_lo")), v)).alias("_lv"), F.max(F.when(at(F.col("_hi")), v)).alias("_hv"))
-    )
+        return F.when((F.col("_cum") - F.col("_m") <= rank) & (rank < F.col("_cum")), F.col("_v").cast("double"))
+
+    found = ranked.groupBy("_g", "_pos", "_lo", "_hi").agg(F.max(at(F.col("_lo"))).alias("_lv"), F.max(at(F.col("_hi"))).alias("_hv"))
     interp = F.when(F.col("_hi") == F.col("_lo"), F.col("_lv")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_lv") + (F.col("_pos") - F.col("_lo")) * F.col("_hv"))
-    return picked.select(*groups, interp.alias(alias))
+    return base.select("_g", *names).join(found.select("_g", interp.alias(alias)), "_g", "left").select(
+        *(F.col("_g")[g].alias(g) for g in groups), alias, *names)
+
+
+def _stretch() -> Column:
+    """Number of the stretch ``_v`` lies in: three zones of ``BINS`` each, in the order of the values."""
+    def zone(low: str, high: str) -> Column:
+        low, high = F.col(low).cast("double"), F.col(high).cast("double")
+        part = (F.col("_v").cast("double") - low) / F.nullif(high - low, F.lit(0.0))
+        return F.least(F.greatest(F.coalesce(F.floor(part * BINS), F.lit(0)), F.lit(0)), F.lit(BINS - 1)).cast("int")
+
+    return (F.when(F.col("_v") < F.col("_from"), zone("_min", "_from"))
+            .when(F.col("_v") <= F.col("_to"), F.lit(BINS) + zone("_from", "_to"))
+            .otherwise(F.lit(2 * BINS) + zone("_to", "_max")))

@@ -1,59 +1,175 @@
-"""A20 as a maintained table: the daily rollup, refreshed per touched day.
+"""A20 and the long-range distinct counts as stored, additive daily partials.
 
-The rollup (UTC day x event x page -> events) is stored partitioned by day.
-When new curated rows arrive, only the days they touch are recomputed, from the
-whole curated table, and swapped in with the journaled partition publish; all
-other days are left as they are. Late rows therefore correct exactly the days
-they belong to. The set of touched days is collected (one row per day).
+Long-range dashboards shouldn't read the events of a year. Two small tables hold, per
+micro-batch and UTC day, what any day range can be answered from:
+
+* ``counts``: day x event x page -> number of events;
+* ``visitors``: day -> number of events and mergeable distinct sketches (HyperLogLog) of
+  devices, persons, users, and users who signed in (A4, A5, A12).
+
+Each curated micro-batch publishes the partials of its own rows and nothing else: stored
+events are never read again, and a late row adds to its day by a partial of a later batch.
+Partials are keyed by stream and batch and published once (``streaming/sinks.py``), so a
+replayed batch changes nothing. Readers add the partials of the days asked for up: counts
+by ``sum``, sketches by union, which any order and any repetition leaves the same.
+
+Batches pile up, so :func:`merge_partials` replaces the batches of each stream by one folder
+named after the range it covers, ``cold/batch=<stream>-<first>-<last>``. A reader leaves out
+whatever a wider published range covers, so the one rename that publishes the merged folder
+is the whole switch: before it the batches count, after it the range does, and a crash at any
+point leaves one of the two. :func:`drop_covered` clears what no reader counts any more.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+import re
+import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.functions.timecols import date_of_ns
+from telemetra.operators.curate import IDENTIFY
 from telemetra.operators.product import rollup_daily
-from telemetra.plans.maintenance import NULL_PARTITION, replace_partitions
-from telemetra.schemas import struct, L, S
-
-ROLLUP_STORED = struct(("event", S), ("page", S), ("events", L), ("event_date", T.DateType()))
-ROLLUP_SORT = ("event", "page")
-
-
-def write_rollup(ue: DataFrame, path: str) -> None:
-    """Full build of the rollup table from ``ue``."""
-    keys = ["event_date", *ROLLUP_SORT]
-    rollup_daily(ue).repartitionByRange(*keys).sortWithinPartitions(*keys) \
-        .write.mode("overwrite").partitionBy("event_date").parquet(path)
-
-
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ROLLUP_STORED).parquet(path)
-
-
-def refresh_rollup(spark: SparkSession, ue: DataFrame, new_rows: DataFrame, path: str) -> int:
-    """Recompute the days that ``new_rows`` touch from the whole ``ue``; returns the number of days.
-
-    ``ue`` carries the curated layout when it has an ``event_date`` column: the
-    read is then pruned to the touched days and the next ones (the curated
-    ``event_date`` comes from the rounded microsecond time, which can cross
-    midnight), and the exact day of the ns time decides.
-    """
-    day = date_of_ns("event_time_unix_nano")
-    touched = [r["d"] for r in new_rows.select(day.alias("d")).distinct().collect()]
-    if not touched:
-        return 0
-    dates = [d for d in touched if d is not None]
-    hit = day.isin(*dates) if dates else F.lit(False)
-    if None in touched:
-        hit = hit | day.isNull()
-    src = ue
-    if "event_date" in ue.columns and None not in touched:
-        src = src.where(F.col("event_date").isin(*sorted({*dates, *[d + timedelta(days=1) for d in dates]})))
-    rels = [f"event_date={NULL_PARTITION if d is None else d}" for d in touched]
-    replace_partitions(spark, path, rollup_daily(src.where(hit)), ["event_date"], rels, ROLLUP_SORT)
-    return len(touched)
+from telemetra.plans import fs
+from telemetra.schemas import L, S, struct
+from telemetra.streaming.sinks import COLD, HOT, publish_batch
+
+LG_K = 12  # a sketch of 2^12 registers, 4 KB; relative standard error 1.04 / 64 = 1.6 %
+
+_DAY = ("event_date", T.DateType())
+SKETCHES = ("devices", "persons", "users", "signed_in")
+STORED = {
+    "counts": struct(("event", S), ("page", S), ("events", L), _DAY),
+    "visitors": struct(("events", L), *((c, T.BinaryType()) for c in SKETCHES), _DAY),
+}
+_NAME = re.compile(r"batch=(?P<stream>.+?)-(?P<first>\d{20})(?:-(?P<last>\d{20}))?")
+
+
+def daily_visitors(ue: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """Per UTC day: events and the distinct sketches; a person is anyone with an id, a user is known by name."""
+    def sketch(c):
+        return F.hll_sketch_agg(c, F.lit(lg_k))
+
+    return ue.groupBy(date_of_ns("event_time_unix_nano").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("events"), sketch("anonymous_id").alias("devices"), sketch("person_id").alias("persons"),
+        sketch("user_id").alias("users"), sketch(F.when(F.col("event") == IDENTIFY, F.col("user_id"))).alias("signed_in"))
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.repartitionByRange("event_date").write.mode("overwrite").partitionBy("event_date").parquet(path)
+
+
+def publish_partials(ue: DataFrame, root: str, batch_id: int = 0, stream: str = "backfill") -> bool:
+    """Publishes the partials of the curated rows ``ue`` as one batch; False if both were published before."""
+    new = publish_batch(rollup_daily(ue), f"{root}/counts", batch_id, _write, stream)
+    return publish_batch(daily_visitors(ue), f"{root}/visitors", batch_id, _write, stream) or new
+
+
+def _ranges(spark: SparkSession, table: str) -> dict[str, tuple[str, int, int]]:
+    """Published folders of one partial table: path -> stream, first and last batch."""
+    found = {}
+    for part in (HOT, COLD):
+        for name, is_dir, _ in fs.list_dir(spark, f"{table}/{part}"):
+            m = _NAME.fullmatch(name)
+            if m and is_dir:
+                found[f"{table}/{part}/{name}"] = (m["stream"], int(m["first"]), int(m["last"] or m["first"]))
+    return found
+
+
+def _counted(found: dict) -> list[str]:
+    """The folders a reader adds up: those no wider range of their stream covers (of equal ones, the merged)."""
+    def covers(a: str, b: str) -> bool:
+        (s, i, j), (r, k, m) = found[a], found[b]
+        return s == r and i <= k and m <= j and (j - i > m - k or (f"/{COLD}/" in a) > (f"/{COLD}/" in b))
+
+    # the widest ranges of a stream are few: merging takes all of its batches
+    merged = [p for p in found if f"/{COLD}/" in p]
+    return sorted(p for p in found if not any(covers(c, p) for c in merged))
+
+
+def _read(spark: SparkSession, table: str, kind: str, paths: list[str]) -> DataFrame:
+    """The partials in the folders ``paths`` of one table; ``event_date`` stays a partition column."""
+    schema, out = STORED[kind], spark.createDataFrame([], STORED[kind])
+    for part in (HOT, COLD):
+        some = [p for p in paths if p.startswith(f"{table}/{part}/")]
+        if some:
+            rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", S)])).option(
+                "basePath", f"{table}/{part}").parquet(*some)
+            out = out.unionByName(rows.select(*schema.fieldNames()))
+    return out
+
+
+def _partials(spark: SparkSession, root: str, kind: str, first: date | None, last: date | None) -> DataFrame:
+    table = f"{root}/{kind}"
+    rows = _read(spark, table, kind, _counted(_ranges(spark, table)))
+    if first:
+        rows = rows.where(F.col("event_date") >= F.lit(first))
+    return rows.where(F.col("event_date") <= F.lit(last)) if last else rows
+
+
+def read_rollup(spark: SparkSession, root: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """``event_date, event, page, events`` of the days asked for (both ends included; none: all days)."""
+    return _partials(spark, root, "counts", first, last).groupBy("event_date", "event", "page").agg(
+        F.sum("events").alias("events"))
+
+
+def read_visitors(spark: SparkSession, root: str, first: date | None = None, last: date | None = None,
+                  by_day: bool = False) -> DataFrame:
+    """Events (exact) and the estimated distinct devices, persons, users and signed-in users of a day
+    range, as one row, or per day with ``by_day``."""
+    rows = _partials(spark, root, "visitors", first, last)
+    return (rows.groupBy("event_date") if by_day else rows).agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+        *(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in SKETCHES))
+
+
+def _runs(found: dict, paths: list[str]) -> list[list[str]]:
+    """Folders of one stream each, whose batches follow each other without a gap."""
+    out: list[list[str]] = []
+    for p in sorted(paths, key=found.get):
+        stream, first, _ = found[p]
+        if out and found[out[-1][-1]][0] == stream and found[out[-1][-1]][2] + 1 == first:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def merge_partials(spark: SparkSession, root: str) -> int:
+    """Merges each stream's partials into one folder per table (a batch not published yet ends a run of
+    folders, so that it is never covered); returns how many folders were merged."""
+    merged = 0
+    for kind in STORED:
+        table = f"{root}/{kind}"
+        found = _ranges(spark, table)
+        for run in _runs(found, _counted(found)):
+            if len(run) < 2:
+                continue
+            rows = _read(spark, table, kind, run)
+            if kind == "counts":
+                rows = rows.groupBy("event_date", "event", "page").agg(F.sum("events").alias("events"))
+            else:
+                rows = rows.groupBy("event_date").agg(
+                    F.sum("events").alias("events"), *(F.hll_union_agg(c).alias(c) for c in SKETCHES))
+            staging = f"{table}/_staging/merge-{uuid.uuid4().hex}"
+            _write(rows, staging)
+            stream, first, last = found[run[0]][0], found[run[0]][1], found[run[-1]][2]
+            final = f"{table}/{COLD}/batch={stream}-{first:020d}-{last:020d}"
+            if not fs.rename(spark, staging, final):
+                raise OSError(f"{final} could not be published")
+            merged += len(run)
+    return merged
+
+
+def drop_covered(spark: SparkSession, root: str) -> int:
+    """Deletes the folders that a published merge replaced; run it once no reader listed them any more."""
+    gone = 0
+    for kind in STORED:
+        found = _ranges(spark, f"{root}/{kind}")
+        for path in found.keys() - _counted(found):
+            fs.delete(spark, path)
+            gone += 1
+    return gone

@@ -80,10 +80,9 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
                    max_files_per_trigger: int | None = None, rollup_path: str | None = None) -> StreamingQuery:
     """Curate every raw file published since the last run (first run = backfill).
 
-    With ``rollup_path`` the stored daily rollup (A20) is kept current: after a
-    micro-batch is published, the days it touched are recomputed from the
-    curated table (:func:`telemetra.plans.rollup.refresh_rollup`); a replayed
-    batch refreshes the same days again, which is idempotent.
+    With ``rollup_path`` the stored daily rollup and distinct sketches (A20) are kept
+    current: each micro-batch publishes the partials of its own rows beside it
+    (:func:`telemetra.plans.rollup.publish_partials`), once, also when it is replayed.
     """
     schema = _with(raw_schema(settings.promote_resource_attrs), ("batch", T.StringType()))
     reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
@@ -94,11 +93,11 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
     ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "curate")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(batch, ue_root, batch_id, lambda d, p: write_curated_batch(d, p, settings), stream_id(spark, ckpt))
+        stream = stream_id(spark, ckpt)
+        publish_batch(batch, ue_root, batch_id, lambda d, p: write_curated_batch(d, p, settings), stream)
         if rollup_path is not None:
-            from telemetra.plans.rollup import refresh_rollup
-            new_rows = batch.select(F.col("time_unix_nano").alias("event_time_unix_nano"))
-            refresh_rollup(batch.sparkSession, curated_view(batch.sparkSession, ue_root), new_rows, rollup_path)
+            from telemetra.plans.rollup import publish_partials
+            publish_partials(curate(batch, settings.subject_attr), rollup_path, batch_id, stream)
 
     return (
         raw.writeStream.foreachBatch(sink)

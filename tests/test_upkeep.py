@@ -170,33 +170,6 @@ def test_interrupted_batch_compaction_rolls_forward(spark, tmp_root, monkeypatch
     assert not fsmod.list_dir(spark, f"{root}/hot") or not [n for n, d, _ in fsmod.list_dir(spark, f"{root}/hot") if d]
 
 
-def test_rollup_refresh_rewrites_only_touched_days(spark, tmp_root):
-    import os
-
-    from telemetra.functions.timecols import date_of_ns
-    from telemetra.operators.curate import curate
-    from telemetra.operators.product import rollup_daily
-    from telemetra.plans import rollup
-
-    ue = curate(logs_from_events(events(spark)))
-    path = f"{tmp_root}/rollup"
-    day = F.dayofmonth("event_time")
-    late = (day >= 28) | ((day == 3) & (F.hour("event_time") >= 12))  # new days, and part of an existing one
-    rollup.write_rollup(ue.where(~late), path)
-
-    def folders():
-        return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("event_date=")}
-
-    before = folders()
-    touched = {f"event_date={r[0]}" for r in ue.where(late).select(date_of_ns("event_time_unix_nano")).distinct().collect()}
-    assert rollup.refresh_rollup(spark, ue, ue.where(late), path) == len(touched)
-    after = folders()
-    assert touched - set(before) and touched & set(before)  # both new and replaced days
-    assert all(after[d] == files for d, files in before.items() if d not in touched)
-    cols = ["event_date", "event", "page", "events"]
-    assert sorted(rollup.read_rollup(spark, path).select(*cols).collect()) == sorted(rollup_daily(ue).select(*cols).collect())
-
-
 def test_expire_trims_commits_so_old_reads_predate_history(spark, tmp_root):
     from telemetra.operators import history as H
     from telemetra.sources.fixtures import commits_from_versions

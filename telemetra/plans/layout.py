@@ -37,6 +37,7 @@ from telemetra.schemas import LOGS, METRICS, TRACES, USER_EVENTS
 from telemetra.settings import DEFAULT
 
 MAX_RECORDS_PER_FILE = 5_000_000
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # folder of the rows whose partition value is NULL
 
 RAW_LOGS_PARTITION = "event_date"
 RAW_LOGS_SORT = ("body", "time_unix_nano")
@@ -104,25 +105,24 @@ def write_curated(ue: DataFrame, path: str, buckets: int = DEFAULT.buckets, mode
                   day_level: bool = True) -> None:
     """``subject / event_date / person_bucket``, sorted by person and time.
 
-    ``day_level=False`` drops the day directory level (low volume: the three
-    levels multiply into tiny files); ``event_date`` then stays a column inside
-    the files, so the same read schema and predicates work and row-group
-    statistics still prune by day.
+    ``day_level=False`` drops the day directory level: worth it when a (subject, day,
+    bucket) directory would hold less than about 64 MB, as the three levels then multiply
+    into tiny files. ``event_date`` then stays a column inside the files, so the same
+    read schema and predicates work and row-group statistics still prune by day.
     """
     partition = CURATED_PARTITION if day_level else tuple(c for c in CURATED_PARTITION if c != "event_date")
     _write_sorted(curated_layout(ue, buckets), path, partition, CURATED_SORT, mode)
 
 
-# Partitions smaller than this are not worth a directory level.
-MIN_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def want_day_level(raw_bytes: int, days: int, buckets: int, subjects: int = 5) -> bool:
-    """Day level only when a (subject, day, bucket) directory would hold >= 64 MB."""
-    return raw_bytes >= MIN_PARTITION_BYTES * max(days, 1) * buckets * subjects
+# --- readers -----------------------------------------------------------------------
 
+def partition_days(spark: SparkSession, *patterns: str) -> list[date | None]:
+    """Days of the ``event_date=`` folders that match the glob patterns, newest first; the folder of
+    rows without a day last. One listing per pattern, nothing is read."""
+    names = {p.rstrip("/").rsplit("event_date=", 1)[1] for g in patterns for p in fs.glob(spark, f"{g.rstrip('/')}/event_date=*")}
+    days = sorted((date.fromisoformat(n) for n in names if n != NO_DAY), reverse=True)
+    return days + [None] * (NO_DAY in names)
 
-# --- readers -----------------------------------------------------------------------
 
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_LOGS_STORED).parquet(path)

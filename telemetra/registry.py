@@ -9,14 +9,14 @@ Column names are aliased identically on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra import oracle as O
 from telemetra.functions.keys import hash_key, hash_key_py, normalize_key
-from telemetra.functions.timecols import ns_of, ns_to_timestamp
+from telemetra.functions.timecols import date_of_ns, ns_of, ns_to_timestamp
 from telemetra.operators import curate as C
 from telemetra.operators import history as H
 from telemetra.operators import identity as J
@@ -31,7 +31,8 @@ from telemetra.tables import Tables
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
-JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "retention_sweep",
+JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "rollup_range",
+        "visitors_range", "retention_sweep",
         "retention_sweep_signals", "retention_sweep_versioned", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
@@ -46,6 +47,8 @@ CHANGES = (2, 7)
 RETENTION_DAYS = 7
 FUNNEL = ("page_view", "add_to_cart", "purchase")
 FUNNEL_DAYS = 7
+RANGE = (date(2024, 1, 5), date(2024, 1, 24))  # day range of the long-range reports
+RANGE_ERROR = 0.05           # three standard errors of the stored sketches
 LATE_BEFORE = datetime(2024, 1, 16)  # curate_incremental: rows before this arrive after the newer ones
 
 
@@ -84,6 +87,19 @@ def _(t: Tables):
     return t.ue_columns
 
 
+_LAID_OUT = W_("ue") + f"SELECT {UE_COLS}, CAST(event_time AS DATE) AS event_date FROM ue"
+
+
+@register("write_curated", _LAID_OUT)
+def _(t: Tables):
+    return t.ue.select(*USER_EVENT_COLUMNS, "event_date")
+
+
+@register("write_curated_by_day", _LAID_OUT)
+def _(t: Tables):
+    return t.by_day.ue.select(*USER_EVENT_COLUMNS, "event_date")
+
+
 @register("hash_key", "SELECT user_id, substr(sha256(concat('salt', 'user', CAST(user_id AS VARCHAR))), 1, 32) AS person_key "
           "FROM (SELECT DISTINCT user_id FROM events) u")
 def _(t: Tables):
@@ -109,7 +125,7 @@ def _(t: Tables):
 
 @register("sample", W_("logs") + "SELECT body, severity_text, log_attributes FROM logs ORDER BY time_unix_nano, body, log_attributes LIMIT 1")
 def _(t: Tables):
-    return R.sample(t.logs)
+    return R.sample(t.logs, t.days("logs"))
 
 
 @register("trace_journey", W_("traces") +
@@ -126,11 +142,27 @@ def _(t: Tables):
     return R.person_window(t.ue, PERSON, PERSON_DAYS)
 
 
+# the logs carry no consent attribute: here every fifth event denies it, every third grants it, in mixed spelling
 @register("consent_filter", W_("logs") +
-          "SELECT event_id, body FROM logs WHERE json_extract_string(log_attributes, '$.\"consent\"') IS NULL "
-          "OR lower(trim(json_extract_string(log_attributes, '$.\"consent\"'))) IN ('granted', 'true', 'yes', '1')")
+          ", asked AS (SELECT event_id, body, CASE WHEN event_id % 5 = 0 THEN 'Denied' WHEN event_id % 3 = 0 THEN ' Granted ' "
+          "WHEN event_id % 7 = 0 THEN '' END AS consent FROM logs) "
+          "SELECT event_id, body FROM asked WHERE consent IS NULL OR lower(trim(consent)) IN ('granted', 'true', 'yes', '1')")
+def _(t: Tables):
+    eid = F.col("event_id")
+    consent = (F.when(eid % 5 == 0, "Denied").when(eid % 3 == 0, " Granted ").when(eid % 7 == 0, ""))
+    added = F.concat(F.expr("substring(log_attributes, 1, length(log_attributes) - 1)"), F.lit(',"consent":"'), consent, F.lit('"}'))
+    return R.consent_filter(t.logs.withColumn("log_attributes", F.coalesce(added, "log_attributes"))).select("event_id", "body")
+
+
+_LOG_TYPES = (("event_id", "bigint"), ("time_unix_nano", "bigint"), ("body", "string"), ("severity_text", "string"),
+              ("service_name", "string"), ("log_attributes", "string"))
+
+
+@register("table_schema", W_("logs") + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS place, '{c}' AS name, '{k}' AS type, count({c}) AS filled FROM logs"
+    for i, (c, k) in enumerate(_LOG_TYPES, 1)))
 def _(t: Tables):
-    return R.consent_filter(t.logs).select("event_id", "body")
+    return R.table_schema(t.logs.drop("event_date"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -282,18 +314,54 @@ def _(t: Tables):
 _ROLLUP_SQL = W_("ue") + f"SELECT {_DAY} AS event_date, event, page, count(*) AS events FROM ue GROUP BY 1, 2, 3"
 
 
+def _land_partials(t: Tables, job: str) -> str:
+    """The partials of three arrivals: the newer half of the month, the older mornings, the older afternoons.
+
+    The second arrival is replayed and the first two are merged before the third."""
+    from telemetra.plans import rollup
+    root = f"{_run_dir(t, job)}/rollup"
+    newer, morning = F.col("event_time_unix_nano") >= F.lit(ns_of(LATE_BEFORE)), F.hour("event_time") < 12
+    parts = [newer, ~newer & morning, ~newer & ~morning]
+    for batch in (0, 1, 1):
+        rollup.publish_partials(t.ue.where(parts[batch]), root, batch)
+    rollup.merge_partials(t.spark, root)
+    rollup.publish_partials(t.ue.where(parts[2]), root, 2)
+    return root
+
+
 @register("rollup_incremental", _ROLLUP_SQL)
 def _(t: Tables):
     from telemetra.plans import rollup
-    run = _run_dir(t, "rollup_incremental")
-    path = f"{run}/rollup"
-    ue = t.ue
-    # first build: the newer half of the month plus the mornings of the older half;
-    # the older afternoons arrive late and touch only the older days
-    first = (F.col("event_time_unix_nano") >= F.lit(ns_of(LATE_BEFORE))) | (F.hour("event_time") < 12)
-    rollup.write_rollup(ue.where(first), path)
-    rollup.refresh_rollup(t.spark, ue, ue.where(~first), path)
-    return rollup.read_rollup(t.spark, path).select("event_date", "event", "page", "events")
+    return rollup.read_rollup(t.spark, _land_partials(t, "rollup_incremental"))
+
+
+@register("rollup_range", W_("ue") + f"SELECT event, CAST(count(*) AS BIGINT) AS events FROM ue "
+          f"WHERE {_DAY} BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY event")
+def _(t: Tables):
+    from telemetra.plans import rollup
+    return rollup.read_rollup(t.spark, _land_partials(t, "rollup_range"), *RANGE).groupBy("event").agg(
+        F.sum("events").alias("events"))
+
+
+# stored sketches of a day range beside the exact counts; near: off by at most RANGE_ERROR
+@register("visitors_range", W_("ue") +
+          f", r AS (SELECT * FROM ue WHERE {_DAY} BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}') "
+          "SELECT 'events' AS measure, count(*) AS exact, true AS near FROM r UNION ALL "
+          "SELECT 'devices', count(DISTINCT anonymous_id), true FROM r UNION ALL "
+          "SELECT 'persons', count(DISTINCT person_id), true FROM r UNION ALL "
+          "SELECT 'users', count(DISTINCT user_id), true FROM r UNION ALL "
+          "SELECT 'signed_in', count(DISTINCT user_id) FILTER (WHERE event = 'identify'), true FROM r")
+def _(t: Tables):
+    from telemetra.plans import rollup
+    got = rollup.read_visitors(t.spark, _land_partials(t, "visitors_range"), *RANGE)
+    inside = t.ue.where(date_of_ns("event_time_unix_nano").between(*map(F.lit, RANGE)))
+    exact = inside.agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("anonymous_id").alias("devices"),
+        F.count_distinct("person_id").alias("persons"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct(F.when(F.col("event") == C.IDENTIFY, F.col("user_id"))).alias("signed_in"))
+    long = [d.unpivot([], list(exact.columns), "measure", v) for d, v in ((got, "estimate"), (exact, "exact"))]
+    return long[0].join(long[1], "measure").select(
+        "measure", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= RANGE_ERROR * F.col("exact")).alias("near"))
 
 
 # ---------------------------------------------------------------- top-k (K1-K5)
@@ -306,21 +374,21 @@ _NEWEST = "time_unix_nano DESC, service_name, body, log_attributes"
           "SELECT time_unix_nano, service_name, log_attributes ->> '$.\"exception.type\"' AS exception_type, "
           "log_attributes ->> '$.\"exception.message\"' AS exception_message FROM newest WHERE place <= 10")
 def _(t: Tables):
-    return R.recent_errors(t.logs)
+    return R.recent_errors(t.logs, days=t.days("logs"))
 
 
 @register("recent_events", W_("logs") +
           f", newest AS (SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS place FROM logs) "
           f"SELECT time_unix_nano, body, severity_text, {_ANON} AS anonymous_id, {_PAGE} AS page FROM newest WHERE place <= 5")
 def _(t: Tables):
-    return R.recent_events(t.logs)
+    return R.recent_events(t.logs, days=t.days("logs"))
 
 
 @register("recent_spans", W_("traces") +
           "SELECT start_time_unix_nano, name, service_name, duration_time_unix_nano FROM traces "
           "ORDER BY start_time_unix_nano DESC, span_id DESC LIMIT 5")
 def _(t: Tables):
-    return R.recent_spans(t.traces)
+    return R.recent_spans(t.traces, days=t.days("traces"))
 
 
 @register("user_timeline", W_("ue") +
@@ -336,7 +404,8 @@ def _(t: Tables):
           f"SELECT event_time, event, person_id, page FROM ue WHERE subject = '{SUBJECT}' "
           f"ORDER BY event_time_unix_nano DESC, person_id ASC NULLS LAST, event, attributes LIMIT {DEFAULT.subject_recent_cap}")
 def _(t: Tables):
-    return R.subject_recent(t.ue, SUBJECT)
+    day = t.by_day
+    return R.subject_recent(day.ue, SUBJECT, partition_days=day.days("user_events", f"subject={SUBJECT}"))
 
 
 # ---------------------------------------------------------------- identity
@@ -642,13 +711,10 @@ def _(t: Tables):
     from telemetra.plans.maintenance import retention_sweep
     run = _run_dir(t, "retention_sweep")
     layout.write_raw_logs(t.logs.drop("event_date"), f"{run}/logs")
-    from telemetra.plans import fs
-    day_level = layout.want_day_level(fs.total_bytes(t.spark, f"{run}/logs"), 30, t.settings.buckets)
-    layout.write_curated(t.ue_columns, f"{run}/user_events", t.settings.buckets, day_level=day_level)
-    ue_parts = list(layout.CURATED_PARTITION) if day_level else ["subject", "person_bucket"]
+    layout.write_curated(t.ue_columns, f"{run}/user_events", t.settings.buckets, day_level=False)
     tables = {
         "logs": (f"{run}/logs", layout.RAW_LOGS_STORED, ["event_date"], list(layout.RAW_LOGS_SORT)),
-        "user_events": (f"{run}/user_events", layout.CURATED_STORED, ue_parts, list(layout.CURATED_SORT)),
+        "user_events": (f"{run}/user_events", layout.CURATED_STORED, ["subject", "person_bucket"], list(layout.CURATED_SORT)),
     }
     plan = M.retention_plan(RETENTION_DAYS, DEFAULT.as_of, (("logs", "time_unix_nano"), ("user_events", "event_time_unix_nano")))
     deleted = retention_sweep(t.spark, tables, plan)

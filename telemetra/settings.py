@@ -21,6 +21,8 @@ class Settings:
     promote_resource_attrs: tuple[str, ...] = ("deployment.environment",)
     # curated layout: number of person_id hash buckets
     buckets: int = 16
+    # curated layout: a directory level per day (see layout.write_curated for when)
+    day_level: bool = False
     # reference clock for "last N days" windows (the reference uses now())
     as_of: datetime = field(default_factory=lambda: datetime(2024, 1, 31))
     # rows per top-N lists

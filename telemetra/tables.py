@@ -11,6 +11,7 @@ With ``land=False`` they are lazy projections of ``events`` instead.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ EVENTS = struct(
 
 
 class Tables:
-    LAYOUT_VERSION = "2"
+    LAYOUT_VERSION = "3"
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, land: bool = True):
         self.spark = spark
@@ -37,8 +38,17 @@ class Tables:
         self.land = land
 
     def _key(self, name: str) -> str:
-        src = f"{self.sf_dir}/events.parquet"
-        return "|".join([src, fs.stat_key(self.spark, src), repr(self.settings), name, self.LAYOUT_VERSION])
+        src, s = f"{self.sf_dir}/events.parquet", self.settings
+        shape = [s.buckets, s.day_level] if name == "user_events" else []
+        return "|".join([src, fs.stat_key(self.spark, src), repr([s.salt, s.subject_attr, *shape]), name, self.LAYOUT_VERSION])
+
+    def path(self, name: str) -> str:
+        """Where a landed table is stored."""
+        return layout.landed_path(self.spark, self._key(name), name)
+
+    def days(self, name: str, *below: str) -> list | None:
+        """Partition days of a landed table, newest first (``below``: folders above the day level)."""
+        return layout.partition_days(self.spark, "/".join([self.path(name), *below])) if self.land else None
 
     def read(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
@@ -111,18 +121,19 @@ class Tables:
     def ue(self) -> DataFrame:
         if not self.land:
             return curate(self.logs, self.settings.subject_attr)
-        buckets = self.settings.buckets
-        logs = self.logs  # lands the raw table first; its size picks the layout
+        logs, st = self.logs, self.settings
 
         def write(df: DataFrame, path: str) -> None:
-            raw_bytes = fs.total_bytes(self.spark, layout.landed_path(self.spark, self._key("logs"), "logs"))
-            days = len([n for n, is_dir, _ in fs.list_dir(self.spark, layout.landed_path(self.spark, self._key("logs"), "logs"))
-                        if is_dir and n.startswith("event_date=")])
-            layout.write_curated(df, path, buckets, day_level=layout.want_day_level(raw_bytes, days, buckets))
+            layout.write_curated(df, path, st.buckets, day_level=st.day_level)
 
         return layout.materialized(
             self.spark, self._key("user_events"), "user_events",
-            lambda: curate(logs, self.settings.subject_attr), write, layout.read_curated)
+            lambda: curate(logs, st.subject_attr), write, layout.read_curated)
+
+    @cached_property
+    def by_day(self) -> Tables:
+        """The same tables with a day level in the curated layout, and fewer buckets below it."""
+        return Tables(self.spark, self.sf_dir, replace(self.settings, day_level=True, buckets=4), self.land)
 
     @property
     def ue_columns(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,23 @@ def hash_key_py(raw: str, salt: str) -> str:
     return hashlib.sha256((salt + raw).encode()).hexdigest()[:32]
 
 
+def normalize_key_py(raw: str, kind: str = "auto") -> str:
+    """Driver-side form of :func:`normalize_key`, for one key."""
+    c = raw.strip(" ")
+    if kind == "email" or (kind == "auto" and "@" in c):
+        return c.lower()
+    if kind == "phone" or (kind == "auto" and re.fullmatch(r"[+0-9 ().-]+", c) and re.search("[0-9]", c)):
+        return "+" + re.sub("[^0-9]", "", re.sub("^00", "", c))
+    if kind != "auto":
+        raise ValueError(f"unknown key kind {kind!r}")
+    return c
+
+
+def person_of_key(raw: str, salt: str, kind: str = "auto") -> str:
+    """The stored person id of a raw user key: normalised, salted and hashed as at ingest."""
+    return hash_key_py(normalize_key_py(raw, kind), salt)
+
+
 def normalize_key(raw: str | Column, kind: str = "auto") -> Column:
     """Canonical form of a raw key before hashing.
 

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.plans.layout import bucket_of
@@ -145,3 +145,45 @@ def client_backend_journey(logs: DataFrame, traces: DataFrame, device: str | Non
     if device is not None:
         out = out.where(F.col("anonymous_id") == device)
     return out
+
+
+def with_person(rows: DataFrame, owner: DataFrame, known: Column | None = None) -> DataFrame:
+    """``rows`` plus ``person_id``: the ``known`` person, else the owner of the row's ``anonymous_id``, else
+    that device itself. Rows without a device bypass the join with ``owner`` (one row per device)."""
+    known = F.lit(None).cast("string") if known is None else known
+    held = rows.where(F.col("anonymous_id").isNotNull())
+    owned = held.join(owner, held["anonymous_id"] == owner["_anon"], "left").withColumn(
+        "person_id", F.coalesce(known, F.col("_owner"), F.col("anonymous_id"))).drop("_anon", "_owner")
+    return owned.unionByName(rows.where(F.col("anonymous_id").isNull()).withColumn("person_id", known))
+
+
+def person_journey(logs: DataFrame, traces: DataFrame, person_id: str | None = None) -> DataFrame:
+    """Client events and backend spans of persons in one timeline, joined by two links.
+
+    A trace belongs to the person of the earliest client event that names it (``logs.trace_id``, ties:
+    smallest person). A span whose trace no client event names falls back to the device it carries.
+    Devices are resolved to their owner on both sides (:func:`device_owner`: a later sign-in counts for
+    earlier events). One row per event and span; ``person_id`` is NULL where neither link leads to
+    anyone. With ``person_id`` only that person's rows, in time order.
+    """
+    a = parse_attrs("log_attributes", [ANONYMOUS_ID, USER_ID])
+    events = logs.select(
+        a[ANONYMOUS_ID].alias("anonymous_id"), a[USER_ID].alias("user_id"), "time_unix_nano", F.lit("client").alias("source"),
+        F.col("body").alias("name"), "service_name", "trace_id", "span_id", F.col("severity_text").alias("status"))
+    owner = device_owner(events.select("anonymous_id", "user_id", F.col("name").alias("event"),
+                                       F.col("time_unix_nano").alias("event_time_unix_nano")))
+    client = with_person(events, owner, F.col("user_id")).drop("user_id")
+    named = client.where(F.col("trace_id").isNotNull() & F.col("person_id").isNotNull())
+    link = named.groupBy(F.col("trace_id").alias("_trace")).agg(
+        F.min_by("person_id", F.struct("time_unix_nano", "person_id")).alias("_person"))
+    spans = traces.select(
+        parse_attrs("span_attributes", [ANONYMOUS_ID])[ANONYMOUS_ID].alias("anonymous_id"),
+        F.col("start_time_unix_nano").alias("time_unix_nano"), F.lit("backend").alias("source"), "name", "service_name",
+        "trace_id", "span_id", F.when(F.col("status_code") == 2, F.lit("ERROR")).otherwise(F.lit("OK")).alias("status"))
+    linked = spans.join(link, spans["trace_id"] == link["_trace"], "left").drop("_trace")
+    backend = with_person(linked, owner, F.col("_person")).drop("_person")
+    out = client.unionByName(backend)
+    if person_id is None:
+        return out
+    return out.where(F.col("person_id") == person_id).orderBy(
+        F.asc_nulls_last("time_unix_nano"), "source", F.asc_nulls_last("span_id"), "name")

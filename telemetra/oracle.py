@@ -103,6 +103,11 @@ FROM (SELECT *, {_T} AS t, CAST(round(value * 1e6) AS BIGINT) AS d
 _POINT = f"""{_T} AS time_unix_nano, {{name}} AS name, '{{unit}}' AS unit, value AS double_value,
   {_SVC} AS service_name, '{{{{"page":"/p' || CAST(event_id % 5 AS VARCHAR) || '"}}}}' AS metric_attributes"""
 
+CTES["logs_t"] = """
+SELECT *, CASE WHEN named THEN 't' || CAST(event_id // 4 AS VARCHAR) END AS trace_id,
+  CASE WHEN named THEN 's' || CAST(event_id AS VARCHAR) END AS span_id
+FROM (SELECT *, body IN ('page_view', 'exception', 'ai_request', 'add_to_cart') AND event_id % 2 = 0 AS named FROM logs)"""
+
 CTES["gauge"] = "SELECT " + _POINT.format(
     name="CASE WHEN event_type = 'view' THEN 'web_vitals_lcp_ms' ELSE 'web_vitals_inp_ms' END", unit="ms"
 ) + " FROM events WHERE event_type IN ('view', 'click')"
@@ -123,7 +128,7 @@ FROM (SELECT DISTINCT s AS snapshot_id FROM (
   SELECT begin_snapshot AS s FROM versions UNION ALL SELECT end_snapshot FROM versions) WHERE s IS NOT NULL) c"""
 
 DEPS = {
-    "logs": [], "ue": ["logs"], "traces": [], "gauge": [], "sums": [], "versions": [],
+    "logs": [], "logs_t": ["logs"], "ue": ["logs"], "traces": [], "gauge": [], "sums": [], "versions": [],
     "logs_v": ["logs", "versions"], "commits": ["versions"],
 }
 

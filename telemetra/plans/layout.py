@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.functions.timecols import date_of_ns
+from telemetra.functions.timecols import date_of_ns, ns_of, ntz_literal
 from telemetra.plans import fs
 from telemetra.plans.storage import job_path
 from telemetra.schemas import LOGS, METRICS, TRACES, USER_EVENTS
@@ -67,13 +67,26 @@ COMMITS_STORED = T.StructType([T.StructField("snapshot_id", T.LongType(), True),
 
 # --- writers ---------------------------------------------------------------------
 
-def _write_sorted(df: DataFrame, path: str, partition: tuple[str, ...], sort: tuple[str, ...], mode: str) -> None:
+def bloom_options(*columns: str) -> dict[str, str]:
+    """Parquet write options for Bloom filters on columns that are looked up by single values.
+
+    The columns aren't sorted by, so row-group minima and maxima cover every value; a filter
+    (sized to the row group's distinct values, 1 MB at most) lets a reader skip the row
+    groups without the value. Chunks whose values fit a dictionary are skipped by that instead.
+    """
+    options = {"parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
+    return options | {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
+def _write_sorted(df: DataFrame, path: str, partition: tuple[str, ...], sort: tuple[str, ...], mode: str,
+                  looked_up: tuple[str, ...] = ()) -> None:
     keys = [*partition, *sort]
     (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode(mode)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        .options(**bloom_options(*looked_up))
         .partitionBy(*partition)
         .parquet(path)
     )
@@ -87,7 +100,7 @@ def write_raw_logs(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_traces(traces: DataFrame, path: str, mode: str = "overwrite") -> None:
     out = traces.withColumn("event_date", date_of_ns("start_time_unix_nano"))
-    _write_sorted(out, path, ("event_date",), TRACES_SORT, mode)
+    _write_sorted(out, path, ("event_date",), TRACES_SORT, mode, looked_up=("trace_id",))
 
 
 def write_metrics(points: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -163,39 +176,23 @@ def person_filter(df: DataFrame, person_id: str, buckets: int = DEFAULT.buckets)
 
 def since_filter(df: DataFrame, lower: datetime, time_col: str = "event_time") -> Column:
     """``time > lower`` plus ``event_date >= date(lower)`` when partitioned by day."""
-    from telemetra.functions.timecols import ntz_literal
-
     cond = F.col(time_col) > ntz_literal(lower)
     if "event_date" in df.columns:
         cond = cond & (F.col("event_date") >= F.lit(lower.date()))
     return cond
 
 
-def ns_since_filter(df: DataFrame, lower_ns: int, time_col: str) -> Column:
-    cond = F.col(time_col) > F.lit(lower_ns)
-    if "event_date" in df.columns:
-        cond = cond & (F.col("event_date") >= F.lit(date.fromordinal(date(1970, 1, 1).toordinal() + lower_ns // 86_400_000_000_000)))
+def ns_between(df: DataFrame, lower: datetime | None, upper: datetime | None, time_col: str) -> Column:
+    """``lower <= time <= upper`` on an epoch-ns column (None: open), plus the days when partitioned by them."""
+    cond = F.lit(True)
+    for at, inside in ((lower, lambda c, v: c >= F.lit(v)), (upper, lambda c, v: c <= F.lit(v))):
+        if at is not None:
+            cond = cond & inside(F.col(time_col), ns_of(at))
+            if "event_date" in df.columns:
+                cond = cond & inside(F.col("event_date"), at.date())
     return cond
 
 
-def person_scan(spark: SparkSession, path: str, person_id: str, since: datetime | None = None,
-                buckets: int = DEFAULT.buckets) -> DataFrame:
-    """One person's curated rows, pruned to one bucket (and the day range)."""
-    df = read_curated(spark, path)
-    df = df.where(person_filter(df, person_id, buckets))
-    if since is not None:
-        df = df.where(since_filter(df, since))
-    return df
-
-
-def time_scan(spark: SparkSession, path: str, since: datetime, subject: str | None = None) -> DataFrame:
-    df = read_curated(spark, path)
-    df = df.where(since_filter(df, since))
-    if subject is not None:
-        df = df.where(F.col("subject") == subject)
-    return df
-
-
 # --- derived tables, landed once -------------------------------------------------------
 
 def landed_path(spark: SparkSession, key: str, name: str) -> str:

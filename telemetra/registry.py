@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra import oracle as O
-from telemetra.functions.keys import hash_key, hash_key_py, normalize_key
+from telemetra.functions.keys import hash_key, hash_key_py, normalize_key, person_of_key
 from telemetra.functions.timecols import date_of_ns, ns_of, ns_to_timestamp
 from telemetra.operators import curate as C
 from telemetra.operators import history as H
@@ -26,20 +26,23 @@ from telemetra.operators import upkeep as M
 from telemetra.schemas import USER_EVENT_COLUMNS
 from telemetra.settings import DEFAULT
 from telemetra.sources import otlp
+from telemetra.sources.fixtures import with_trace_context
 from telemetra.tables import Tables
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
-JOBS = ("ingest_stream", "curate_incremental", "rebuild_curated", "rollup_incremental", "rollup_range",
+JOBS = ("ingest_stream", "ingest_rejected", "backfill_incremental", "curate_incremental", "rebuild_curated", "rollup_incremental", "rollup_range",
         "visitors_range", "retention_sweep",
         "retention_sweep_signals", "retention_sweep_versioned", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
 TRACE = "t7"
+TRACE_TIMES = (datetime(2024, 1, 1), datetime(2024, 1, 20, 12))
 SUBJECT = "errors"
 BACKFILLED = hash_key_py("user3", DEFAULT.salt)  # a person known on some devices only after a sign-in
+RAW_KEY = " User3 "          # the key a user types; the fixture's users are hashed under user<number>
 PERSON_DAYS = 16
 AI_DAYS = 7
 AS_OF_AT = datetime(2024, 2, 1, 3, 30)
@@ -135,6 +138,13 @@ def _(t: Tables):
     return R.trace_journey(t.traces, TRACE)
 
 
+@register("trace_journey_between", W_("traces") +
+          f"SELECT start_time_unix_nano, service_name, name, status_code, span_id FROM traces WHERE trace_id = '{TRACE}' "
+          f"AND start_time_unix_nano BETWEEN {O.ns(TRACE_TIMES[0])} AND {O.ns(TRACE_TIMES[1])}")
+def _(t: Tables):
+    return R.trace_journey(t.traces, TRACE, *TRACE_TIMES)
+
+
 @register("person_window", W_("ue") +
           f"SELECT event_time, event_time_unix_nano, subject, event, severity_text, page FROM ue "
           f"WHERE person_id = '{PERSON}' AND {O.since(PERSON_DAYS)} ORDER BY event_time_unix_nano DESC, event")
@@ -287,6 +297,19 @@ def _(t: Tables):
     return R.subject_top_events(t.ue, SUBJECT)
 
 
+@register("user_event_types_window", W_("ue") +
+          f"SELECT event, count(*) AS c FROM ue WHERE person_id = '{PERSON}' AND {O.since(PERSON_DAYS)} GROUP BY event")
+def _(t: Tables):
+    return R.user_event_types(t.ue, PERSON, PERSON_DAYS)
+
+
+@register("subject_top_events_window", W_("ue") +
+          f"SELECT event, count(*) AS c FROM ue WHERE subject = '{SUBJECT}' AND {O.since(PERSON_DAYS)} GROUP BY event "
+          "ORDER BY c DESC, event ASC NULLS LAST LIMIT 10")
+def _(t: Tables):
+    return R.subject_top_events(t.ue, SUBJECT, PERSON_DAYS)
+
+
 @register("ai_usage_by_model", W_("ue") +
           "SELECT json_extract_string(attributes, '$.\"gen_ai.request.model\"') AS model, count(*) AS calls FROM ue "
           f"WHERE subject = 'ai_usage' AND {O.since(AI_DAYS)} GROUP BY 1")
@@ -408,6 +431,23 @@ def _(t: Tables):
     return R.subject_recent(day.ue, SUBJECT, partition_days=day.days("user_events", f"subject={SUBJECT}"))
 
 
+@register("subject_recent_window", W_("ue") +
+          f"SELECT event_time, event, person_id, page FROM ue WHERE subject = '{SUBJECT}' AND {O.since(AI_DAYS)} "
+          f"ORDER BY event_time_unix_nano DESC, person_id ASC NULLS LAST, event, attributes LIMIT {DEFAULT.subject_recent_cap}")
+def _(t: Tables):
+    day = t.by_day
+    return R.subject_recent(day.ue, SUBJECT, AI_DAYS, partition_days=day.days("user_events", f"subject={SUBJECT}"))
+
+
+@register("timeline_of_key", W_("ue") +
+          f", f AS (SELECT * FROM ue WHERE person_id = substr(sha256('salt' || '{RAW_KEY.strip().lower()}'), 1, 32)) "
+          "SELECT event_time, event, page, severity_text, session_id, (SELECT count(*) FROM f) AS total, "
+          f"greatest((SELECT count(*) FROM f) - {DEFAULT.timeline_cap}, 0) AS more FROM f "
+          f"ORDER BY event_time_unix_nano DESC, event, session_id, attributes LIMIT {DEFAULT.timeline_cap}")
+def _(t: Tables):
+    return R.user_timeline(t.ue, person_of_key(RAW_KEY, DEFAULT.salt, "email"))
+
+
 # ---------------------------------------------------------------- identity
 
 # who signed in on which device, once per pair
@@ -446,6 +486,17 @@ def _(t: Tables):
     return J.backfill_identity(t.ue).select(*USER_EVENT_COLUMNS)
 
 
+@register("backfill_incremental", QUERIES["backfill_identity"][1])
+def _(t: Tables):
+    from telemetra.streaming import identity
+    root = f"{_run_dir(t, 'backfill_incremental')}/people"
+    late = F.dayofmonth("event_time")
+    # the newest third of the month arrives first; sign-ins of the older thirds then change who owns a device
+    for batch, part in enumerate([late > 20, (late > 10) & (late <= 20), late <= 10]):
+        identity.add_arrival(t.ue.where(part), root, batch)
+    return identity.read_events(t.spark, root)
+
+
 @register("timeline_after_backfill", W_("ue") +
           ", owner AS (SELECT anonymous_id AS device, arg_min(user_id, (event_time_unix_nano, user_id)) AS person FROM ue "
           "WHERE event = 'identify' AND anonymous_id IS NOT NULL AND user_id IS NOT NULL GROUP BY 1), "
@@ -467,6 +518,30 @@ def _(t: Tables):
     return J.client_backend_journey(t.logs, t.traces)
 
 
+_PERSONS = (
+    f", event AS (SELECT {_ANON} AS device, {_UID} AS uid, time_unix_nano AS t, 'client' AS source, body AS name, service_name, "
+    "trace_id, span_id, severity_text AS status FROM logs_t), "
+    "owner AS (SELECT device, arg_min(uid, (t, uid)) AS person FROM event "
+    "WHERE name = 'identify' AND device IS NOT NULL AND uid IS NOT NULL GROUP BY device), "
+    "client AS (SELECT event.*, coalesce(uid, owner.person, device) AS who FROM event LEFT JOIN owner USING (device)), "
+    "link AS (SELECT trace_id, arg_min(who, (t, who)) AS person FROM client WHERE trace_id IS NOT NULL AND who IS NOT NULL GROUP BY trace_id), "
+    "span AS (SELECT json_extract_string(span_attributes, '$.\"anonymous.id\"') AS device, * FROM traces), "
+    "everyone AS (SELECT device AS anonymous_id, t AS time_unix_nano, source, name, service_name, trace_id, span_id, status, who AS person_id FROM client "
+    "UNION ALL SELECT device, start_time_unix_nano, 'backend', name, service_name, span.trace_id, span_id, "
+    "CASE WHEN status_code = 2 THEN 'ERROR' ELSE 'OK' END, coalesce(link.person, owner.person, device) "
+    "FROM span LEFT JOIN link ON span.trace_id = link.trace_id LEFT JOIN owner USING (device)) ")
+
+
+@register("persons_journeys", W_("logs_t", "traces") + _PERSONS + "SELECT * FROM everyone")
+def _(t: Tables):
+    return J.person_journey(with_trace_context(t.logs), t.traces)
+
+
+@register("person_journey", W_("logs_t", "traces") + _PERSONS + f"SELECT * FROM everyone WHERE person_id = '{BACKFILLED}'")
+def _(t: Tables):
+    return J.person_journey(with_trace_context(t.logs), t.traces, BACKFILLED)
+
+
 # ---------------------------------------------------------------- product analytics
 
 def _funnel_sql(steps: tuple[str, ...], days: float, by: str) -> str:
@@ -581,15 +656,15 @@ def _(t: Tables):
 
 # ---------------------------------------------------------------- ingest
 
-_PAYLOAD_LOG_SQL = (W_("logs") +
+_PAYLOAD_LOG_SQL = (W_("logs_t") +
                     "SELECT time_unix_nano, body, severity_text, "
                     "CAST(CASE WHEN severity_text = 'ERROR' THEN 17 WHEN severity_text = 'INFO' THEN 9 ELSE 0 END AS INTEGER) AS severity_number, "
-                    "service_name, log_attributes, 'production' AS resource_attr_deployment_environment FROM logs")
+                    "service_name, log_attributes, trace_id, span_id, 'production' AS resource_attr_deployment_environment FROM logs_t")
 
 
 @register("ingest_logs", _PAYLOAD_LOG_SQL)
 def _(t: Tables):
-    return otlp.ingest_logs(otlp.logs_payloads(t.logs))
+    return otlp.ingest_logs(otlp.logs_payloads(with_trace_context(t.logs)))
 
 
 @register("ingest_traces", W_("traces") +
@@ -652,12 +727,43 @@ def _stream(q) -> None:
 def _(t: Tables):
     from telemetra.streaming import curation, ingest
     run = _run_dir(t, "ingest_stream")
-    _land_requests(t, t.logs, f"{run}/landing/a")
+    _land_requests(t, with_trace_context(t.logs), f"{run}/landing/a")
     _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck_ingest"))
     raw = curation.read_table(t.spark, f"{run}/raw", curation.raw_schema())
     return raw.drop("event_date")
 
 
+# every fifth request of 50 events arrives cut in half, every seventh as another signal's
+_REQUEST = "CAST(event_id // 50 AS BIGINT)"
+
+
+@register("ingest_rejected", W_("logs") +
+          f", r AS (SELECT {_REQUEST} AS req, service_name, count(*) AS n, CASE WHEN {_REQUEST} % 5 = 0 THEN 'malformed' "
+          f"WHEN {_REQUEST} % 7 = 0 THEN 'no_resourceLogs' ELSE 'landed' END AS cause FROM logs GROUP BY 1, 2, 4) "
+          "SELECT cause, count(*) AS requests, CAST(CASE WHEN cause = 'landed' THEN sum(n) ELSE 0 END AS BIGINT) AS records "
+          "FROM r GROUP BY cause")
+def _(t: Tables):
+    from telemetra.streaming import curation, ingest
+    run = _run_dir(t, "ingest_rejected")
+    req = F.floor(F.col("event_id") / 50)
+    cut, other = req % 5 == 0, req % 7 == 0
+    whole = otlp.logs_payloads(t.logs.where(~cut & ~other))
+    half = otlp.logs_payloads(t.logs.where(cut)).select(F.expr("substring(payload, 1, length(payload) div 2)").alias("payload"))
+    strange = otlp.logs_payloads(t.logs.where(~cut & other)).select(
+        F.replace("payload", F.lit("resourceLogs"), F.lit("resourceSpans")).alias("payload"))
+    requests = whole.unionByName(half).unionByName(strange)
+    requests.write.mode("overwrite").text(f"{run}/landing/a")
+    _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", f"{run}/raw", checkpoint=f"{run}/ck"))
+    bad = ingest.read_rejected(t.spark, f"{run}/raw").groupBy("cause").agg(
+        F.count(F.lit(1)).alias("requests"), F.lit(0).cast("long").alias("records"))
+    sent = t.spark.read.text(f"{run}/landing/a").agg(F.count(F.lit(1)).alias("sent"))
+    lost = bad.agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("lost"))
+    landed = curation.read_table(t.spark, f"{run}/raw", curation.raw_schema()).agg(F.count(F.lit(1)).alias("records"))
+    ok = landed.select(F.lit("landed").alias("cause"),
+                       (sent.select("sent").scalar() - lost.select("lost").scalar()).alias("requests"), "records")
+    return ok.unionByName(bad)
+
+
 @register("curate_incremental", W_("ue") + f"SELECT {UE_COLS} FROM ue")
 def _(t: Tables):
     from telemetra.streaming import curation, ingest

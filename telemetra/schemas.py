@@ -79,6 +79,8 @@ LOG_RECORD = struct(
     ("severityText", S),
     ("body", ANY_VALUE),
     ("attributes", KEY_VALUE),
+    ("traceId", S),
+    ("spanId", S),
 )
 LOGS_PAYLOAD = struct(
     ("resourceLogs", T.ArrayType(struct(

@@ -98,6 +98,28 @@ def parse_promote_list(text: str) -> tuple[str, ...]:
 
 # --- ingest ---------------------------------------------------------------------
 
+# payload schema and the list a request of each signal has to hold
+SIGNALS = {"logs": (LOGS_PAYLOAD, "resourceLogs"), "traces": (TRACES_PAYLOAD, "resourceSpans"),
+           "gauge": (METRICS_PAYLOAD, "resourceMetrics"), "sum": (METRICS_PAYLOAD, "resourceMetrics")}
+
+
+def rejected(payloads: DataFrame, kind: str = "logs") -> DataFrame:
+    """The requests that :func:`ingest_logs` (``kind``: and so on) can read nothing from, with a ``cause``:
+
+    * ``blank``: no text at all;
+    * ``malformed``: not one JSON value (a truncated request, say);
+    * ``no_<list>``: JSON without the list of this signal, or with something else in its place.
+
+    A request whose list is empty is valid and holds no records.
+    """
+    schema, top = SIGNALS[kind]
+    text = F.coalesce(F.col("payload"), F.lit(""))
+    cause = (F.when(F.trim(text) == "", F.lit("blank"))
+             .when(F.try_parse_json(text).isNull(), F.lit("malformed"))
+             .otherwise(F.lit("no_" + top)))
+    return payloads.where(F.from_json(F.col("payload"), schema)[top].isNull()).select("payload", cause.alias("cause"))
+
+
 def _records(payloads: DataFrame, schema: T.StructType, top: str, scopes: str, items: str) -> DataFrame:
     p = F.from_json(F.col("payload"), schema)
     return (
@@ -117,6 +139,8 @@ def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_re
         x["severityNumber"].alias("severity_number"),
         kv_get(F.col("_res"), SERVICE_NAME).alias("service_name"),
         kv_to_json(x["attributes"]).alias("log_attributes"),
+        F.nullif(x["traceId"], F.lit("")).alias("trace_id"),
+        F.nullif(x["spanId"], F.lit("")).alias("span_id"),
         *_promoted(F.col("_res"), promote),
     )
 
@@ -192,7 +216,9 @@ def _chunk(per_request: int) -> Column:
 
 
 def logs_payloads(logs: DataFrame, per_request: int = 50, env: str | None = "production") -> DataFrame:
-    """``logs`` rows -> OTLP logs export requests of at most ``per_request`` records."""
+    """``logs`` rows -> OTLP logs export requests of at most ``per_request`` records (with their trace
+    context where ``logs`` has ``trace_id`` and ``span_id``)."""
+    context = [F.col(c).alias(to) for c, to in (("trace_id", "traceId"), ("span_id", "spanId")) if c in logs.columns]
     sev = F.col("severity_text")
     sev_num = F.when(sev == "ERROR", SEVERITY_NUMBER["ERROR"]).when(sev == "INFO", SEVERITY_NUMBER["INFO"]).otherwise(0)
     record = F.struct(
@@ -201,6 +227,7 @@ def logs_payloads(logs: DataFrame, per_request: int = 50, env: str | None = "pro
         sev.alias("severityText"),
         F.struct(F.col("body").alias("stringValue")).alias("body"),
         json_to_kv(F.col("log_attributes")).alias("attributes"),
+        *context,
     )
     key = F.floor(F.col("event_id") / per_request) if "event_id" in logs.columns else _chunk(per_request)
     return _requests(logs, record, key, "resourceLogs", "scopeLogs", "logRecords", env)

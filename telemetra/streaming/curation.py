@@ -31,7 +31,7 @@ from telemetra.streaming.sinks import COLD, HOT, MAX_FILE_AGE, publish_batch, st
 
 RAW_LOGS_INGESTED = struct(
     ("time_unix_nano", L), ("body", S), ("severity_text", S), ("severity_number", I), ("service_name", S),
-    ("log_attributes", S),
+    ("log_attributes", S), ("trace_id", S), ("span_id", S),
 )
 
 

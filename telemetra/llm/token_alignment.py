@@ -26,8 +26,10 @@ Other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,111 +40,137 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from telemetra.llm.common import stored
-from telemetra.llm.tokens import byte_alphabet, resolve
+from telemetra.llm.tokens import SEPARATOR, ByteBPE, Parts, byte_alphabet, byte_core, resolve
 
 BYTES = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 CHUNK = 8_000_000            # characters of one run of documents
 RUN = 500_000                # characters tokenised at once
-MEMO = 64 << 20              # bytes of remembered alignments per worker
+MEMO = 96 << 20              # bytes of remembered alignments per worker
 SEP = (1 << 32) - 1          # between the A and the B ids of a window
 SHIFT = 32                   # a pair of ids is A << SHIFT | B
 
 
+class JsonBPE(ByteBPE):
+    """The byte-level tokenizer of a tokenizer file; distinct parts of texts are encoded once per worker."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(resolve(path), encoding="utf-8") as f:
+            model = json.dumps(json.load(f) | {"added_tokens": []})   # their strings in a text are ordinary text
+        self.tok, joined = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        joined.add_special_tokens([SEPARATOR])
+        back = {c: i for i, c in enumerate(byte_alphabet())}
+        vocab = self.tok.get_vocab()
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+        self.first = Parts(self.tok, joined, byte_core)
+        self.rest = Parts(self.tok, joined, byte_core, lambda p: " " + p)
+
+
+class Window(NamedTuple):
+    """What a window's ids say: its groups as text, their number, and the codes of its linked pairs in order."""
+    text: bytes
+    groups: int
+    codes: np.ndarray
+
+
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(resolve(byte_path))
-        self.a.encode_special_tokens = True              # their strings in a text are ordinary text
+        self.a = JsonBPE(byte_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=resolve(piece_path))
-        back = {c: i for i, c in enumerate(byte_alphabet())}
-        vocab = self.a.get_vocab()
-        spelt_a = [b""] * (max(vocab.values()) + 1)
-        for t, i in vocab.items():
-            spelt_a[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        spelt_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                   for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.spelt = spelt_a, spelt_b
+        pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.spelt = self.a.bytes_of, [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
+                                       for i, p in enumerate(pieces)]
         self.length = [np.array([len(x) for x in s], np.int64) for s in self.spelt]
-        self.sizes = [x.tolist() for x in self.length]
         self.spaced = [np.array([x[:1] == b" " for x in s]) for s in self.spelt]
+        # an id as it stands in a group's text: inside and at the end of the A ids, of the B ids
+        self.shown = [b"%d%s" % (i, mark) for s, marks in zip(self.spelt, (b",|", b",;"))
+                      for mark in (marks[:1], marks[1:]) for i in range(len(s))]
         self.memo, self.held = {}, 0
 
     def tokens(self, texts: list[str | None]):
         """Per text its A and B ids, or None where either doesn't spell a space and the text."""
         have = [t for t in texts if t]
-        done = zip(have, self.a.encode_batch([" " + t for t in have], add_special_tokens=False),
-                   self.b.encode(have, num_threads=1))
+        done = zip(self.a.encode([" " + t for t in have]), self.b.encode(have, num_threads=1))
         for t in texts:
             if not t:
                 yield None
                 continue
-            _, a, b = next(done)
+            a, b = next(done)
             want = b" " + t.encode()
-            same = all(b"".join(map(s.__getitem__, ids)) == want for s, ids in zip(self.spelt, (a.ids, b)))
-            yield (np.array(a.ids, "<u4"), np.array(b, "<u4")) if same else None
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The windows of a document in order, each as the bytes of its A ids, SEP and its B ids."""
-        start_a, start_b = (np.cumsum(n) - n for n in (self.length[0][a], self.length[1][b]))
-        at_a, at_b = np.flatnonzero(self.spaced[0][a]), np.flatnonzero(self.spaced[1][b])
-        begins = np.zeros(int(start_a[-1] + self.length[0][a[-1]]), bool)
-        begins[start_b[at_b]] = True
-        begins[0] = False
-        cut_a = at_a[begins[start_a[at_a]]]              # the anchors: both sides begin a spaced token there
-        cut_b = np.searchsorted(start_b, start_a[cut_a])
-        n = len(cut_a) + 1
-        lo_a, lo_b = np.append(0, cut_a), np.append(0, cut_b)
-        hi_a = np.append(cut_a, len(a))
+            same = all(b"".join(map(s.__getitem__, ids)) == want for s, ids in zip(self.spelt, (a.tolist(), b)))
+            yield (a, np.array(b, "<u4")) if same else None
+
+    def windows(self, a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The windows of documents laid end to end, in order, each as the bytes of its A ids, SEP and its
+        B ids; and the document of each. ``starts``: the A tokens that begin a document."""
+        size_a, size_b = self.length[0][a], self.length[1][b]
+        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        begins = np.zeros(int(start_a[-1] + size_a[-1]), bool)
+        begins[start_b[self.spaced[1][b]]] = True
+        # the anchors: both sides begin a spaced token there; a document begins with one
+        lo_a = np.flatnonzero(self.spaced[0][a] & begins[start_a])
+        lo_b = np.searchsorted(start_b, start_a[lo_a])
+        n = np.arange(len(lo_a))
+        hi_a, hi_b = np.append(lo_a[1:], len(a)), np.append(lo_b[1:], len(b))
         # one buffer of all windows: A ids, SEP, B ids
-        flat = np.empty(len(a) + len(b) + n, "<u4")
-        w_a = np.repeat(np.arange(n), np.diff(np.append(lo_a, len(a))))
-        w_b = np.repeat(np.arange(n), np.diff(np.append(lo_b, len(b))))
-        flat[np.arange(len(a)) + lo_b[w_a] + w_a] = a
-        flat[hi_a + lo_b + np.arange(n)] = SEP
-        flat[np.arange(len(b)) + hi_a[w_b] + w_b + 1] = b
-        data = flat.tobytes()
-        ends = 4 * (np.append(cut_a, len(a)) + np.append(cut_b, len(b)) + np.arange(1, n + 1))
-        ends = ends.tolist()
-        return [data[i:j] for i, j in zip([0, *ends], ends)]
-
-    def align(self, window: bytes) -> tuple[bytes, list[int], int]:
-        """A window's groups as text, the codes of its linked pairs in order and its number of groups."""
-        found = self.memo.get(window)
-        if found is None:
-            if self.held > MEMO:
-                self.memo.clear()
-                self.held = 0
-            found = self.memo[window] = self._align(np.frombuffer(window, "<u4").tolist())
-            self.held += 200 + 2 * len(window) + len(found[0]) + 40 * len(found[1])
-        return found
-
-    def _align(self, ids: list[int]) -> tuple[bytes, list[int], int]:
-        mid = ids.index(SEP)
-        a, b = ids[:mid], ids[mid + 1:]
-        size_a, size_b = self.sizes
-        groups, codes = [], []
-        i = j = from_i = from_j = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            codes.append(a[i] << SHIFT | b[j])
-            step = end_b - end_a
-            if step >= 0:
-                i += 1
-            if step <= 0:
-                j += 1
-            if step == 0:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                if i == len(a):
-                    return ";".join(groups).encode(), codes, len(groups)
-                from_i, from_j = i, j
-            if step >= 0:
-                end_a += size_a[a[i]]
-            if step <= 0:
-                end_b += size_b[b[j]]
+        flat = np.empty(len(a) + len(b) + len(n), "<u4")
+        flat[np.arange(len(a)) + np.repeat(lo_b + n, hi_a - lo_a)] = a
+        flat[hi_a + lo_b + n] = SEP
+        flat[np.arange(len(b)) + np.repeat(hi_a + n + 1, hi_b - lo_b)] = b
+        data, ends = flat.tobytes(), (4 * (hi_a + hi_b + n + 1)).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)], np.searchsorted(starts, lo_a, "right") - 1
+
+    def align(self, windows: list[bytes]) -> list[Window]:
+        """The alignment of each of some distinct windows; those seen before are remembered."""
+        missing = [w for w in windows if w not in self.memo]
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held, missing = 0, windows
+        if missing:
+            made = self._align(missing)
+            self.memo.update(zip(missing, made))
+            self.held += sum(350 + len(w) + len(x.text) + 8 * len(x.codes) for w, x in zip(missing, made))
+        return list(map(self.memo.__getitem__, windows))
+
+    def _align(self, windows: list[bytes]) -> list[Window]:
+        # both sides of a window have equally many bytes, so windows can be laid end to end
+        flat = np.frombuffer(b"".join(windows), "<u4")
+        sep = np.flatnonzero(flat == SEP)
+        ends = np.cumsum([len(w) // 4 for w in windows])
+        n_a, n_b = sep - np.append(0, ends[:-1]), ends - sep - 1
+        is_a = np.repeat(np.tile([True, False], len(sep)), np.stack([n_a, n_b + 1], 1).ravel())
+        a = flat[is_a].astype(np.int64)
+        is_a[sep] = True
+        b = flat[~is_a].astype(np.int64)
+        end_a, end_b = np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])
+        both = np.zeros(int(end_a[-1]) + 1, np.int8)
+        both[end_a] = 1
+        both[end_b] += 2
+        # where any token ends a stretch ends that lies in one token of either side: a link
+        cut = np.flatnonzero(both)
+        shared = np.flatnonzero(both == 3)
+        codes = a[np.searchsorted(end_a, cut)] << SHIFT | b[np.searchsorted(end_b, cut)]
+        stop = end_a[np.cumsum(n_a) - 1]
+        at_code, at_group = np.searchsorted(cut, stop, "right"), np.searchsorted(shared, stop, "right")
+        # groups in order, their A ids before their B ids
+        of_a, of_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        upto_a, upto_b = np.searchsorted(end_a, shared, "right"), np.searchsorted(end_b, shared, "right")
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[np.arange(len(a)) + np.append(0, upto_b)[of_a]] = a + len(self.spelt[0]) * (both[end_a] == 3)
+        shown[np.arange(len(b)) + upto_a[of_b]] = b + 2 * len(self.spelt[0]) + len(self.spelt[1]) * (both[end_b] == 3)
+        text = list(map(self.shown.__getitem__, shown.tolist()))
+        at_text = np.cumsum(n_a + n_b).tolist()
+        groups = np.diff(at_group, prepend=0).tolist()
+        at_code = at_code.tolist()
+        return [Window(b"".join(text[i:j])[:-1], n, codes[k:m].copy())
+                for i, j, n, k, m in zip([0, *at_text], at_text, groups, [0, *at_code], at_code)]
 
 
 @lru_cache(maxsize=1)
@@ -150,44 +178,68 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``lo[0], lo[0] + 1, ...`` (``size[0]`` numbers), then those from ``lo[1]``, and so on."""
+    return np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+
+
 class Chunk:
     """The documents of one run: rows of their own and one row of what they share."""
 
     def __init__(self, number: int):
         self.number, self.chars = number, 0
-        self.window, self.links, self.texts, self.groups = {}, [], [], []   # per window: its number, pairs, text, groups
-        self.pair, self.docs = {}, []                                        # per pair: its number, documents with it
+        self.window, self.texts = {}, []                          # the number and the text of each window
+        self.groups, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)   # per window: groups, and where its links end
+        self.links, self.pair = np.zeros(0, np.uint32), {}        # numbers of linked pairs, window by window; each pair's number
+        self.docs = np.zeros(0, np.int64)                         # per pair: documents that hold it
         self.rows = []
 
-    def add(self, doc_id, tokens, al: Aligner) -> None:
-        if tokens is None:
-            self.rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
-            return
-        a, b = tokens
-        keys = al.windows(a, b)
+    def add(self, ids: list, tokens: list, al: Aligner) -> None:
+        """Some documents with their tokens (None: without)."""
+        have = [t for t in tokens if t is not None]
+        done = iter(self._aligned(have, al)) if have else iter(())
+        for i, t in zip(ids, tokens):
+            self.rows.append((i, 0, 0, 0, 0, "", b"", b"") if t is None else (i, len(t[0]), len(t[1]), *next(done)))
+
+    def _number(self, keys: list[bytes], al: Aligner) -> np.ndarray:
+        """The number of each window; new ones get the next."""
         seen = list(map(self.window.get, keys))
         if None in seen:
-            for k in dict.fromkeys(k for k, w in zip(keys, seen) if w is None):
-                text, codes, n = al.align(k)
-                self.window[k] = len(self.texts)
-                self.texts.append(text)
-                self.groups.append(n)
-                self.links.append(np.array([self.pair.setdefault(c, len(self.pair)) for c in codes], "<u4"))
+            new = list(dict.fromkeys(k for k, w in zip(keys, seen) if w is None))
+            found = al.align(new)
+            self.window.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+            self.texts += [x.text for x in found]
+            self.groups = np.append(self.groups, [x.groups for x in found])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x.codes) for x in found]))
+            codes, place = np.unique(np.concatenate([x.codes for x in found]), return_inverse=True)
+            numbers = np.array([self.pair.setdefault(c, len(self.pair)) for c in codes.tolist()], np.uint32)
+            self.links = np.append(self.links, numbers[place])
+            self.docs = np.append(self.docs, np.zeros(len(self.pair) - len(self.docs), np.int64))
             seen = list(map(self.window.__getitem__, keys))
-        if len(self.docs) < len(self.pair):
-            self.docs = np.append(self.docs, np.zeros(2 * len(self.pair) - len(self.docs), np.int64)).astype(np.int64)
-        own, times = np.unique(np.array(seen, "<u4"), return_counts=True)
-        links = [self.links[w] for w in own.tolist()]
-        self.docs[np.unique(np.concatenate(links))] += 1
-        digest = hashlib.sha256(b";".join(map(self.texts.__getitem__, seen))).hexdigest()
-        n_links = int(np.dot(times, np.fromiter(map(len, links), np.int64, len(links))))
-        self.rows.append((doc_id, len(a), len(b), sum(map(self.groups.__getitem__, seen)), n_links, digest,
-                          own.tobytes(), times.astype("<u4").tobytes()))
+        return np.array(seen, np.int64)
+
+    def _aligned(self, tokens: list, al: Aligner):
+        a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
+        keys, doc = al.windows(a, b, np.cumsum([0, *(len(t[0]) for t in tokens)])[:-1])
+        seen, n = self._number(keys, al), len(tokens)
+        sizes = np.diff(self.ends)
+        groups, links = (np.bincount(doc, x[seen], n).astype(np.int64).tolist() for x in (self.groups, sizes))
+        ends = np.cumsum(np.bincount(doc, minlength=n)).tolist()
+        order = seen.tolist()
+        digests = [hashlib.sha256(b";".join(map(self.texts.__getitem__, order[i:j]))).hexdigest() for i, j in zip([0, *ends], ends)]
+        # the windows of each document once, with how often it has them
+        own, times = np.unique(doc * len(sizes) + seen, return_counts=True)
+        of, own = np.divmod(own, len(sizes))
+        held = np.unique(np.repeat(of, sizes[own]) * len(self.pair) + self.links[_ranges(self.ends[own], sizes[own])])
+        self.docs += np.bincount(held % len(self.pair), minlength=len(self.pair))
+        upto = np.searchsorted(of, np.arange(n), "right").tolist()
+        own, times = own.astype("<u4"), times.astype("<u4")
+        for k, (i, j) in enumerate(zip([0, *upto], upto)):
+            yield groups[k], links[k], digests[k], own[i:j].tobytes(), times[i:j].tobytes()
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         cols = [list(c) + [None] for c in zip(*self.rows)]
-        shared = [b"".join(x.tobytes() for x in self.links), np.cumsum([0, *map(len, self.links)]).astype("<u4").tobytes(),
-                  list(self.pair), self.docs[:len(self.pair)].tolist() if self.pair else []]
+        shared = [self.links.astype("<u4").tobytes(), self.ends.astype("<u4").tobytes(), list(self.pair), self.docs.tolist()]
         last = [[None] * len(self.rows) + [x] for x in shared]
         cols = [[self.number] * (len(self.rows) + 1), *cols, *last]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -216,8 +268,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, byte_path: str, piece_p
                 while end < len(texts) and (size < RUN or end == at):
                     size += len(texts[end] or "")
                     end += 1
-                for i, tokens in zip(ids[at:end], al.tokens(texts[at:end])):
-                    chunk.add(i, tokens, al)
+                chunk.add(ids[at:end], list(al.tokens(texts[at:end])), al)
                 chunk.chars += size
                 at = end
                 if chunk.chars >= CHUNK:

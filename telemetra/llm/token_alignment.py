@@ -5,9 +5,9 @@ text by the piece tokenizer (B, which adds the space itself), and both token seq
 must spell the same bytes. A document is then split at its anchors: offsets where both
 sequences have a token that begins with a space, so both end a token just before. What
 lies between two anchors is a window, a pair of tuples of ids. Windows recur all over a
-corpus, so an alignment is made once per pair of tuples and remembered (``MEMO`` bytes a
-worker, then forgotten). It cuts the window into groups where tokens of both sides end,
-and links the tokens of A and B that share bytes.
+corpus, so within a run of documents an alignment is made once per pair of tuples and
+remembered. It cuts the window into groups where tokens of both sides end, and links the
+tokens of A and B that share bytes.
 
 Corpus counts: workers read runs of documents of about ``CHUNK`` characters and write, per
 document, which windows it has and how often, and per chunk its windows, its distinct
@@ -28,8 +28,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,72 +41,107 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from telemetra.llm.common import stored
-from telemetra.llm.tokens import SEPARATOR, ByteBPE, Parts, byte_alphabet, byte_core, resolve
+from telemetra.llm.tokens import byte_alphabet, resolve
 
 BYTES = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 CHUNK = 8_000_000            # characters of one run of documents
 RUN = 500_000                # characters tokenised at once
-MEMO = 96 << 20              # bytes of remembered alignments per worker
+PARTS = 300_000              # parts of texts whose pieces a worker keeps
+RUN_CHARS = 2_000            # longest run of one kind that the fast byte tokenizer gets
+LONG_GAP = re.compile(r"\s{%d}" % RUN_CHARS)
 SEP = (1 << 32) - 1          # between the A and the B ids of a window
 SHIFT = 32                   # a pair of ids is A << SHIFT | B
 
 
-class JsonBPE(ByteBPE):
-    """The byte-level tokenizer of a tokenizer file; distinct parts of texts are encoded once per worker."""
+class ByteTokens:
+    """The byte-level tokenizer of a tokenizer file whose ids are in the order of its merges, as tiktoken ranks;
+    runs too long for it (it takes quadratic time) go through the tokenizers library."""
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(resolve(path), encoding="utf-8") as f:
-            model = json.dumps(json.load(f) | {"added_tokens": []})   # their strings in a text are ordinary text
-        self.tok, joined = Tokenizer.from_str(model), Tokenizer.from_str(model)
-        joined.add_special_tokens([SEPARATOR])
+            spec = json.load(f) | {"added_tokens": []}    # their strings in a text are ordinary text
         back = {c: i for i, c in enumerate(byte_alphabet())}
-        vocab = self.tok.get_vocab()
+        vocab = spec["model"]["vocab"]
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: ids aren't in the order of the merges")
+        ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if all(c in back for c in t)}
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
-        for t, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        self.first = Parts(self.tok, joined, byte_core)
-        self.rest = Parts(self.tok, joined, byte_core, lambda p: " " + p)
+        for t, i in ranks.items():
+            self.bytes_of[i] = t
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.slow = Tokenizer.from_str(json.dumps(spec))
 
+    def encode(self, text: str) -> list[int]:
+        words = text.split()
+        gaps = len(text) - sum(map(len, words)) - len(words)
+        if max(map(len, words), default=0) > RUN_CHARS or (gaps > RUN_CHARS and LONG_GAP.search(text)):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
-class Window(NamedTuple):
-    """What a window's ids say: its groups as text, their number, and the codes of its linked pairs in order."""
-    text: bytes
-    groups: int
-    codes: np.ndarray
+
+class PieceTokens:
+    """The piece tokenizer. No piece holds a space but at its start, so where single spaces separate a text's
+    parts each is encoded alone, and once per worker (up to ``PARTS`` of them are kept)."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=resolve(path))
+        pieces = list(map(self.model.id_to_piece, range(self.model.get_piece_size())))
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
+                         for i, p in enumerate(pieces)]
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.ids: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [t.split(" ") if self.apart and "  " not in t and t[0] != " " and t[-1] != " " else [t] for t in texts]
+        every = set().union(*cut)
+        new = every.difference(self.ids)
+        if len(self.ids) + len(new) > PARTS:
+            self.ids.clear()
+            new = every
+        new = list(new)
+        made = self.model.encode(new, num_threads=1)
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))).tolist()
+        flat = np.fromiter(chain.from_iterable(made), "<u4").tobytes()
+        self.ids.update(zip(new, (flat[4 * i:4 * j] for i, j in zip([0, *ends], ends))))
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, c)), "<u4") for c in cut]
 
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-        import sentencepiece
-
-        self.a = JsonBPE(byte_path)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=resolve(piece_path))
-        pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
-        self.spelt = self.a.bytes_of, [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                                       for i, p in enumerate(pieces)]
+        self.a, self.b = ByteTokens(byte_path), PieceTokens(piece_path)
+        self.spelt = self.a.bytes_of, self.b.bytes_of
         self.length = [np.array([len(x) for x in s], np.int64) for s in self.spelt]
         self.spaced = [np.array([x[:1] == b" " for x in s]) for s in self.spelt]
         # an id as it stands in a group's text: inside and at the end of the A ids, of the B ids
         self.shown = [b"%d%s" % (i, mark) for s, marks in zip(self.spelt, (b",|", b",;"))
                       for mark in (marks[:1], marks[1:]) for i in range(len(s))]
-        self.memo, self.held = {}, 0
+        # the bytes of all tokens end to end, and where each begins
+        self.data = [np.frombuffer(b"".join(x), np.uint8) for x in self.spelt]
+        self.at = [np.cumsum(n) - n for n in self.length]
+
+    def spell(self, side: int, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids of one side stand for."""
+        return self.data[side][_ranges(self.at[side][ids], self.length[side][ids])]
 
     def tokens(self, texts: list[str | None]):
         """Per text its A and B ids, or None where either doesn't spell a space and the text."""
-        have = [t for t in texts if t]
-        done = zip(self.a.encode([" " + t for t in have]), self.b.encode(have, num_threads=1))
+        pieces = iter(self.b.encode([t for t in texts if t]))
         for t in texts:
             if not t:
                 yield None
                 continue
-            a, b = next(done)
-            want = b" " + t.encode()
-            same = all(b"".join(map(s.__getitem__, ids)) == want for s, ids in zip(self.spelt, (a.tolist(), b)))
-            yield (a, np.array(b, "<u4")) if same else None
+            sides = np.array(self.a.encode(" " + t), "<u4"), next(pieces)
+            want = np.frombuffer(b" " + t.encode(), np.uint8)
+            yield sides if all(np.array_equal(self.spell(k, ids), want) for k, ids in enumerate(sides)) else None
 
     def windows(self, a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The windows of documents laid end to end, in order, each as the bytes of its A ids, SEP and its
@@ -127,19 +163,8 @@ class Aligner:
         data, ends = flat.tobytes(), (4 * (hi_a + hi_b + n + 1)).tolist()
         return [data[i:j] for i, j in zip([0, *ends], ends)], np.searchsorted(starts, lo_a, "right") - 1
 
-    def align(self, windows: list[bytes]) -> list[Window]:
-        """The alignment of each of some distinct windows; those seen before are remembered."""
-        missing = [w for w in windows if w not in self.memo]
-        if self.held > MEMO:
-            self.memo.clear()
-            self.held, missing = 0, windows
-        if missing:
-            made = self._align(missing)
-            self.memo.update(zip(missing, made))
-            self.held += sum(350 + len(w) + len(x.text) + 8 * len(x.codes) for w, x in zip(missing, made))
-        return list(map(self.memo.__getitem__, windows))
-
-    def _align(self, windows: list[bytes]) -> list[Window]:
+    def align(self, windows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window its groups as text, their number and its number of links; and the linked pairs' codes in order."""
         # both sides of a window have equally many bytes, so windows can be laid end to end
         flat = np.frombuffer(b"".join(windows), "<u4")
         sep = np.flatnonzero(flat == SEP)
@@ -166,11 +191,9 @@ class Aligner:
         shown[np.arange(len(a)) + np.append(0, upto_b)[of_a]] = a + len(self.spelt[0]) * (both[end_a] == 3)
         shown[np.arange(len(b)) + upto_a[of_b]] = b + 2 * len(self.spelt[0]) + len(self.spelt[1]) * (both[end_b] == 3)
         text = list(map(self.shown.__getitem__, shown.tolist()))
-        at_text = np.cumsum(n_a + n_b).tolist()
-        groups = np.diff(at_group, prepend=0).tolist()
-        at_code = at_code.tolist()
-        return [Window(b"".join(text[i:j])[:-1], n, codes[k:m].copy())
-                for i, j, n, k, m in zip([0, *at_text], at_text, groups, [0, *at_code], at_code)]
+        ends = np.cumsum(n_a + n_b).tolist()
+        return ([b"".join(text[i:j])[:-1] for i, j in zip([0, *ends], ends)],
+                np.diff(at_group, prepend=0), np.diff(at_code, prepend=0), codes)
 
 
 @lru_cache(maxsize=1)
@@ -206,12 +229,12 @@ class Chunk:
         seen = list(map(self.window.get, keys))
         if None in seen:
             new = list(dict.fromkeys(k for k, w in zip(keys, seen) if w is None))
-            found = al.align(new)
+            texts, groups, sizes, codes = al.align(new)
             self.window.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
-            self.texts += [x.text for x in found]
-            self.groups = np.append(self.groups, [x.groups for x in found])
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x.codes) for x in found]))
-            codes, place = np.unique(np.concatenate([x.codes for x in found]), return_inverse=True)
+            self.texts += texts
+            self.groups = np.append(self.groups, groups)
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+            codes, place = np.unique(codes, return_inverse=True)
             numbers = np.array([self.pair.setdefault(c, len(self.pair)) for c in codes.tolist()], np.uint32)
             self.links = np.append(self.links, numbers[place])
             self.docs = np.append(self.docs, np.zeros(len(self.pair) - len(self.docs), np.int64))

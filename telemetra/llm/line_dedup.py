@@ -60,8 +60,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         return F.when(odd, F.regexp_replace(low, "[ \t\x0B\x0C\r]+", " ")).otherwise(low)
 
     text = let(F.lower("text"), spaced)
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    return docs.select("doc_id", "tx", F.posexplode(lines).alias("pos", "line")).where("line != ''")
+    lines = docs.select("doc_id", "tx", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return lines.withColumn("line", F.trim("line")).where("line != ''")
 
 
 def _drop_at(words: Column, i: Column) -> Column:

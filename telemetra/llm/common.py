@@ -52,6 +52,11 @@ def row_key(doc_id: Column, tx: Column) -> list[Column]:
 KEY = ["key_id", "key_null", "key_text"]
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``row``, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
+
+
 def with_column(columns: list[str], row: str, **replaced: Column) -> list[Column]:
     """The columns packed in struct ``row``, in order, some replaced."""
     return [(replaced[c] if c in replaced else F.col(row)[c]).alias(c) for c in columns]

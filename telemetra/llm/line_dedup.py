@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import KEY, let, row_key, stored, text_key, with_column
+from telemetra.llm.common import KEY, let, packed, row_key, stored, text_key, with_column
 
 MIN_WORDS = 3
 EDIT_WORDS = 10
@@ -136,7 +136,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``df`` with the repeated lines taken out of its texts; ``count_col`` adds how many went."""
     gone = stored(removed_lines(df, id_col, text_col), "lines-removed")
-    rows = df.select(F.struct(*df.columns).alias("row"), *row_key(F.col(id_col), text_key(F.col(text_col))))
+    rows = df.select(packed(df), *row_key(F.col(id_col), text_key(F.col(text_col))))
     # one join for every size: what goes grows with the table, so a small part isn't broadcast either
     joined = rows.join(gone.hint("merge"), KEY, "left")
     text = F.col("row")[text_col]

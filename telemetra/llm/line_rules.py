@@ -25,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import KEY, let, row_key, stored, text_key, with_column, words_of
+from telemetra.llm.common import KEY, let, packed, row_key, stored, text_key, with_column, words_of
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
+METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_DOCS = 10
 MAX_SHARE = 0.01
 MAX_REMOVED = 0.7
@@ -112,7 +113,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     metrics = base_metrics(F.col(text_col))
     rows = df.select(F.col(id_col).alias("doc_id"), *row_key(F.col(id_col), text_key(F.col(text_col))),
                      *(c.alias(n) for n, c in metrics.items()),
-                     *([F.struct(*df.columns).alias("row")] if payload else []))
+                     *([packed(df)] if payload else []))
     # one join for every size: the flags grow with the table, so small ones aren't broadcast either
     joined = rows.join(flags.hint("merge"), KEY, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     depleted = F.col("removed_words") > max_removed * F.col("n_words")

@@ -51,7 +51,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.annotate(table(spark, sf_dir, "documents")).drop("removed")
+    rows = line_rules.annotate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *line_rules.METRICS, "base_failed", "kept", "removed_words")
 
 
 @query

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from telemetra.llm.common import KEY, row_key, stored, text_key
+from telemetra.llm.common import KEY, packed, row_key, stored, text_key
 
 SEED = 42
 CHUNK = 512           # fingerprints of one block value compared at once
@@ -191,14 +191,14 @@ def hex64(c: Column) -> Column:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``df`` with one row of each component: its smallest (id, fingerprint); of repeated rows, one."""
     tx = text_key(F.col(text_col))
-    packed = df.select(F.struct(F.col(id_col).alias("doc_id"), tx.alias("tx")).alias("key"), F.col(text_col).alias("text"))
-    near = near_duplicates(packed, "key", "text", **params)
+    keyed = df.select(F.struct(F.col(id_col).alias("doc_id"), tx.alias("tx")).alias("key"), F.col(text_col).alias("text"))
+    near = near_duplicates(keyed, "key", "text", **params)
     # an unknown id comes last: a null id represents a group only if no row has another
     first = near.groupBy("component_fingerprint").agg(
         F.min(F.struct(F.col("doc_id.doc_id").isNull(), F.col("doc_id.doc_id").alias("doc_id"),
                        F.col("doc_id.tx").alias("tx"))).alias("k")).select("k.doc_id", "k.tx")
     # join and grouping share one null-free key, so the texts are shuffled once
     first = stored(first, "simhash-kept").select(*row_key(F.col("doc_id"), F.col("tx")))
-    rows = df.select(F.struct(*df.columns).alias("row"), *row_key(F.col(id_col), tx))
+    rows = df.select(packed(df), *row_key(F.col(id_col), tx))
     hit = rows.join(first, KEY, "left_semi")
     return hit.groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")

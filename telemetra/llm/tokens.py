@@ -233,7 +233,11 @@ class WordBPE:
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(resolve(path), encoding="utf-8") as f:
-            model = json.load(f) | {"added_tokens": []}    # their strings in a text are ordinary text
+            model = json.load(f)
+        # a text with a special token's string, or with a letter that lower-cases to two, is encoded whole
+        self.library, self.odd = Tokenizer.from_str(json.dumps(model)), ["\u0130"]
+        self.odd += {t["content"][:2] for t in model["added_tokens"]}
+        model |= {"added_tokens": []}
         self.tok, joined = Tokenizer.from_str(json.dumps(model)), Tokenizer.from_str(json.dumps(model))
         joined.add_special_tokens([SEPARATOR])
         words = Tokenizer.from_str(json.dumps(model | {"normalizer": None}))
@@ -245,9 +249,11 @@ class WordBPE:
         """Ids of each text as little-endian 32-bit bytes (null: none)."""
         out, ids = [], self.parts.ids
         for group in _groups(texts):
-            flat, ends = [], [0]
-            for t in group:
-                if t:
+            flat, ends, whole = [], [0], {}
+            for k, t in enumerate(group):
+                if t and any(x in t for x in self.odd):
+                    whole[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                elif t:
                     data = t.encode().lower()
                     if (t.isascii() and not data.translate(None, PLAIN) and not DOUBLE.search(data)) or not AFTER_SYMBOL.search(t):
                         data = data.replace(b".", b" .").replace(b",", b" ,")
@@ -262,7 +268,7 @@ class WordBPE:
                 self.parts.learn_words(plain)
                 self.parts.learn(missing.difference(plain))
                 known = list(map(ids.__getitem__, flat))
-            out += [b"".join(known[a:b]) for a, b in zip(ends, ends[1:])]
+            out += [whole.get(k) or b"".join(known[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
         return out
 
 

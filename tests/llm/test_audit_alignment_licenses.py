@@ -147,7 +147,7 @@ def check_alignment(df, rows):
     assert {tuple(r) for r in pairs.select("a_id", "b_id", "docs", "best").collect()} == counts
 
 
-def test_alignment_is_the_plain_one(spark, monkeypatch):
+def test_alignment_is_the_plain_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
     check_alignment(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
@@ -166,11 +166,31 @@ def test_alignment_of_made_texts_and_small_chunks(spark):
     for _, t in rows:                          # windows put together are the document
         for tokens in al.tokens([t]):
             if tokens is not None:
-                parts = [x.split(b"\xff\xff\xff\xff") for x in al.windows(*tokens)]
+                parts = [x.split(b"\xff\xff\xff\xff") for x in al.windows(*tokens, [0])[0]]
                 assert b"".join(p[0] for p in parts) == tokens[0].tobytes() and b"".join(p[1] for p in parts) == tokens[1].tobytes()
     check_alignment(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_alignment_of_long_runs():
+    al = token_alignment.Aligner(token_alignment.BYTES, token_alignment.PIECES)
+    library = Tokenizer.from_file(public_tokenizers.path(token_alignment.BYTES))
+    for text in ("x" * 5000, "a " + " " * 5000 + "b", "1" * 4000 + "\n" * 4000, "日本" * 3000):
+        assert al.a.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_of_any_size_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).repartition(1)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    al = token_alignment.Aligner(token_alignment.BYTES, token_alignment.PIECES)
+    whole, parts = token_alignment.Chunk(0), token_alignment.Chunk(1)
+    tokens = list(al.tokens([t for _, t in rows]))
+    whole.add([i for i, _ in rows], tokens, al)
+    for (i, _), t in zip(rows, tokens):
+        parts.add([i], [t], al)
+    assert [r[:6] for r in whole.rows] == [r[:6] for r in parts.rows]
+    assert {c: whole.docs[n] for c, n in whole.pair.items()} == {c: parts.docs[n] for c, n in parts.pair.items()}
+
+
 def plain_matches(text, notice, k):
     """Smallest number of edits of a run of whole words within ``k`` of the notice; None if none is."""
     words = re.findall(r"[0-9a-z]+", text.lower())

@@ -96,11 +96,6 @@ def changes(table: DataFrame, commits: DataFrame, start: int | None = None, end:
     return feed.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def inserted_since(table: DataFrame, last: int, current: int) -> DataFrame:
-    """Rows inserted in ``(last, current]``: the incremental-curation feed."""
-    return table.where((F.col("begin_snapshot") > last) & (F.col("begin_snapshot") <= current)).drop(*VERSION_COLS)
-
-
 def expire(table: DataFrame, horizon: int | Column) -> DataFrame:
     """Row versions still needed after expiring history up to ``horizon``.
 

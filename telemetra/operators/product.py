@@ -9,19 +9,19 @@ Design for hot keys (one person or session holding a large share of rows):
 * ``cohort_retention`` collects each person's set of active days (a partial
   aggregate whose state is bounded by the days the data spans, however hot the
   person), so it needs two shuffles and no window.
-* ``user_paths`` pairs each event with the next one of its session; sessions
-  above a measured size are cut into range slices so no session is one task.
+* ``user_paths`` pairs each event with the next one of its session; sessions are
+  cut into slices of time, so a hot one is as many tasks as it lasts slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.timecols import NS_PER_DAY, date_of_ns
-from telemetra.plans.skew import ranged
 
 
 def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7, by: str = "person_id",
@@ -31,6 +31,10 @@ def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7,
     Step 1 is the person's first ``steps[0]`` event at ``t1``. Step k is the
     first ``steps[k-1]`` event at or after step k-1's time and no later than
     ``t1 + window`` (inclusive). Output: ``step, event, persons``.
+
+    Every step's persons are counted and carried to the next step from one shuffle: the count
+    is of a column the next step needs too, so both plans share the exchange and the events
+    of a step are read once.
     """
     if not steps:
         raise ValueError("a funnel needs at least one step")
@@ -43,7 +47,7 @@ def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7,
         .groupBy("_p").agg(F.min("_t").alias("_t1"))
         .withColumn("_prev", F.col("_t1"))
     )
-    counts = [reached.agg(F.count(F.lit(1)).alias("persons")).select(F.lit(1).alias("step"), F.lit(steps[0]).alias("event"), "persons")]
+    counts = [reached.agg(F.count("_t1").alias("persons")).select(F.lit(1).alias("step"), F.lit(steps[0]).alias("event"), "persons")]
     for k, name in enumerate(steps[1:], start=2):
         cand = base.where(F.col("_e") == name).select("_p", "_t")
         reached = (
@@ -51,7 +55,7 @@ def funnel_ordered(ue: DataFrame, steps: Sequence[str], window_days: float = 7,
             .where((F.col("_t") >= F.col("_prev")) & (F.col("_t") <= F.col("_t1") + F.lit(window_ns)))
             .groupBy("_p", "_t1").agg(F.min("_t").alias("_prev"))
         )
-        counts.append(reached.agg(F.count(F.lit(1)).alias("persons")).select(F.lit(k).alias("step"), F.lit(name).alias("event"), "persons"))
+        counts.append(reached.agg(F.count("_prev").alias("persons")).select(F.lit(k).alias("step"), F.lit(name).alias("event"), "persons"))
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -76,42 +80,65 @@ def cohort_retention(ue: DataFrame, by: str = "person_id", time_col: str = "even
         F.count(F.lit(1)).alias("persons"))
 
 
-def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano") -> DataFrame:
-    """Page -> next page transition counts within sessions.
+def active_days(ue: DataFrame, by: str = "person_id", time_col: str = "event_time_unix_nano") -> DataFrame:
+    """Per person the days they were active on, as a bitmap: a state of 4 KB per person and 89 years
+    (``era``), however many events or days. Bitmaps of batches are merged by :func:`merge_days`."""
+    days = ue.where(F.col(by).isNotNull() & F.col(time_col).isNotNull()).select(
+        F.col(by).alias("person"), F.datediff(date_of_ns(time_col), F.lit(date(1970, 1, 1))).alias("day"))
+    return days.groupBy("person", F.bitmap_bucket_number("day").alias("era")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("day")).alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
 
-    Events without a session or page are ignored; the order inside a session is
-    time, then the raw attribute text as a deterministic tie-breaker. Sessions
-    are cut into range slices (see :func:`_next_in_slices`), however long they are.
-    """
-    ev = ue.where(F.col(session_col).isNotNull() & F.col("page").isNotNull()).select(
-        F.col(session_col).alias("_s"), F.col(time_col).alias("_t"), F.col("attributes").alias("_k"), "page"
-    )
-    return (
-        _next_in_slices(ev).where(F.col("next_page").isNotNull())
-        .groupBy("page", "next_page").agg(F.count(F.lit(1)).alias("transitions"))
-    )
 
+def merge_days(days: DataFrame) -> DataFrame:
+    """One row per person and era of the rows of :func:`active_days` of any number of batches."""
+    return days.groupBy("person", "era").agg(
+        F.bitmap_or_agg("days").alias("days"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def retention_of_days(days: DataFrame) -> DataFrame:
+    """:func:`cohort_retention` of merged day bitmaps."""
+    # the bit of a day: position and byte as bitmap_construct_agg sets them
+    bits = F.hex("days")
+
+    def is_set(day):
+        at = F.bitmap_bit_position(day).cast("int")
+        byte = F.conv(F.substring(bits, F.floor(at / 8).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
 
-def _next_in_slices(ev: DataFrame) -> DataFrame:
-    """``(page, next_page)`` pairs with sessions range-partitioned into slices.
+    born = F.min("first").over(Window.partitionBy("person"))  # a row per era
+    active = days.withColumn("born", born).select("born", F.explode(F.filter(F.sequence("first", "last"), is_set)).alias("day"))
+    return active.groupBy(F.date_add(F.lit(date(1970, 1, 1)), F.col("born")).alias("cohort_day"),
+                          (F.col("day") - F.col("born")).cast("int").alias("day_offset")).agg(F.count(F.lit(1)).alias("persons"))
 
-    Inside a slice the next page is a window ``lead``; the last row of a
-    session's slice takes the first page of the session's next slice, looked up
-    in a table with one row per (slice, session).
+
+SLICE_NS = 600 * 1_000_000_000
+
+
+def user_paths(ue: DataFrame, session_col: str = "session_id", time_col: str = "event_time_unix_nano",
+               slice_ns: int = SLICE_NS) -> DataFrame:
+    """Page -> next page transition counts within sessions.
+
+    Events without a session or page are ignored; the order inside a session is
+    time, then the raw attribute text as a deterministic tie-breaker.
+
+    A session is cut into slices of ``slice_ns`` by the clock. Inside a slice the next page is
+    a window ``lead``; a slice's last event takes the first page of the session's next slice
+    that has events, looked up in a table of one row per (session, slice).
     """
-    r = ranged(ev, ["_s"], ["_t", "_k"])
-    w_in = Window.partitionBy("_pid", "_s").orderBy("_t", "_k")
-    local = r.select("_pid", "_s", "page", F.lead("page").over(w_in).alias("next_page"))
-    firsts = r.groupBy("_pid", "_s").agg(F.min_by("page", F.struct("_t", "_k")).alias("_first"))
-    w_sl = Window.partitionBy("_s").orderBy("_pid")  # rows per session <= number of slices
-    carry = firsts.select("_pid", "_s", F.lead("_first").over(w_sl).alias("_carry"))
-    inner = local.where(F.col("next_page").isNotNull()).select("page", "next_page")
-    edges = (
-        local.where(F.col("next_page").isNull())
-        .join(carry, ["_pid", "_s"])
-        .select("page", F.col("_carry").alias("next_page"))
-    )
-    return inner.unionByName(edges)
+    at = F.col(time_col)
+    ev = ue.where(F.col(session_col).isNotNull() & F.col("page").isNotNull()).select(
+        F.col(session_col).alias("_s"), at.alias("_t"), F.col("attributes").alias("_k"), "page",
+        (at - F.pmod(at, F.lit(slice_ns))).alias("_sl"))
+    inside = Window.partitionBy("_s", "_sl").orderBy("_t", "_k")
+    local = ev.select("_s", "_sl", "page", F.lead("page").over(inside).alias("next_page"))
+    firsts = ev.groupBy("_s", "_sl").agg(F.min_by("page", F.struct("_t", "_k")).alias("_first"))
+    carry = firsts.select("_s", "_sl", F.lead("_first").over(Window.partitionBy("_s").orderBy("_sl")).alias("_carry"))
+    counts = local.where(F.col("next_page").isNotNull()).groupBy("page", "next_page").agg(F.count(F.lit(1)).alias("n"))
+    last = local.where(F.col("next_page").isNull())
+    met = last.join(carry, last["_s"].eqNullSafe(carry["_s"]) & last["_sl"].eqNullSafe(carry["_sl"])).where(
+        F.col("_carry").isNotNull())
+    across = met.groupBy("page", F.col("_carry").alias("next_page")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(across).groupBy("page", "next_page").agg(F.sum("n").alias("transitions"))
 
 
 def rollup_daily(ue: DataFrame, with_page: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ The retention *plan* is plain driver-side configuration (table, time column,
 cutoff) built once and consumed by both the read-only preview and the sweep, so
 "what would be deleted" and "what is deleted" cannot drift apart. The preview
 and the size report are single-pass aggregates per table. The storage jobs
-(sweep, compaction, expiry) live in :mod:`telemetra.plans.layout` because they
+(sweep, compaction, expiry) live in :mod:`telemetra.plans.maintenance` because they
 rewrite files.
 """
 

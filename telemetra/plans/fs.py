@@ -6,6 +6,7 @@ object stores); used only for publish steps (exists / rename / delete / list).
 
 from __future__ import annotations
 
+import hashlib
 from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
@@ -79,10 +80,14 @@ def move(spark: SparkSession, src: str, dst: str) -> bool:
 
 
 def stat_key(spark: SparkSession, path: str) -> str:
-    """``length-mtime`` of a file, a cheap change detector for derived tables."""
+    """What a file, or the files of a folder, look like from outside (names, lengths, times): a cheap
+    change detector for derived tables."""
     fs, p, _ = _fs(spark, path)
     s = fs.getFileStatus(p)
-    return f"{s.getLen()}-{s.getModificationTime()}"
+    if not s.isDirectory():
+        return f"{s.getLen()}-{s.getModificationTime()}"
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    return hashlib.sha1(repr(files).encode()).hexdigest()
 
 
 def total_bytes(spark: SparkSession, path: str) -> int:

@@ -28,7 +28,7 @@ missing partition nor duplicated rows behind.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -463,8 +463,8 @@ def replace_table(spark: SparkSession, root: str, df: DataFrame) -> int:
 
 
 def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partition_cols: Sequence[str],
-                    sort_cols: Sequence[str] = (), upto_batch: int | None = None) -> int:
-    """Move published hot micro-batches (``<root>/hot/batch=*``) into ``<root>/cold``.
+                    sort_cols: Sequence[str] = (), names: Collection[str] | None = None) -> int:
+    """Move published hot micro-batches (``<root>/hot/batch=*``; only ``names`` if given) into ``<root>/cold``.
 
     The cold part is never watched by a stream, so compacting there cannot make
     old rows look new to a downstream consumer. Batches are merged into the cold
@@ -474,9 +474,8 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
     recover(spark, root)
     hot = f"{root.rstrip('/')}/hot"
     cold = f"{root.rstrip('/')}/cold"
-    names = sorted(n for n, is_dir, _ in fs.list_dir(spark, hot) if is_dir and n.startswith("batch="))
-    if upto_batch is not None:
-        names = [n for n in names if int(n.split("=", 1)[1]) <= upto_batch]
+    names = sorted(n for n, is_dir, _ in fs.list_dir(spark, hot)
+                   if is_dir and n.startswith("batch=") and (names is None or n in names))
     names = [n for n in names if fs.exists(spark, f"{hot}/{n}/_SUCCESS")]
     if not names:
         return 0

@@ -32,9 +32,9 @@ from telemetra.tables import Tables
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Build, str | None]] = {}
 # entries that run a storage or streaming job (fresh folder per call) before returning its result
-JOBS = ("ingest_stream", "ingest_rejected", "backfill_incremental", "curate_incremental", "rebuild_curated", "rollup_incremental", "rollup_range",
+JOBS = ("ingest_stream", "ingest_rejected", "backfill_incremental", "cohort_retention_merged", "curate_incremental", "rebuild_curated", "rollup_incremental", "rollup_range",
         "visitors_range", "retention_sweep",
-        "retention_sweep_signals", "retention_sweep_versioned", "compact", "expire_history")
+        "retention_sweep_signals", "retention_sweep_streamed", "retention_sweep_versioned", "compact", "expire_history")
 
 # Parameters of the registered instances (the operators take them as arguments).
 PERSON = "d3-0"              # a device-level person present at every scale
@@ -573,6 +573,16 @@ def _(t: Tables):
     return W.cohort_retention(t.ue, by="anonymous_id")
 
 
+@register("cohort_retention_merged", QUERIES["cohort_retention"][1])
+def _(t: Tables):
+    # three arrivals, a late one among them; the bitmaps of each are stored and merged, the events aren't read again
+    path, day = f"{_run_dir(t, 'cohort_retention_merged')}/days", F.dayofmonth("event_time")
+    for rows in (day > 20, day <= 10, (day > 10) & (day <= 20)):
+        W.active_days(t.ue.where(rows), by="anonymous_id").write.mode("append").parquet(path)
+    days = t.spark.read.parquet(path)
+    return W.retention_of_days(W.merge_days(days))
+
+
 @register("user_paths", W_("ue") +
           "SELECT page, next_page, count(*) AS transitions FROM ("
           "SELECT page, lead(page) OVER (PARTITION BY session_id ORDER BY event_time_unix_nano, attributes) AS next_page "
@@ -868,6 +878,29 @@ def _(t: Tables):
     return left[0].unionByName(left[1]).unionByName(left[2])
 
 
+@register("retention_sweep_streamed", W_("ue") + " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) FILTER (WHERE {c} < {O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))}) AS deleted, "
+    f"0 AS waiting, count(*) FILTER (WHERE {c} >= {O.ns(DEFAULT.as_of - timedelta(days=RETENTION_DAYS))} OR {c} IS NULL) AS remaining FROM {src}"
+    for n, c, src in (("logs", "time_unix_nano", "logs"), ("user_events", "event_time_unix_nano", "ue"))))
+def _(t: Tables):
+    from telemetra.plans import layout
+    from telemetra.streaming import curation, ingest, upkeep
+    run = _run_dir(t, "retention_sweep_streamed")
+    raw, ue = f"{run}/raw", f"{run}/ue"
+    # older events, then newer ones, then nothing due: the last batch of a stream can't leave ``hot`` yet
+    day = F.dayofmonth(ns_to_timestamp("time_unix_nano"))
+    for name, rows in (("a", day <= 12), ("b", (day > 12) & (day <= 24)), ("c", day > 24)):
+        _land_requests(t, t.logs.where(rows), f"{run}/landing/{name}")
+        _stream(ingest.start_ingest(t.spark, f"{run}/landing/*", raw, checkpoint=f"{run}/ck_ingest"))
+        _stream(curation.start_curation(t.spark, raw, ue, checkpoint=f"{run}/ck_curate", settings=t.settings))
+    tables = {
+        "logs": (raw, curation.raw_schema(), ["event_date"], list(layout.RAW_LOGS_SORT), upkeep.curated_batches(t.spark, raw, ue)),
+        "user_events": (ue, curation.CURATED_PARTS, ["subject", "person_bucket"], list(layout.CURATED_SORT), None),
+    }
+    plan = M.retention_plan(RETENTION_DAYS, DEFAULT.as_of, (("logs", "time_unix_nano"), ("user_events", "event_time_unix_nano")))
+    return upkeep.sweep_streamed(t.spark, tables, plan)
+
+
 SWEEP_AT = datetime(2024, 2, 1, 8)  # time of the commit a versioned retention sweep adds
 
 

@@ -86,11 +86,6 @@ def _promoted(resource_kvs: Column, names: Iterable[str]) -> list[Column]:
     return [kv_get(resource_kvs, n).alias("resource_attr_" + n.replace(".", "_")) for n in names]
 
 
-def promote_attrs(df: DataFrame, resource_kvs: str, names: Iterable[str]) -> DataFrame:
-    """Lift listed resource attributes into ``resource_attr_<name>`` columns."""
-    return df.select("*", *_promoted(F.col(resource_kvs), names))
-
-
 def parse_promote_list(text: str) -> tuple[str, ...]:
     """Comma list of resource attribute names; empty text disables promotion."""
     return tuple(s.strip() for s in text.split(",") if s.strip())

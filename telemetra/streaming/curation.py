@@ -7,7 +7,10 @@ is deliberately no watermark (it could only drop rows). Each micro-batch is
 curated with the same :func:`telemetra.operators.curate.curate` as the full
 backfill and published once as ``<ue>/hot/batch=<stream>-<id>/subject=/person_bucket=/``
 (see :mod:`telemetra.streaming.sinks`), so a restart neither loses nor repeats
-rows. The first run of a fresh checkpoint is the full backfill.
+rows. The first run of a fresh checkpoint is the full backfill: what was already
+compacted into the raw table's ``cold`` part is curated as one batch of its own, the
+rest by the stream. Beside each curated batch the raw files it read are published
+(``consumed``), from which upkeep knows what may be compacted (``streaming/upkeep.py``).
 
 Raw and curated tables each have a ``hot`` part (published micro-batches, the
 part the downstream stream watches) and a ``cold`` part (compacted data, never
@@ -75,6 +78,28 @@ def write_curated_batch(df: DataFrame, path: str, settings: Settings = DEFAULT)
     )
 
 
+FILE = "_raw_file"
+CONSUMED = struct(("raw_batch", S), ("file", S), ("batch", S))
+
+
+def consumed_root(ue_root: str) -> str:
+    return f"{ue_root.rstrip('/')}/consumed"
+
+
+def backfill_cold(spark: SparkSession, raw_root: str, ue_root: str, ckpt: str, settings: Settings = DEFAULT,
+                  rollup_path: str | None = None) -> bool:
+    """Before the first run of a stream: curates the compacted raw rows, which no stream reads, as one batch."""
+    cold = f"{raw_root.rstrip('/')}/{COLD}"
+    if fs.exists(spark, f"{ckpt.rstrip('/')}/metadata") or not fs.exists(spark, cold):
+        return False
+    rows = spark.read.schema(raw_schema(settings.promote_resource_attrs)).parquet(cold)
+    new = publish_batch(rows, ue_root, 0, lambda d, p: write_curated_batch(d, p, settings), COLD)
+    if rollup_path is not None:
+        from telemetra.plans.rollup import publish_partials
+        publish_partials(curate(rows, settings.subject_attr), rollup_path, 0, COLD)
+    return new
+
+
 def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint: str | None = None,
                    settings: Settings = DEFAULT, trigger: dict | None = None,
                    max_files_per_trigger: int | None = None, rollup_path: str | None = None) -> StreamingQuery:
@@ -88,9 +113,10 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
     reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.parquet(f"{raw_root.rstrip('/')}/{HOT}")
+    raw = reader.parquet(f"{raw_root.rstrip('/')}/{HOT}").select("*", F.col("_metadata.file_path").alias(FILE))
 
     ckpt = checkpoint or job_path(spark, "telemetra", "checkpoints", "curate")
+    backfill_cold(spark, raw_root, ue_root, ckpt, settings, rollup_path)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(spark, ckpt)
@@ -98,6 +124,8 @@ def start_curation(spark: SparkSession, raw_root: str, ue_root: str, checkpoint:
         if rollup_path is not None:
             from telemetra.plans.rollup import publish_partials
             publish_partials(curate(batch, settings.subject_attr), rollup_path, batch_id, stream)
+        read = batch.select(F.col("batch").alias("raw_batch"), F.col(FILE).alias("file")).distinct()
+        publish_batch(read, consumed_root(ue_root), batch_id, lambda d, p: d.write.mode("overwrite").parquet(p), stream)
 
     return (
         raw.writeStream.foreachBatch(sink)

@@ -135,3 +135,27 @@ def test_empty(spark, ue, tmp_root):
     rollup.publish_partials(ue.where("false"), f"{tmp_root}/e", 1)
     rollup.merge_partials(spark, f"{tmp_root}/e")
     assert rollup.read_rollup(spark, f"{tmp_root}/e").count() == 0
+
+
+def test_day_bitmaps_merge_to_the_retention_of_all_events(spark, ue):
+    from telemetra.operators import product as W
+
+    want = sorted(map(tuple, W.cohort_retention(ue, by="anonymous_id").collect()))
+    for n in (1, 3):
+        days = None
+        for part in split(ue, n):
+            rows_ = W.active_days(part, by="anonymous_id")
+            days = rows_ if days is None else days.unionByName(rows_)
+        merged = W.merge_days(days.unionByName(days))         # repeated batches change nothing
+        assert sorted(map(tuple, W.retention_of_days(merged).collect())) == want
+    assert {len(r.days) for r in W.active_days(ue).collect()} == {4096}
+
+
+def test_day_bitmaps_of_distant_days(spark):
+    from telemetra.operators import product as W
+
+    day = 86_400 * 10**9
+    made = [("p", d * day) for d in (-40_000, -1, 0, 1, 19_700, 32_768, 32_769, 60_000)] + [("q", 7 * day), ("q", 7 * day + 5), ("r", None), (None, 0)]
+    ue = spark.createDataFrame(made, "person_id string, event_time_unix_nano long")
+    got = W.retention_of_days(W.merge_days(W.active_days(ue)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, W.cohort_retention(ue.where("event_time_unix_nano is not null")).collect()))

@@ -41,4 +41,53 @@ def test_user_paths_equal_a_window(spark):
         w = Window.partitionBy("session_id").orderBy("event_time_unix_nano", "attributes")
         want = (ev.select("page", F.lead("page").over(w).alias("next_page")).where("next_page IS NOT NULL")
                 .groupBy("page", "next_page").agg(F.count(F.lit(1))))
+        for width in (1, 10**9, 10**16):       # every event a slice of its own, and all in one
+            assert as_set(user_paths(df, slice_ns=width)) == as_set(want)
         assert as_set(user_paths(df)) == as_set(want)
+
+
+def test_percentile_of_one_hot_group_sorts_only_a_little(spark):
+    # a third of the rows in one group, most values close together, some far away
+    df = spark.range(60_000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('g', id % 50)) AS g",
+        "if(id % 101 = 0, 1000000000000 + id, 1000 + (id * 7919) % 50021) AS v")
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.g, []).append(r.v)
+    for q in (0.0, 0.5, 0.95, 0.99, 1.0):
+        got = {r.g: r.q for r in percentile_exact(df, ["g"], "v", q).collect()}
+        assert got.keys() == rows.keys()
+        assert all(np.isclose(got[g], np.quantile(v, q), rtol=1e-12) for g, v in rows.items())
+    exact = {r.g: r.q for r in df.groupBy("g").agg(F.expr("percentile(v, 0.95)").alias("q")).collect()}
+    assert {r.g: r.q for r in percentile_exact(df, ["g"], "v", 0.95).collect()} == exact
+
+
+def test_percentile_is_right_where_the_sketch_misses(spark, monkeypatch):
+    from telemetra.operators import quantile
+
+    df = spark.range(5_000).selectExpr("'a' AS g", "(id * 37) % 4999 AS v")
+    want = np.quantile([r.v for r in df.collect()], 0.95)
+    for margin in (-0.5, 0.4, 2.0):            # a bracket below the rank, a wide one, the whole range
+        monkeypatch.setattr(quantile, "MARGIN", margin)
+        assert np.isclose(percentile_exact(df, ["g"], "v", 0.95).first().q, want, rtol=1e-12)
+
+
+def test_percentile_of_floats_ignores_nan(spark):
+    df = spark.createDataFrame([("a", 0.1), ("a", 0.4), ("a", float("nan")), ("a", -2.5), ("b", float("nan"))], "g string, v double")
+    got = {r.g: r.q for r in percentile_exact(df, ["g"], "v", 0.5).collect()}
+    assert got == {"a": 0.1, "b": None}
+
+
+def test_no_checkpoint_in_any_percentile_plan(spark):
+    tr = Tables(spark, SF_SMALL, land=False).traces
+    plan = percentile_exact(tr, ["name"], "duration_time_unix_nano", 0.95)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
+
+
+def test_a_funnel_reads_each_step_once(spark):
+    from telemetra.operators.product import funnel_ordered
+    from tools.plan_report import final_plan
+
+    df = funnel_ordered(Tables(spark, SF_SMALL).ue, ("page_view", "add_to_cart", "purchase", "exception"), 7, by="anonymous_id")
+    df.collect()
+    assert final_plan(df._jdf.queryExecution().executedPlan().toString()).count("FileScan parquet") <= 4

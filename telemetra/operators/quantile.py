@@ -4,20 +4,20 @@ Same definition as Spark's ``percentile`` and SQL ``quantile_cont``: for a
 group of ``n`` values and fraction ``q`` the position is ``q * (n - 1)``; the
 result interpolates the values at ranks ``floor`` and ``ceil`` of it.
 
-Nothing sorts a whole group. One plan for every size, three passes that each end in a
-partial aggregation, so a hot group costs every task a state of fixed size:
-
-1. per group the count, the least and greatest value and a KLL sketch, whose quantiles
-   just below and above ``q`` bracket the value looked for;
-2. how many values fall into each of ``BINS`` equal stretches below, inside and above the
-   bracket; a running sum over at most ``3 * BINS`` of them names the stretch that holds
-   each of the two ranks and how many values lie below it;
-3. the values of those stretches alone, counted per value and ranked by a running sum.
-
-The sketch only makes the stretches short (about ``1 / BINS`` of the bracket's 1 % of the
-group). Where it misses, the rank lies in a stretch below or above the bracket and is found
-there: the result is exact either way. The group columns travel as one struct, so a
-NULL group is a group like any other.
+Nothing sorts a whole group. One plan for every size, two passes that each end in a
+partial aggregation, so a hot group costs every task a state of bounded size:
+
+1. values are counted per stretch; stretches are equally long on a logarithmic scale,
+   ``PER_DOUBLING`` to a factor of two, so a value is known to 0.3 % from its stretch and
+   values of ten magnitudes fall into under 9,000. A running sum over a group's stretches
+   names the one or two that hold the wanted ranks, and how many values lie below;
+2. the values of those stretches alone are counted per value, and a running sum over them
+   finds the ranks. Of integers near ``v`` that are at most ``v / 370`` different values.
+
+Which stretch a value is in depends on the value alone. A randomised sketch would bracket the
+rank more tightly in fewer stretches, but Spark may compute an aggregate again, for another
+branch of the plan or after a lost executor, and the second sketch need not agree with the
+first. The group columns travel as one struct, so a NULL group is a group like any other.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BINS = 256
-KLL_K = 1000          # rank error of the sketch about 0.3 %
-MARGIN = 0.005        # bracket: the sketch's quantiles at q - MARGIN and q + MARGIN
+PER_DOUBLING = 256
+ABOVE = 1 << 20        # more than any stretch number: doubles span 2^-1075 to 2^1024
 
 
 def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float, alias: str = "q",
@@ -42,38 +41,27 @@ def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float,
     beside it.
     """
     whole = isinstance(df.schema[value].dataType, T.IntegralType)
-    num, kind = ("long", "bigint") if whole else ("double", "double")
-    v = F.col(value).cast(num)
+    v = F.col(value).cast("long" if whole else "double")
     v = v if whole else F.when(~F.isnan(v), v)
-    sketch, quantile = getattr(F, f"kll_sketch_agg_{kind}"), getattr(F, f"kll_sketch_get_quantile_{kind}")
-
     key = F.struct(*groups).alias("_g")
-    base = df.groupBy(key).agg(
-        F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
-        sketch(v, F.lit(KLL_K)).alias("_kll"), *extra)
-    names = [c for c in base.columns if c not in ("_g", "_n", "_min", "_max", "_kll")]
-    pos = (F.col("_n") - 1).cast("double") * F.lit(q)
-    some = F.col("_n") > 0  # an empty sketch has no quantiles
-    bounds = base.select(
-        "_g", pos.alias("_pos"), F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"), "_min", "_max",
-        F.when(some, quantile("_kll", F.lit(max(q - MARGIN, 0.0)))).alias("_from"),
-        F.when(some, quantile("_kll", F.lit(min(q + MARGIN, 1.0)))).alias("_to"))
-
-    edges = bounds.select("_g", "_min", "_from", "_to", "_max").where(F.col("_min").isNotNull())
-    values = df.select(key, v.alias("_v")).where(F.col("_v").isNotNull()).join(edges, "_g")
-    binned = values.select("_g", "_v", _stretch().alias("_bin"))
-    counts = binned.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy("_g").orderBy("_bin")  # at most 3 * BINS rows a group
-    held = (counts.select("_g", "_bin", (F.sum("_c").over(upto) - F.col("_c")).alias("_below"), "_c")
-            .join(bounds.select("_g", "_pos", "_lo", "_hi"), "_g"))
+    base = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
+    names = [c for c in base.columns if c not in ("_g", "_rows")]
+
+    values = df.select(key, v.alias("_v")).where(F.col("_v").isNotNull()).select("_g", "_v", _stretch(F.col("_v")).alias("_s"))
+    counts = values.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_g").orderBy("_s")
+    every = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pos = (F.sum("_c").over(every) - 1).cast("double") * F.lit(q)
+    held = counts.select("_g", "_s", "_c", (F.sum("_c").over(upto) - F.col("_c")).alias("_below"), pos.alias("_pos"))
+    held = held.withColumn("_lo", F.floor("_pos").cast("long")).withColumn("_hi", F.ceil("_pos").cast("long"))
 
     def holds(rank: Column) -> Column:
         return (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_c"))
 
-    wanted = held.where(holds(F.col("_lo")) | holds(F.col("_hi"))).select("_g", "_bin", "_below", "_pos", "_lo", "_hi")
-    few = binned.join(wanted, ["_g", "_bin"]).groupBy("_g", "_bin", "_below", "_pos", "_lo", "_hi", "_v").agg(
+    wanted = held.where(holds(F.col("_lo")) | holds(F.col("_hi"))).drop("_c")
+    few = values.join(wanted, ["_g", "_s"]).groupBy("_g", "_s", "_below", "_pos", "_lo", "_hi", "_v").agg(
         F.count(F.lit(1)).alias("_m"))
-    inside = Window.partitionBy("_g", "_bin").orderBy("_v")
+    inside = Window.partitionBy("_g", "_s").orderBy("_v")
     ranked = few.withColumn("_cum", F.col("_below") + F.sum("_m").over(inside))  # values up to this one
 
     def at(rank: Column) -> Column:  # this distinct value holds 0-based ``rank``
@@ -86,13 +74,8 @@ def percentile_exact(df: DataFrame, groups: Sequence[str], value: str, q: float,
         *(F.col("_g")[g].alias(g) for g in groups), alias, *names)
 
 
-def _stretch() -> Column:
-    """Number of the stretch ``_v`` lies in: three zones of ``BINS`` each, in the order of the values."""
-    def zone(low: str, high: str) -> Column:
-        low, high = F.col(low).cast("double"), F.col(high).cast("double")
-        part = (F.col("_v").cast("double") - low) / F.nullif(high - low, F.lit(0.0))
-        return F.least(F.greatest(F.coalesce(F.floor(part * BINS), F.lit(0)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-
-    return (F.when(F.col("_v") < F.col("_from"), zone("_min", "_from"))
-            .when(F.col("_v") <= F.col("_to"), F.lit(BINS) + zone("_from", "_to"))
-            .otherwise(F.lit(2 * BINS) + zone("_to", "_max")))
+def _stretch(v: Column) -> Column:
+    """Number of the stretch a value lies in, in the order of the values (logarithms keep it)."""
+    size = F.abs(v.cast("double"))
+    at = F.floor(F.least(F.log2(size) * PER_DOUBLING, F.lit(float(ABOVE - 1)))).cast("int") + ABOVE
+    return F.when(v > 0, at).when(v < 0, -at).otherwise(F.lit(0))

@@ -62,14 +62,24 @@ def test_percentile_of_one_hot_group_sorts_only_a_little(spark):
     assert {r.g: r.q for r in percentile_exact(df, ["g"], "v", 0.95).collect()} == exact
 
 
-def test_percentile_is_right_where_the_sketch_misses(spark, monkeypatch):
+def test_percentile_of_any_stretch_width(spark, monkeypatch):
     from telemetra.operators import quantile
 
-    df = spark.range(5_000).selectExpr("'a' AS g", "(id * 37) % 4999 AS v")
-    want = np.quantile([r.v for r in df.collect()], 0.95)
-    for margin in (-0.5, 0.4, 2.0):            # a bracket below the rank, a wide one, the whole range
-        monkeypatch.setattr(quantile, "MARGIN", margin)
-        assert np.isclose(percentile_exact(df, ["g"], "v", 0.95).first().q, want, rtol=1e-12)
+    df = spark.range(5_000).selectExpr("'a' AS g", "(id * 37) % 4999 - 2000 AS v")
+    for q in (0.3, 0.4, 0.95):                 # below, at and above zero
+        want = np.quantile([r.v for r in df.collect()], q)
+        for per in (1, 7, 256):
+            monkeypatch.setattr(quantile, "PER_DOUBLING", per)
+            assert np.isclose(percentile_exact(df, ["g"], "v", q).first().q, want, rtol=1e-12)
+
+
+def test_stretches_are_in_the_order_of_the_values(spark):
+    from telemetra.operators.quantile import _stretch
+
+    made = [float(x) for x in (0.0, 5e-324, 1e-300, 1.0, 1 + 2**-52, 255.0, 256.0, 1e18, 1.7e308, float("inf"))]
+    made = sorted([*made, *(-x for x in made)])
+    got = spark.createDataFrame([(x,) for x in made], "v double").select("v", _stretch(F.col("v")).alias("s")).orderBy("v").collect()
+    assert [r.s for r in got] == sorted(r.s for r in got) and len({r.s for r in got}) > 12
 
 
 def test_percentile_of_floats_ignores_nan(spark):

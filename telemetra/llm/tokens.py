@@ -251,7 +251,7 @@ class WordBPE:
         for group in _groups(texts):
             flat, ends, whole = [], [0], {}
             for k, t in enumerate(group):
-                if t and any(x in t for x in self.odd):
+                if t and any(map(t.__contains__, self.odd)):
                     whole[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
                 elif t:
                     data = t.encode().lower()
@@ -259,15 +259,16 @@ class WordBPE:
                         data = data.replace(b".", b" .").replace(b",", b" ,")
                     flat += data.split()
                 ends.append(len(flat))
-            known = list(map(ids.get, flat))
-            if missing := {p for p, k in zip(flat, known) if k is None}:
+            every = set(flat)
+            missing = every.difference(ids)
+            if missing:
                 if len(ids) + len(missing) > CACHE:
                     ids.clear()
-                    missing = set(flat)
+                    missing = every
                 plain = [p for p in missing if p.isalpha()]
                 self.parts.learn_words(plain)
                 self.parts.learn(missing.difference(plain))
-                known = list(map(ids.__getitem__, flat))
+            known = list(map(ids.__getitem__, flat))
             out += [whole.get(k) or b"".join(known[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
         return out
 

@@ -13,7 +13,7 @@ from telemetra.schemas import TRACES
 from test_plans import scans_of
 
 DAY = 86_400 * 10**9
-SPANS = 40_000
+SPANS = 400_000  # more distinct ids in a file than a dictionary holds
 START = 1_704_067_200_000_000_000  # 2024-01-01
 
 

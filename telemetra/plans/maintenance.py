@@ -483,9 +483,9 @@ def compact_batches(spark: SparkSession, root: str, schema: T.StructType, partit
     df = df.select(*schema.fieldNames())
     expected = df.count()
     staging = f"{root.rstrip('/')}/_staging-cold-{uuid.uuid4().hex[:8]}"
-    keys = [*partition_cols, *sort_cols]
     (
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        # a partition is one file unless it is large, when it spreads over tasks; ranges would read all rows twice
+        df.hint("rebalance", *partition_cols).sortWithinPartitions(*partition_cols, *sort_cols)
         .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*partition_cols).parquet(staging)
     )

@@ -50,11 +50,14 @@ def _value_text(v: Column) -> Column:
 
 def kv_to_json(kvs: Column) -> Column:
     """Attribute list -> JSON object text, last value wins for duplicate keys."""
-    kept = F.filter(  # an attribute without a key has no name to be read by
+    keys = F.transform(kvs, lambda x: x["key"])
+    last = F.filter(
         kvs,
         lambda x, i: x["key"].isNotNull() & ~F.exists(
             F.slice(kvs, i + 2, F.greatest(F.size(kvs) - i - 1, F.lit(0))), lambda y: y["key"].eqNullSafe(x["key"])),
     )
+    # an attribute without a key has no name to be read by; lists without a repeated key need no look at the rest
+    kept = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.filter(kvs, lambda x: x["key"].isNotNull())).otherwise(last)
     entries = F.transform(kept, lambda x: F.struct(x["key"].alias("key"), _value_text(x["value"]).alias("value")))
     return F.when(F.size(kvs) > 0, F.to_json(F.map_from_entries(entries))).otherwise(F.lit("{}"))
 
@@ -108,26 +111,60 @@ def rejected(payloads: DataFrame, kind: str = "logs") -> DataFrame:
     A request whose list is empty is valid and holds no records.
     """
     schema, top = SIGNALS[kind]
-    text = F.coalesce(F.col("payload"), F.lit(""))
-    cause = (F.when(F.trim(text) == "", F.lit("blank"))
-             .when(F.try_parse_json(text).isNull(), F.lit("malformed"))
-             .otherwise(F.lit("no_" + top)))
-    return payloads.where(F.from_json(F.col("payload"), schema)[top].isNull()).select("payload", cause.alias("cause"))
+    bad = payloads.where(F.from_json(F.col("payload"), schema)[top].isNull())
+    return bad.select("payload", _cause(F.col("payload"), top).alias("cause"))
+
+
+def _cause(payload: Column, top: str) -> Column:
+    text = F.coalesce(payload, F.lit(""))
+    return (F.when(F.trim(text) == "", F.lit("blank"))
+            .when(F.try_parse_json(text).isNull(), F.lit("malformed"))
+            .otherwise(F.lit("no_" + top)))
+
+
+def read_requests(payloads: DataFrame, kind: str = "logs", promote: Iterable[str] = ()) -> DataFrame:
+    """The records of :func:`ingest_logs` (``kind``: and so on) and the requests of :func:`rejected`, both
+    from one parse of each request: a rejected request is a row with a ``cause``, its ``payload`` and no
+    record; records have neither."""
+    ingest, schema, top, lists = _READERS[kind]
+    parsed = payloads.select("payload", F.from_json(F.col("payload"), schema)[top].alias("_top"))
+    cause = F.when(F.col("_top").isNull(), _cause(F.col("payload"), top))
+    rows = parsed.select("_top", F.when(F.col("_top").isNull(), F.col("payload")).alias("payload"), cause.alias("cause"))
+    return ingest(_flat(rows, "_top", *lists, keep=("payload", "cause")), promote, keep=("payload", "cause"))
+
+
+def _explode(items: str, to: str, keep: tuple[str, ...]) -> list[Column]:
+    """One row per item; with ``keep`` also one for a row without items that keeps a value, ``_at`` null."""
+    return [F.posexplode_outer(items).alias("_at", to)] if keep else [F.explode(items).alias(to)]
+
+
+def _held(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Drops the rows that hold neither an item nor a ``keep`` value."""
+    return rows.where(F.col("_at").isNotNull() | F.col(keep[-1]).isNotNull()) if keep else rows
+
+
+def _flat(rows: DataFrame, resources: str, scopes: str, items: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    each = _held(rows.select(*keep, *_explode(resources, "_r", keep)), keep)
+    each = each.select(*keep, F.col("_r.resource.attributes").alias("_res"), F.col("_r." + scopes).alias("_l"))
+    each = _held(each.select(*keep, "_res", *_explode("_l", "_s", keep)), keep)
+    each = each.select(*keep, "_res", F.col("_s." + items).alias("_l"))
+    return _held(each.select(*keep, "_res", *_explode("_l", "_x", keep)), keep).select(*keep, "_res", "_x")
 
 
 def _records(payloads: DataFrame, schema: T.StructType, top: str, scopes: str, items: str) -> DataFrame:
     p = F.from_json(F.col("payload"), schema)
-    return (
-        payloads.select(F.explode(p[top]).alias("_r"))
-        .select(F.col("_r.resource.attributes").alias("_res"), F.explode("_r." + scopes).alias("_s"))
-        .select("_res", F.explode("_s." + items).alias("_x"))
-    )
+    return _flat(payloads.select(p[top].alias("_top")), "_top", scopes, items)
 
 
 def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_resource_attrs) -> DataFrame:
     """``resourceLogs[].scopeLogs[].logRecords[]`` -> one ``logs`` row per record."""
+    return _logs(_records(payloads, LOGS_PAYLOAD, "resourceLogs", "scopeLogs", "logRecords"), promote)
+
+
+def _logs(records: DataFrame, promote: Iterable[str], keep: tuple[str, ...] = ()) -> DataFrame:
     x = F.col("_x")
-    return _records(payloads, LOGS_PAYLOAD, "resourceLogs", "scopeLogs", "logRecords").select(
+    return records.select(
+        *keep,
         x["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
         _value_text(x["body"]).alias("body"),
         x["severityText"].alias("severity_text"),
@@ -142,10 +179,15 @@ def ingest_logs(payloads: DataFrame, promote: Iterable[str] = DEFAULT.promote_re
 
 def ingest_traces(payloads: DataFrame, promote: Iterable[str] = ()) -> DataFrame:
     """``resourceSpans[].scopeSpans[].spans[]`` -> ``traces``; duration = end - start."""
+    return _spans(_records(payloads, TRACES_PAYLOAD, "resourceSpans", "scopeSpans", "spans"), promote)
+
+
+def _spans(records: DataFrame, promote: Iterable[str], keep: tuple[str, ...] = ()) -> DataFrame:
     x = F.col("_x")
     start = x["startTimeUnixNano"].try_cast("long")
     end = x["endTimeUnixNano"].try_cast("long")
-    return _records(payloads, TRACES_PAYLOAD, "resourceSpans", "scopeSpans", "spans").select(
+    return records.select(
+        *keep,
         x["traceId"].alias("trace_id"),
         x["spanId"].alias("span_id"),
         x["name"].alias("name"),
@@ -161,11 +203,16 @@ def ingest_traces(payloads: DataFrame, promote: Iterable[str] = ()) -> DataFrame
 
 
 def _ingest_points(payloads: DataFrame, kind: str, promote: Iterable[str]) -> DataFrame:
-    metrics = _records(payloads, METRICS_PAYLOAD, "resourceMetrics", "scopeMetrics", "metrics")
-    pts = metrics.select("_res", F.col("_x.name").alias("_n"), F.col("_x.unit").alias("_u"),
-                         F.explode(F.col("_x")[kind]["dataPoints"]).alias("_d"))
+    return _points(_records(payloads, METRICS_PAYLOAD, "resourceMetrics", "scopeMetrics", "metrics"), kind, promote)
+
+
+def _points(metrics: DataFrame, kind: str, promote: Iterable[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    pts = metrics.select(*keep, "_res", F.col("_x.name").alias("_n"), F.col("_x.unit").alias("_u"),
+                         F.col("_x")[kind]["dataPoints"].alias("_l"))
+    pts = _held(pts.select(*keep, "_res", "_n", "_u", *_explode("_l", "_d", keep)), keep)
     d = F.col("_d")
     return pts.select(
+        *keep,
         d["timeUnixNano"].try_cast("long").alias("time_unix_nano"),
         F.col("_n").alias("name"),
         F.col("_u").alias("unit"),
@@ -186,6 +233,14 @@ def ingest_sum(payloads: DataFrame, promote: Iterable[str] = ()) -> DataFrame:
     return _ingest_points(payloads, "sum", promote)
 
 
+_READERS = {
+    "logs": (_logs, *SIGNALS["logs"], ("scopeLogs", "logRecords")),
+    "traces": (_spans, *SIGNALS["traces"], ("scopeSpans", "spans")),
+    "gauge": (lambda m, promote, keep: _points(m, "gauge", promote, keep), *SIGNALS["gauge"], ("scopeMetrics", "metrics")),
+    "sum": (lambda m, promote, keep: _points(m, "sum", promote, keep), *SIGNALS["sum"], ("scopeMetrics", "metrics")),
+}
+
+
 # --- payload builders (landing data for fixtures and round trips) --------------------
 
 def _resource(service: Column, env: str | None) -> Column:

@@ -67,10 +67,10 @@ def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFram
 
 def write_curated_batch(df: DataFrame, path: str, settings: Settings = DEFAULT) -> None:
     out = curated_layout(curate(df, settings.subject_attr), settings.buckets)
-    keys = ["subject", "person_bucket", *CURATED_SORT]
+    parts = ["subject", "person_bucket"]
     (
-        out.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        out.hint("rebalance", *parts)  # large folders spread over tasks; unlike ranges, no first pass that curates all rows
+        .sortWithinPartitions(*parts, *CURATED_SORT)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy("subject", "person_bucket")

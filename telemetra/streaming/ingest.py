@@ -7,12 +7,15 @@ publishes every micro-batch as ``<raw>/hot/batch=<stream>-<id>/event_date=<day>/
 Requests that hold nothing it can read are published beside them, with their text and the
 cause, as ``<raw>/rejected/hot/batch=<stream>-<id>/``: every request of the landing folder
 is in exactly one of the two, also after a replay (both are published once).
+Each request is parsed once: what it holds is written unsorted to a staging folder, from
+which both are published (a sort by ranges reads its input twice).
 ``trigger`` controls freshness (``{"processingTime": "1 second"}``) or runs a
 catch-up (``{"availableNow": True}``, also the final run on shutdown).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +30,13 @@ from telemetra.plans.storage import job_path
 from telemetra.schemas import S, struct
 from telemetra.settings import DEFAULT
 from telemetra.sources import otlp
-from telemetra.streaming.sinks import HOT, MAX_FILE_AGE, publish_batch, stream_id
+from telemetra.streaming.sinks import HOT, MAX_FILE_AGE, is_published, publish_batch, stream_id
 
 _INGEST = {
-    "logs": (otlp.ingest_logs, "time_unix_nano", ("body", "time_unix_nano")),
-    "traces": (otlp.ingest_traces, "start_time_unix_nano", ("name", "start_time_unix_nano")),
-    "gauge": (otlp.ingest_gauge, "time_unix_nano", ("name", "time_unix_nano")),
-    "sum": (otlp.ingest_sum, "time_unix_nano", ("name", "time_unix_nano")),
+    "logs": ("time_unix_nano", ("body", "time_unix_nano")),
+    "traces": ("start_time_unix_nano", ("name", "start_time_unix_nano")),
+    "gauge": ("time_unix_nano", ("name", "time_unix_nano")),
+    "sum": ("time_unix_nano", ("name", "time_unix_nano")),
 }
 
 
@@ -71,7 +74,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, raw_root: str, kind: str
                  checkpoint: str | None = None, trigger: dict | None = None,
                  promote: Iterable[str] = DEFAULT.promote_resource_attrs,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    fn, time_col, sort = _INGEST[kind]
+    time_col, sort = _INGEST[kind]
     # files are taken however old they are next to the newest one
     reader = spark.readStream.format("text").option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger:
@@ -82,9 +85,18 @@ def start_ingest(spark: SparkSession, landing_dir: str, raw_root: str, kind: str
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(spark, ckpt)
+        if all(is_published(spark, root, batch_id, stream) for root in (rejected_root(raw_root), raw_root)):
+            return
+        read = otlp.read_requests(batch, kind, promote)
+        staging = f"{raw_root.rstrip('/')}/_staging/read={stream}-{batch_id:020d}-{uuid.uuid4().hex[:8]}"
+        read.write.parquet(staging)
+        read = spark.read.schema(read.schema).parquet(staging)
+        bad = read.where(F.col("cause").isNotNull()).select(*REJECTED.fieldNames())
+        records = read.where(F.col("cause").isNull()).drop(*REJECTED.fieldNames())
         # first, so that whoever sees the batch's records also sees what is missing from them
-        publish_batch(otlp.rejected(batch, kind), rejected_root(raw_root), batch_id, write_rejected, stream)
-        publish_batch(fn(batch, promote=promote), raw_root, batch_id, lambda d, p: write_raw_batch(d, p, time_col, sort), stream)
+        publish_batch(bad, rejected_root(raw_root), batch_id, write_rejected, stream)
+        publish_batch(records, raw_root, batch_id, lambda d, p: write_raw_batch(d, p, time_col, sort), stream)
+        fs.delete(spark, staging)
 
     return (
         payloads.writeStream.foreachBatch(sink)

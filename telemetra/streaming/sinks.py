@@ -34,11 +34,15 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(checkpoint.rstrip("/") + "/metadata").first()["id"]
 
 
+def is_published(spark: SparkSession, root: str, batch_id: int, stream: str = "0") -> bool:
+    return fs.exists(spark, batch_dir(root, batch_id, stream) + "/_SUCCESS")
+
+
 def publish_batch(df: DataFrame, root: str, batch_id: int, write, stream: str = "0") -> bool:
     """Write ``df`` with ``write(df, path)`` as batch ``batch_id`` of ``stream``; False if already published."""
     spark = df.sparkSession
     final = batch_dir(root, batch_id, stream)
-    if fs.exists(spark, final + "/_SUCCESS"):
+    if is_published(spark, root, batch_id, stream):
         return False
     staging = f"{root.rstrip('/')}/_staging/batch={stream}-{batch_id:020d}-{uuid.uuid4().hex[:8]}"
     write(df, staging)

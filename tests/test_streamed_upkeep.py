@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemetra.operators import upkeep as M
 from telemetra.operators.curate import curate
-from telemetra.plans import layout, rollup
+from telemetra.plans import layout, maintenance, rollup
 from telemetra.operators.product import rollup_daily
 from telemetra.sources.fixtures import logs_from_events
 from telemetra.streaming import curation, ingest, upkeep
@@ -80,6 +80,23 @@ def test_only_curated_and_settled_batches_leave_hot(spark, logs, tmp_root):
     assert feed.rows() == want(logs)
 
 
+def test_batches_are_curated_and_moved_in_one_pass(spark, logs, tmp_root, monkeypatch):
+    """A partition the moved batches fill is one file, which needs no second rewrite."""
+    feed, (a, b, c) = Feed(spark, tmp_root), thirds(logs)
+    for name, rows in zip("abc", (a, b, c)):
+        feed.ingest(name, rows)
+        feed.curate()
+    rewritten = []
+    real = maintenance.rewrite_partitions
+    monkeypatch.setattr(maintenance, "rewrite_partitions", lambda *args, **kw: rewritten.append(args) or real(*args, **kw))
+    assert feed.compact() == (a.count() + b.count(),) * 2
+    assert not rewritten
+    cold = f"{feed.ue}/cold"
+    files = {d: sum(f.endswith(".parquet") for f in fs) for d, _, fs in os.walk(cold)}
+    assert max(files.values()) == 1
+    assert feed.rows() == want(logs)
+
+
 def test_a_batch_read_in_two_runs_waits_for_both(spark, logs, tmp_root):
     feed, (a, b, c) = Feed(spark, tmp_root), thirds(logs)
     feed.ingest("a", a)

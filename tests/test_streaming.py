@@ -149,3 +149,22 @@ def test_stream_keeps_daily_rollup_current(spark, tmp_root):
     got = rollup.read_rollup(spark, ru).select(*cols)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_requests_of_a_batch_are_read_once(spark, tmp_root, monkeypatch):
+    """Both tables are published from what one pass over the landing files left in the staging folder."""
+    logs = logs_from_events(spark.read.schema(EVENTS).parquet(f"{SF_SMALL}/events.parquet"))
+    landing, raw, read = f"{tmp_root}/landing", f"{tmp_root}/raw", []
+    os.makedirs(landing)
+    land(spark, logs, landing, "a")
+    real = ingest.publish_batch
+
+    def publish(df, *rest):
+        read.extend(df.inputFiles())
+        return real(df, *rest)
+
+    monkeypatch.setattr(ingest, "publish_batch", publish)
+    run(ingest.start_ingest(spark, landing, raw, checkpoint=f"{tmp_root}/ck_i"))
+    assert read and not [f for f in read if "/landing/" in f]
+    assert curation.read_table(spark, raw, curation.raw_schema()).count() == logs.count()
+    assert not [n for n in os.listdir(f"{raw}/_staging") if n.startswith("read=")]

@@ -36,14 +36,28 @@ EDIT_WORDS = 10
 BITS = 1 << 22
 
 
-def _halves(line: Column) -> Column:
-    """Keys of the halves a line shares with any line within one edit: as the shorter, as the longer."""
-    def key(side, n):
-        half = F.floor(n / 2).cast("int")
-        return F.xxhash64(F.lit(side), n, F.call_function("substring_index", line, F.lit(" "), half if side == 0 else -half))
+def _lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, tx, pos, h, halves`` of the lines that may go: their hash and, from ``EDIT_WORDS`` words on, the keys
+    of the halves a line shares with any line within one edit: as the shorter, as the longer."""
+    line, n, space = F.col("line"), F.col("n"), F.lit(" ")
 
-    n = _n_words(line)
-    return F.array(*(key(side, size) for size in (n, n - 1) for side in (0, 1)))
+    def up_to(text, words):
+        return F.call_function("substring_index", text, space, words.cast("int"))
+
+    def key(side, size, half):
+        return F.xxhash64(F.lit(side), size, half)
+
+    def shorter(half, sign):  # of a line with one word less; for an odd number of words the same half
+        return F.when(n % 2 == 1, half).otherwise(up_to(half, sign * (F.floor(n / 2) - 1)))
+
+    # each step is a column of its own, so that words are counted and halves cut once a line
+    lines = _occurrences(docs).where(F.octet_length(up_to(line, F.lit(MIN_WORDS - 1))) < F.octet_length(line))
+    lines = lines.withColumn("n", _n_words(line))
+    lines = lines.withColumns({"head": F.when(n >= EDIT_WORDS, up_to(line, F.floor(n / 2))),
+                               "end": F.when(n >= EDIT_WORDS, up_to(line, -F.floor(n / 2)))})
+    keys = [key(0, n, F.col("head")), key(1, n, F.col("end")),
+            key(0, n - 1, shorter(F.col("head"), 1)), key(1, n - 1, shorter(F.col("end"), -1))]
+    return lines.select("doc_id", "tx", "pos", F.xxhash64("line").alias("h"), F.when(n >= EDIT_WORDS, F.array(*keys)).alias("halves"))
 
 
 def _n_words(line: Column) -> Column:
@@ -120,10 +134,7 @@ def _near(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key_id, key_null, key_text`` and ``removed`` (line numbers from 0) of each document that loses lines."""
     docs = df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tx"), F.col(text_col).alias("text"))
-    n = _n_words(F.col("line"))
-    lines = stored(_occurrences(docs).where(n >= MIN_WORDS).select(
-        "doc_id", "tx", "pos", F.xxhash64("line").alias("h"),
-        F.when(n >= EDIT_WORDS, _halves(F.col("line"))).alias("halves")), "lines-all")
+    lines = stored(_lines(docs), "lines-all")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx", "pos")
     reps = stored(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "lines-distinct")
     near = _near(docs, reps).withColumn("near", F.lit(True))

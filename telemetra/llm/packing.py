@@ -35,6 +35,7 @@ from telemetra.llm.tokens import WORDS, word_bpe
 CAPACITY = 4096
 END_ID = 1
 GROUP_TOKENS = 4_000_000
+ROWS = 256                  # documents encoded at once
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -48,8 +49,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches):
         bpe = word_bpe(vocab)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 row, piece, data = [], [], []
                 for r, ids in enumerate(bpe.encode(part.column(1).to_pylist())):
                     ids += end

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import json
 import os
 import re
 from functools import lru_cache
@@ -32,6 +31,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 RANKS = "byte_bpe_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
 CACHE = 500_000                         # distinct parts kept per worker (about 100 MB)
+WORD_CACHE = 100_000_000                # bytes of parts and ids the word tokenizer keeps per worker (estimated)
+WORD_GROUP = 500_000                    # characters it encodes at once
 SEPARATOR = "\ue000"
 CUT = re.compile(r"(?<=\S) ")           # a space after a non-space
 AFTER_SYMBOL = re.compile(r"(?:[^\w \t\n\x0b\x0c\r]|_)[.,]")
@@ -56,6 +57,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def id_bytes(tok, text: str) -> bytes:
+    return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class Parts:
     """Ids of distinct parts, kept up to ``CACHE`` entries.
 
@@ -64,6 +69,9 @@ class Parts:
     New parts are encoded many to a call, with a private-use character between them that
     ``joined`` (a tokenizer like ``plain``) knows as a token of its own; parts that hold
     that character themselves are encoded one by one by ``plain``.
+
+    ``learn`` is ``missing`` and ``add``. Only ``missing`` empties the cache, so all parts
+    of one call are known after it, however many they are.
     """
 
     def __init__(self, plain, joined, core, text=lambda p: p):
@@ -73,11 +81,19 @@ class Parts:
 
     def learn(self, parts: set) -> dict:
         """``parts`` all known: part -> ids as little-endian 32-bit bytes."""
+        self.add(self.missing(parts))
+        return self.ids
+
+    def missing(self, parts: set) -> set:
+        """Those of ``parts`` not known; all of them, the cache being emptied, if they don't fit."""
+        new = parts.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            self.ids.clear()
+            return parts
+        return new
+
+    def add(self, new: set) -> None:
         ids, core = self.ids, self.core
-        new = parts.difference(ids)
-        if len(ids) + len(new) > CACHE:
-            ids.clear()
-            new = parts
         cut = [(p, core(p)) for p in new]
         words = {c[0] for _, c in cut if c}
         self.learn_words(list(words.difference(ids)))
@@ -85,16 +101,12 @@ class Parts:
         for p, c in cut:
             if c and c[0] != p:
                 ids[p] = ids[c[0]] + self._tail(c[1])
-        return ids
 
     def _tail(self, tail) -> bytes:
         if tail not in self.tails:
-            self.tails[tail] = self._one(tail if isinstance(tail, str) else tail.decode())
+            self.tails[tail] = id_bytes(self.plain, tail if isinstance(tail, str) else tail.decode())
         return self.tails[tail]
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def learn_words(self, words: list) -> None:
         self._encode(words)
 
@@ -102,7 +114,7 @@ class Parts:
         text = self.text
         odd = {p for p in new if SEPARATOR in text(p)}
         for p in odd:
-            self.ids[p] = self._one(text(p))
+            self.ids[p] = id_bytes(self.plain, text(p))
         new = [p for p in new if p not in odd]
         for run, ids in self._runs(self.joined, new, SEPARATOR):
             cuts = (4 * np.flatnonzero(ids == self.sep)).tolist()
@@ -121,13 +133,29 @@ class Parts:
 
 
 class WordParts(Parts):
-    """Parts of the word tokenizer: plain words need no normalizer or split pattern, and their last id ends a word."""
+    """Parts of the word tokenizer: plain words need no normalizer or split pattern, and their last id ends a word.
+
+    Its cache is bounded in bytes, as a part (a text without white space) may be of any length.
+    """
 
     def __init__(self, plain, joined, core, text, words):
         super().__init__(plain, joined, core, text)
         vocab = words.get_vocab()
         self.words, self.ends = words, np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.size = 0
+
+    def missing(self, parts: set) -> set:
+        def size(some):
+            # the objects and dictionary entry of a part, its bytes and up to an id (4 bytes) for each of them
+            return 200 * len(some) + 5 * sum(map(len, some))
+
+        new = parts.difference(self.ids)
+        self.size += size(new)
+        if self.size > WORD_CACHE:
+            self.ids.clear()
+            new, self.size = parts, size(parts)
+        return new
 
     def learn_words(self, words: list) -> None:
         for run, ids in self._runs(self.words, words, " "):
@@ -232,42 +260,43 @@ class WordBPE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        with open(resolve(path), encoding="utf-8") as f:
-            model = json.load(f)
+        self.library = library = Tokenizer.from_file(resolve(path))
+
+        def build(normalizer, split):
+            # the tokenizers share one model (vocabulary and merges), and so its memory
+            tok = Tokenizer(library.model)
+            if normalizer is not None:
+                tok.normalizer = normalizer
+            if split is not None:
+                tok.pre_tokenizer = split
+            return tok
+
         # a text with a special token's string, or with a letter that lower-cases to two, is encoded whole
-        self.library, self.odd = Tokenizer.from_str(json.dumps(model)), ["\u0130"]
-        self.odd += {t["content"][:2] for t in model["added_tokens"]}
-        model |= {"added_tokens": []}
-        self.tok, joined = Tokenizer.from_str(json.dumps(model)), Tokenizer.from_str(json.dumps(model))
+        self.odd = ["\u0130", *(t.content[:2] for t in library.get_added_tokens_decoder().values())]
+        self.tok, joined = (build(library.normalizer, library.pre_tokenizer) for _ in range(2))
         joined.add_special_tokens([SEPARATOR])
-        words = Tokenizer.from_str(json.dumps(model | {"normalizer": None}))
-        words.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        words = build(None, pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)]))
         self.parts = WordParts(self.tok, joined, word_core, bytes.decode, words)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes (null: none)."""
         out, ids = [], self.parts.ids
-        for group in _groups(texts):
+        for group in _groups(texts, WORD_GROUP):
             flat, ends, whole = [], [0], {}
             for k, t in enumerate(group):
                 if t and any(map(t.__contains__, self.odd)):
-                    whole[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                    whole[k] = id_bytes(self.library, t)
                 elif t:
                     data = t.encode().lower()
                     if (t.isascii() and not data.translate(None, PLAIN) and not DOUBLE.search(data)) or not AFTER_SYMBOL.search(t):
                         data = data.replace(b".", b" .").replace(b",", b" ,")
                     flat += data.split()
                 ends.append(len(flat))
-            every = set(flat)
-            missing = every.difference(ids)
-            if missing:
-                if len(ids) + len(missing) > CACHE:
-                    ids.clear()
-                    missing = every
-                plain = [p for p in missing if p.isalpha()]
-                self.parts.learn_words(plain)
-                self.parts.learn(missing.difference(plain))
+            missing = self.parts.missing(set(flat))
+            plain = {p for p in missing if p.isalpha()}
+            self.parts.learn_words(list(plain))
+            self.parts.add(missing - plain)
             known = list(map(ids.__getitem__, flat))
             out += [whole.get(k) or b"".join(known[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
         return out
